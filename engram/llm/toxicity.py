@@ -1,12 +1,13 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
 
-The models are over the letters of words, so that a stem that is only met with some endings still counts. A letter's
-context is the up to four letters before it in its word. Each class has absolute-discounted counts at the highest
-order; below it both classes share one interpolated Kneser-Ney model of continuation counts. A letter that neither
-class has seen after a context thus costs both the same but for the mass that each keeps for the unseen.
-
-A text's gap is the difference of its two log-likelihoods divided by its length in letters; a logistic curve, fitted
-on labelled documents that the counts didn't see, turns the gap into a score.
+The models are over the letters of words, so that a stem that is only met with some endings still counts; a letter's
+context is the up to five letters before it in its word, and a word counts once for each document it is in. Both
+classes back off to one shared model, an interpolated Kneser-Ney model of the pooled counts: a class's own discounted
+counts are weighed against it by `strength` pooled observations, so rare expressions cost both classes nearly the same.
+
+A word's log-likelihood ratio counts as far as it is beyond `margin` (differences below that are sampling noise), and
+a text's gap is the sum over its words divided by their number (and a few neutral words). A logistic curve, fitted on labelled documents that
+the counts didn't see, turns the gap into a score.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from engram.llm.common import ids_and_texts, pieces, strings_of
 
-ORDER = 5
+ORDER = 6
+#: Neutral words added to every text's length, so that one odd word decides nothing in a text of a few words.
+PRIOR_WORDS = 10
 _EDGE, _END = "\x02", "\x03"
 
 
@@ -35,83 +38,63 @@ def grams(word: str) -> list[str]:
 
 
 class Gap:
-    """Log-likelihood of a word under the toxic model minus that under the ordinary one; words are remembered up to a bound."""
+    """Log-likelihoods of words under the toxic model less those under the ordinary one; remembered up to a bound."""
 
-    def __init__(self, table: dict[str, float], contexts: dict[str, float], most: int = 300_000):
-        self.table, self.contexts, self.most, self.known = table, contexts, most, {}
+    def __init__(self, table: dict[str, float], contexts: dict[str, float], margin: float, most: int = 300_000):
+        self.table, self.contexts, self.margin, self.most, self.known = table, contexts, margin, most, {}
 
     def word(self, w: str) -> float:
         t, c = self.table, self.contexts
-        return sum(t[g] if g in t else c.get(g[:-1], 0.0) for g in grams(w))
-
-    def text(self, text: str) -> tuple[float, int]:
-        """Sum over the words, and number of letters and word ends."""
-        words, known = text.lower().split(), self.known
-        new = {w for w in words if w not in known}
-        if new:
-            got = {w: self.word(w) for w in new}
-            if len(known) + len(got) <= self.most:
-                known.update(got)
-            else:
-                known = known | got if len(words) > 4 * len(known) else _Both(got, known)
-        return math.fsum(map(known.__getitem__, words)), sum(map(len, words)) + len(words)
-
-
-class _Both(dict):
-    def __init__(self, first: dict, rest: dict):
-        super().__init__(first)
-        self.rest = rest
-
-    def __missing__(self, key):
-        return self.rest[key]
-
-
-def kneser_ney_gap(rows: list[tuple[str, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """From (gram, toxic count, ordinary count): log ratio of each gram, and of what each context keeps for unseen letters."""
-    counts = [{g: n for g, *c in rows if (n := c[k])} for k in (0, 1)]
-    pooled = {g for g, *_ in rows}
-    # shared model: continuation counts of shorter and shorter suffixes
-    levels = []
-    grams_ = pooled
+        r = sum(t[g] if g in t else c.get(g[:-1], 0.0) for g in grams(w))
+        return math.copysign(max(abs(r) - self.margin, 0.0), r)
+
+    def texts(self, texts: list[str]) -> list[float]:
+        """The gap of each text."""
+        cut = [t.lower().split() for t in texts]
+        known = self.known
+        new = {w for ws in cut for w in ws if w not in known}
+        got = {w: self.word(w) for w in new}
+        if len(known) + len(got) <= self.most:
+            known.update(got)
+            got = known
+        get, rest = known.get, got
+        return [math.fsum(v if (v := get(w)) is not None else rest[w] for w in ws) / (len(ws) + PRIOR_WORDS) for ws in cut]
+
+
+def _pooled(counts: dict[str, int]) -> dict[str, float]:
+    """Interpolated Kneser-Ney probabilities of the grams, and of all their endings by continuation counts."""
+    levels = [counts]
     for _ in range(ORDER - 1):
-        cont = Counter(g[1:] for g in grams_)
-        levels.append(cont)
-        grams_ = cont.keys()
-    letters = max(1, len(levels[-1]))
-    shared: dict[str, float] = {}
-    for cont in reversed(levels):
-        total, types, ones, twos = Counter(), Counter(), 0, 0
-        for g, n in cont.items():
-            total[g[:-1]] += n
-            types[g[:-1]] += 1
-            ones, twos = ones + (n == 1), twos + (n == 2)
-        d = ones / (ones + 2 * twos) if ones and twos else 0.5
-        here = {}
-        for g, n in cont.items():
-            h = g[:-1]
-            low = shared[g[1:]] if len(g) > 1 else 1.0 / (letters + 1)
-            here[g] = (n - d) / total[h] + d * types[h] / total[h] * low
-        shared |= here
-    keep, prob = [], []
-    for c in counts:
-        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
-        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    low: dict[str, float] = {"": 1.0 / (len(levels[-1]) + 1)}
+    for level in reversed(levels):
         total, types = Counter(), Counter()
-        for g, n in c.items():
+        for g, n in level.items():
             total[g[:-1]] += n
             types[g[:-1]] += 1
-        keep.append(defaultdict(lambda: 1.0, {h: d * types[h] / n for h, n in total.items()}))
-        prob.append((c, d, total))
+        ones, twos = sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        low = {g: (n - d + d * types[g[:-1]] * low[g[1:]]) / total[g[:-1]] for g, n in level.items()}
+    return low
 
-    def p(k: int, g: str) -> float:
-        c, d, total = prob[k]
-        h = g[:-1]
-        seen = (c[g] - d) / total[h] if g in c else 0.0
-        return seen + (keep[k][h] if h in total else 1.0) * shared[g[1:]]
 
-    table = {g: math.log(p(0, g) / p(1, g)) for g in pooled}
-    contexts = {h: math.log((keep[0][h] if h in prob[0][2] else 1.0) / (keep[1][h] if h in prob[1][2] else 1.0)) for h in {g[:-1] for g in pooled}}
-    return table, contexts
+def kneser_ney_gap(rows: list[tuple[str, int, int]], strength: float = 10.0, discount: float = 0.75) -> tuple[dict[str, float], dict[str, float]]:
+    """From (gram, toxic count, ordinary count): log ratio of each gram, and of the mass each context keeps for others."""
+    shared = _pooled({g: t + o for g, t, o in rows})
+    table, contexts = Counter(), Counter()
+    for k, sign in ((1, 1), (2, -1)):
+        total, types = Counter(), Counter()
+        for r in rows:
+            if r[k]:
+                total[r[0][:-1]] += r[k]
+                types[r[0][:-1]] += 1
+        for r in rows:
+            g, h = r[0], r[0][:-1]
+            kept = strength + discount * types[h]
+            table[g] += sign * math.log((max(r[k] - discount, 0) + kept * shared[g]) / (total[h] + strength))
+        for h, n in total.items():
+            contexts[h] += sign * math.log((strength + discount * types[h]) / (n + strength))
+    return dict(table), dict(contexts)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -147,7 +130,7 @@ def _sum_grams(docs: DataFrame) -> DataFrame:
 
         for b in pieces(batches):
             for t, k in zip(strings_of(b["text"]), b["toxic"].to_pylist()):
-                sums[k].update(t.lower().split())
+                sums[k].update(set(t.lower().split()))
             if len(sums[0]) + len(sums[1]) > 500_000:
                 yield flush()
         yield flush()
@@ -157,13 +140,13 @@ def _sum_grams(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """table and contexts of Gap, and the logistic curve."""
+    """table, contexts and margin of Gap, and the logistic curve."""
 
-    def __init__(self, table, contexts, slope: float, intercept: float):
-        self.table, self.contexts, self.slope, self.intercept = table, contexts, slope, intercept
+    def __init__(self, table, contexts, margin: float, slope: float, intercept: float):
+        self.table, self.contexts, self.margin, self.slope, self.intercept = table, contexts, margin, slope, intercept
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 4000, max_grams: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 3000, max_grams: int = 250_000, strength: float = 10.0, margin: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on labelled documents: at most per_class of each label, those with the smallest hash of their id.
 
     Three quarters of them give the counts, the rest the curve. At most max_grams grams, the most frequent, reach the
@@ -180,17 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class
     n = [len(part) for part in chosen]
     if min(n) < 4:
         share = n[0] / max(1, sum(n))
-        return Model({}, {}, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return Model({}, {}, margin, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int, check boolean"))  # at most 2 * per_class rows
     labelled = rows.join(sample, "doc_id")
     top = _sum_grams(labelled.where("not check")).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(max_grams)
-    table, contexts = kneser_ney_gap([tuple(r) for r in top.collect()])
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, table, contexts))
+    table, contexts = kneser_ney_gap([tuple(r) for r in top.collect()], strength)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, table, contexts, margin))
     got = _gaps(labelled.where("check").select("doc_id", "text", "toxic"), shared).select("gap", "toxic").collect()
     slope, intercept = logistic(np.array([r["gap"] for r in got]), np.array([float(r["toxic"]) for r in got]))
     shared.unpersist()
-    return Model(table, contexts, slope, intercept)
+    return Model(table, contexts, margin, slope, intercept)
 
 
 _GAPS: dict[str, Gap] = {}
@@ -205,8 +188,7 @@ def _gaps(docs: DataFrame, shared) -> DataFrame:
             _GAPS[key] = Gap(*tables)
         gap = _GAPS[key]
         for b in pieces(batches):
-            got = [gap.text(t) for t in strings_of(b["text"])]
-            yield b.append_column("gap", pa.array([s / n if n else 0.0 for s, n in got], pa.float64()))
+            yield b.append_column("gap", pa.array(gap.texts(strings_of(b["text"])), pa.float64()))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("gap", DoubleType())]))
 
@@ -216,7 +198,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "
 
     Null and empty texts have gap 0; rows that repeat are scored each; a null id stays null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts, model.margin))
     out = _gaps(ids_and_texts(docs, doc_id, text), shared).drop("text")
     return _verdict(out, model, threshold)
 
@@ -228,7 +210,7 @@ def _verdict(df: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts, model.margin))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
     kept = _verdict(_gaps(plain, shared), model, threshold).where("predicted = 0")
