@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("distill", "retrieval")
+FAMILIES = ("distill", "retrieval", "cognition")
 
 
 def _load():
