@@ -5,13 +5,12 @@
    are the bucket keys, as many as leave a pair at the threshold unmet with a chance of `miss`.
 2. Texts with the same set of shingles are one class, joined before any bucket is built, so thousands of copies count
    as one row in what follows.
-3. In each bucket every class is paired with the bucket's smallest id only (a star). Pairs whose set sizes rule out the
-   threshold go at once, pairs whose signatures are far below it too (six deviations), and the rest are confirmed on
-   their full shingle sets.
-4. Connected classes are found by alternating large and small stars. A star can miss a link between two members that
-   are each too far from the centre, so buckets whose members are still in different components give their remaining
-   pairs across components, which are confirmed too. After that every pair that shares a bucket was confirmed,
-   refuted, or is connected already.
+3. In each bucket every class is paired with up to four centres: the smallest and largest id, and those of the smallest
+   and largest hash of the id (stars). So a bucket gives at most four pairs for each member, however large it is; a
+   bucket of three gives all of its pairs, and a pair that is alike shares many buckets with different members. Pairs
+   whose set sizes rule out the threshold go at once, pairs whose signatures are far below it too (six deviations), and
+   the rest are confirmed on their full shingle sets.
+4. Connected classes are found by alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -196,7 +195,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = 5, miss: float = 1e-8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = 5, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Linked are texts whose shingle sets have a Jaccard similarity of the threshold (in whole hundredths) or more;
@@ -212,27 +211,18 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
         "near-classes",
     )
     buckets = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    # a key of another type: the join gets exchanges of its own, which can be split where a bucket is hot
-    centres = shared.select(F.col("bucket").cast("string").alias("k"), F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
-    members = buckets.select(F.col("bucket").cast("string").alias("k"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    near = (F.least("n_a", "n_b") * 100 >= round(100 * threshold) * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    met = members.join(centres, "k")
-    star = met.where(near).select("a", "b").distinct()
-    likely = materialise(_likely(star, classes, threshold), "near-likely")
-    links = materialise(_confirmed(likely, plain, words, threshold), "near-links")
-    labels = components(links)
-
-    # what stars may have missed: members of one bucket that are still in different components
-    crowd = met.select("k", "b", "n_b").join(labels.withColumnRenamed("id", "b"), "b", "left").select("k", F.col("b").alias("id"), F.col("n_b").alias("n"), F.coalesce("component", "b").alias("component"))
-    crowd = materialise(crowd, "near-crowd")
-    mixed = crowd.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
-    open_ = crowd.join(mixed, "k", "left_semi")
-    left, right = open_.toDF("k", "a", "n_a", "c_a"), open_.toDF("k", "b", "n_b", "c_b")
-    across = left.join(right, "k").where("a < b and c_a <> c_b").where(near).select("a", "b").distinct()
-    rest = materialise(_likely(across.join(likely, ["a", "b"], "left_anti"), classes, threshold), "near-rest")
-    more = _confirmed(rest, plain, words, threshold)
-    labels = components(links.union(more))
+    mixed = F.xxhash64("id")
+    ends = [F.min(F.struct("id", "n")), F.max(F.struct("id", "n")), F.min(F.struct(mixed.alias("h"), "id", "n")), F.max(F.struct(mixed.alias("h"), "id", "n"))]
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), *[e.alias(f"e{i}") for i, e in enumerate(ends)]).where("members > 1")
+    # another key than the aggregate's: the join gets exchanges of its own, which can be split where a bucket is hot
+    key = F.col("bucket").bitwiseXOR(F.lit(0x5DEECE66D))
+    centres = shared.select(key.alias("k"), F.array_distinct(F.array(*[F.struct(F.col(f"e{i}.id").alias("a"), F.col(f"e{i}.n").alias("n_a")) for i in range(4)])).alias("c"))
+    members = buckets.select(key.alias("k"), F.col("id").alias("b"), F.col("n").alias("n_b"))
+    near = lambda c: (F.least(c["n_a"], F.col("n_b")) * 100 >= round(100 * threshold) * F.greatest(c["n_a"], F.col("n_b"))) & (c["a"] != F.col("b"))
+    met = members.join(centres, "k").select("b", F.explode(F.transform(F.filter("c", near), lambda c: c["a"])).alias("a"))
+    stars = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = materialise(_likely(stars, classes, threshold), "near-likely")
+    labels = components(_confirmed(likely, plain, words, threshold))
 
     # rows find their component by the set they have in common
     of_set = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
