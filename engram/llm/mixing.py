@@ -27,7 +27,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 8) -> DataFrame:
     """Cells with columns tokens, weight (raked share) and ratio (raked over own share).
 
     targets has a share for each value of a margin; values that it leaves out share what is left by their tokens.
@@ -78,7 +78,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"/{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 8, seed: int = 3, topic: Column | None = None, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 8, seed: int = 3, topic: Column | None = None, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, prob, selected.
 
     Null sources, languages and topics are values of their own. Documents without tokens are in cells by their values
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     return out.withColumn("selected", uniform(F.col("doc_id"), seed) < F.col("prob"))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 8, seed: int = 3, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 8, seed: int = 3, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
     """The selected rows of docs, with all their columns."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[doc_id].alias("__id"), *[c.alias(f"__{k}") for k, c in _keyed(docs, topic_of(docs[text]), source, lang, text).items()])
     cells = chance(rake(_cells(keyed.select(*[F.col(f"__{k}").alias(k) for k in (*MARGINS, "n_tokens")])), targets, power, rounds))
@@ -106,7 +106,7 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return keyed.join(cells, met).where(uniform(F.col("__id"), seed) < F.round("prob", 9)).select("__row.*")
 
 
-def oracle(power: float = 0.7, rounds: int = 8, seed: int = 3) -> str:
+def oracle(power: float = 0.9, rounds: int = 8, seed: int = 3) -> str:
     """The query's rows as DuckDB SQL, rounds written out."""
     steps, last = [], "w0"
     for k in range(rounds):
