@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import ids_and_texts, pieces
+from engram.llm.common import ids_and_texts, kept, pieces
 
 #: Symbols: 0 for all that is no letter, 1-26 for a-z, the rest shared by other letters by their code point.
 SYMBOLS = 64
@@ -54,13 +54,8 @@ class Space:
         return out
 
 
-_SPACES: dict[tuple[int, int], Space] = {}
-
-
 def space(dimensions: int, seed: int) -> Space:
-    if (dimensions, seed) not in _SPACES:
-        _SPACES[dimensions, seed] = Space(dimensions, seed)
-    return _SPACES[dimensions, seed]
+    return kept(f"letters {dimensions} {seed}", lambda: Space(dimensions, seed))
 
 
 class Profiles:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import bytes_of, ids_and_texts, materialise, pieces
+from engram.llm.common import bytes_of, ids_and_texts, kept, materialise, pieces
 
 
 def bands(threshold: float, rows: int, miss: float) -> int:
@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """64-bit hash of each word, remembered for up to `most` words."""
 
-    most = 600_000
+    most = 400_000
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
@@ -49,15 +49,12 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted different 64-bit hashes of the text's runs of so many words; of the whole text if it has fewer."""
     ws = text.lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(kept("word hashes", _Words).__getitem__, ws), np.uint64, len(ws))
     k = min(words, len(ws))
     out = np.zeros(len(ws) - k + 1, np.uint64)
     for j in range(k):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import ids_and_texts, pieces as slices, strings_of
+from engram.llm.common import ids_and_texts, kept, pieces as slices, strings_of
 
 SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ \n▁]+| +|\n|▁")
@@ -170,7 +170,7 @@ class Edges:
 class Lattices:
     """Lattices of the segments met so far, up to `most` edges; past that, new segments are filtered for their batch only."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 5_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 4_000_000):
         self.v, self.most, self.store = vocabulary, most, Edges(1 << 20)
 
     def sample(self, rows: list[tuple[int, list[str]]], seed: int) -> list[np.ndarray]:
@@ -237,15 +237,9 @@ class Sampler:
         return text[1:] if text.startswith(" ") else text
 
 
-_SAMPLERS: dict[str, Sampler] = {}
-
-
 def _sampler(shared) -> Sampler:
     key, *rest = shared.value
-    if key not in _SAMPLERS:
-        _SAMPLERS.clear()
-        _SAMPLERS[key] = Sampler(*rest)
-    return _SAMPLERS[key]
+    return kept(key, lambda: Sampler(*rest))
 
 
 def sample_pieces(docs: DataFrame, model: str, power: float = 0.6, offset: float = 10.0, seed: int = 17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

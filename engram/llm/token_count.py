@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import ids_and_texts, pieces, strings_of
+from engram.llm.common import ids_and_texts, kept, pieces, strings_of
 
 # Letters, numbers and white space up to U+024F, as Unicode has them: the part of the pre-tokenizer's pattern that needs no Unicode tables.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
@@ -90,23 +91,17 @@ def whole_tokens(spec: str) -> dict[str, int]:
     return found
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(shared) -> Encoder:
-    """The worker's encoder for a broadcast (spec, whole tokens); later tasks of the worker find it ready."""
-    key = hash(shared.value[0])
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(*shared.value)
-    return _ENCODERS[key]
+    """The worker's encoder for a broadcast (key, spec, whole tokens); later tasks of the worker find it ready."""
+    key, *rest = shared.value
+    return kept(key, lambda: Encoder(*rest))
 
 
 def share_encoder(spark, path: str):
     """Broadcast the tokenizer file and its whole-token table: as large as the vocabulary file, whatever the data."""
     with open(path, encoding="utf-8") as f:
         spec = f.read()
-    return spark.sparkContext.broadcast((spec, whole_tokens(spec)))
+    return spark.sparkContext.broadcast((f"encoder {zlib.crc32(spec.encode())}", spec, whole_tokens(spec)))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

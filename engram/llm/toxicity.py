@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from engram.llm.common import ids_and_texts, pieces, strings_of
+from engram.llm.common import ids_and_texts, kept, pieces, strings_of
 
 ORDER = 6
 #: Neutral words added to every text's length, so that one odd word decides nothing in a text of a few words.
@@ -40,7 +40,7 @@ def grams(word: str) -> list[str]:
 class Gap:
     """Log-likelihoods of words under the toxic model less those under the ordinary one; remembered up to a bound."""
 
-    def __init__(self, table: dict[str, float], contexts: dict[str, float], margin: float, most: int = 300_000):
+    def __init__(self, table: dict[str, float], contexts: dict[str, float], margin: float, most: int = 200_000):
         self.table, self.contexts, self.margin, self.most, self.known = table, contexts, margin, most, {}
 
     def word(self, w: str) -> float:
@@ -176,17 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class
     return Model(table, contexts, margin, slope, intercept)
 
 
-_GAPS: dict[str, Gap] = {}
-
-
 def _gaps(docs: DataFrame, shared) -> DataFrame:
     """docs and a column gap in place of the text that is read; columns stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, *tables = shared.value
-        if key not in _GAPS:
-            _GAPS.clear()
-            _GAPS[key] = Gap(*tables)
-        gap = _GAPS[key]
+        gap = kept(key, lambda: Gap(*tables))
         for b in pieces(batches):
             yield b.append_column("gap", pa.array(gap.texts(strings_of(b["text"])), pa.float64()))
 
