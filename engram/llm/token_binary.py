@@ -40,10 +40,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     big = ids >> np.uint64(60) != 0
     escapes = ids[big]
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
+    narrow = padded.astype(np.uint32) if not n or ids.max() < 1 << 32 else padded
     selector = np.full(n, 13, np.int8)
     for s in range(12, -1, -1):  # what fits at a larger count fits at every smaller one
-        fits = padded < np.uint64(1) << np.uint64(BITS[s])
-        fits[:n] &= ~big
+        fits = narrow < 1 << int(BITS[s]) if narrow is padded or BITS[s] < 32 else np.ones(n + 60, bool)
+        if len(escapes):
+            fits[:n] &= ~big
         width = 1
         while width < COUNTS[s]:  # ids from here on that fit, in windows of doubling width
             more = min(width, COUNTS[s] - width)

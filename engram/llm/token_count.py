@@ -24,7 +24,8 @@ from engram.llm.common import ids_and_texts, kept, pieces, strings_of
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _SIMPLE = re.compile(f"[\\x00-ɏ‐-‧“”…€]*")
 _SPACED = re.compile(f" [{_L}]+")
-_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# Words come first, as most pre-tokens are; none of them can start where an alternative after them would have matched.
+_PRETOKEN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Encoder:
@@ -34,13 +35,14 @@ class Encoder:
     At most `most` pre-tokens are remembered; past that the rest is merged anew for each batch, so memory is bounded.
     """
 
-    def __init__(self, spec: str, whole: dict[str, int], most: int = 600_000):
+    def __init__(self, spec: str, whole: dict[str, int], most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.known = {w: i.to_bytes(4, "little") for w, i in whole.items()}
         self.most = most + len(whole)
+        self.line_break = self.library.encode("\n", add_special_tokens=False).ids
         added = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -48,16 +50,16 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _merged(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each pre-token. Those of a space and letters go to the library in runs, as one text that it cuts
-        into the same pre-tokens; that spares a result object for each."""
+        """The ids of each pre-token. Those of a space and letters go to the library in runs, with line breaks between
+        them: it cuts such a text into the same pre-tokens, and the id of a line break comes from nothing else."""
         out = dict.fromkeys(words, b"")
-        plain = [w for w in words if _SPACED.fullmatch(w)]
+        plain = [w for w in words if _SPACED.fullmatch(w)] if len(self.line_break) == 1 else []
         for i in range(0, len(plain), 1000):
             part = plain[i : i + 1000]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            cuts = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(ids)]
-            out.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_break[0])
+            raw, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            out.update(zip(part, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
         rest = [w for w in words if not out[w]]
         out.update(zip(rest, self._library(rest)))
         return out
@@ -67,13 +69,14 @@ class Encoder:
         cut = [_PRETOKEN.findall(t) if _SIMPLE.fullmatch(t) and not (self.added and self.added.search(t)) else None for t in texts]
         get = self.known.get
         out = [self._library([t]) if ws is None else list(map(get, ws)) for t, ws in zip(texts, cut)]
-        gaps = [k for k, ps in enumerate(out) if None in ps]
+        gaps = [(ws, ps, [i for i, p in enumerate(ps) if p is None]) for ws, ps in zip(cut, out) if None in ps]
         if gaps:
-            ids = self._merged(list({w for k in gaps for w, p in zip(cut[k], out[k]) if p is None}))
+            ids = self._merged(list({ws[i] for ws, _, at in gaps for i in at}))
             if len(self.known) + len(ids) <= self.most:
                 self.known.update(ids)
-            for k in gaps:
-                out[k] = [ids[w] if p is None else p for w, p in zip(cut[k], out[k])]
+            for ws, ps, at in gaps:
+                for i in at:
+                    ps[i] = ids[ws[i]]
         return out
 
 
