@@ -11,6 +11,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,20 @@ from engram.llm.common import ids_and_texts, kept, pieces, strings_of
 # Letters, numbers and white space up to U+024F, as Unicode has them: the part of the pre-tokenizer's pattern that needs no Unicode tables.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _SIMPLE = re.compile(f"[\\x00-ɏ‐-‧“”…€]*")
-_SPACED = re.compile(f" [{_L}]+")
 # Words come first, as most pre-tokens are; none of them can start where an alternative after them would have matched.
 _PRETOKEN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Encodes texts as the library does. ids(text) is a bytes object of little-endian unsigned 32-bit ids.
 
@@ -42,7 +52,6 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.known = {w: i.to_bytes(4, "little") for w, i in whole.items()}
         self.most = most + len(whole)
-        self.line_break = self.library.encode("\n", add_special_tokens=False).ids
         added = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -50,18 +59,12 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _merged(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each pre-token. Those of a space and letters go to the library in runs, with line breaks between
-        them: it cuts such a text into the same pre-tokens, and the id of a line break comes from nothing else."""
-        out = dict.fromkeys(words, b"")
-        plain = [w for w in words if _SPACED.fullmatch(w)] if len(self.line_break) == 1 else []
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_break[0])
-            raw, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
-            out.update(zip(part, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
-        rest = [w for w in words if not out[w]]
-        out.update(zip(rest, self._library(rest)))
+        """The ids of each pre-token, from the library's BPE model alone: cutting and offsets have no part in them."""
+        merge = self.library.model.tokenize
+        out = {}
+        for w in words:
+            chars = w.replace(" ", _BYTE_CHARS[32]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+            out[w] = array("I", [t.id for t in merge(chars)]).tobytes()
         return out
 
     def parts(self, texts: list[str]) -> list[list[bytes]]:
