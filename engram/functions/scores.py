@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from engram.functions.lexicons import (
     CHATTER, FUTURE_WORDS, INTERROGATIVES, NOT_PROBLEMS, PAST_WORDS, PROBLEM_WORDS, SECRETS, TYPE_BIAS, TYPE_TTL_SECONDS, TYPE_WORDS, VALUE_WORDS,
 )
-from engram.functions.text import any_of, how_many_of, starts_with_any
+from engram.functions.text import any_of, how_many_of, let, starts_with_any
 
 
 def trimmed(text: Column) -> Column:
@@ -42,9 +42,9 @@ def is_question(text: Column, words: Sequence[str] = INTERROGATIVES) -> Column:
 
 def memory_type(low: Column, words: dict[str, Sequence[str]] = TYPE_WORDS) -> Column:
     """The type with the most of its words in the lower-case text, the first of equals; knowledge if none has any."""
+    kinds = F.array(*map(F.lit, words))
     hits = F.array(*[how_many_of(low, ws) for ws in words.values()])
-    at = F.array_position(hits, F.array_max(hits)).cast("int")
-    return F.when(F.array_max(hits) == 0, "knowledge").otherwise(F.element_at(F.array(*map(F.lit, words)), at))
+    return let(hits, lambda h: F.when(F.array_max(h) == 0, "knowledge").otherwise(F.element_at(kinds, F.array_position(h, F.array_max(h)).cast("int"))))
 
 
 def length_score(n: Column) -> Column:

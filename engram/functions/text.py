@@ -22,8 +22,14 @@ def _literal(word: str) -> str:
     return "\\Q" + word + "\\E"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it, and that doesn't grow the generated code."""
+    return F.transform(F.array(value), f)[0]
+
+
 def how_many_of(text: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(text.contains(w), F.lit(False)).cast("int") for w in words], F.lit(0))
+    """How many of the words the text holds."""
+    return let(text, lambda t: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.contains(t, w), F.lit(False)))))
 
 
 def starts_with_any(text: Column, words: Sequence[str]) -> Column:

@@ -186,7 +186,7 @@ def compress_centroids(vectors: DataFrame, group: str, eps: float, samples: int
     return rows.mapInPandas(run, f"{group} {kind}, cluster int, n long, centroid array<double>, members array<long>")
 
 
-def hyperplane_codes(vectors: DataFrame, tables: int = 12, bits: int = 10, seed: int = 1) -> DataFrame:
+def hyperplane_codes(vectors: DataFrame, tables: int = 24, bits: int = 4, seed: int = 1) -> DataFrame:
     """(id, vector, bucket): one row a table, bucket the signs of the vector's products with random planes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +202,7 @@ def hyperplane_codes(vectors: DataFrame, tables: int = 12, bits: int = 10, seed:
     return vectors.select("id", "vector").mapInPandas(run, "id long, vector array<float>, bucket array<long>").select("id", "vector", F.explode("bucket").alias("bucket"))
 
 
-def nearest_by_buckets(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 1) -> DataFrame:
+def nearest_by_buckets(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 24, bits: int = 4, seed: int = 1) -> DataFrame:
     """Approximate k nearest: exact cosines among vectors that share a bucket with the query: (query_id, id, distance, rank)."""
     q = hyperplane_codes(queries, tables, bits, seed).select(F.col("id").alias("query_id"), F.col("vector").alias("q"), "bucket")
     v = hyperplane_codes(vectors, tables, bits, seed)
