@@ -146,7 +146,7 @@ class Edges:
         self.ends += (self.nodes + ends + np.arange(len(segments))).tolist()
         self.nodes, m = self.nodes + len(log_forward), self.n + len(keys)
         if m > len(self.keys):
-            self.keys, self.back, self.piece = (np.concatenate([x, np.zeros(max(len(x), m), x.dtype)]) for x in (self.keys, self.back, self.piece))
+            self.keys, self.back, self.piece = (np.concatenate([x, np.zeros(max(len(x) // 4, m - len(x)), x.dtype)]) for x in (self.keys, self.back, self.piece))
         self.keys[self.n : m], self.back[self.n : m], self.piece[self.n : m] = keys, length[order], piece[order]
         self.n = m
 
@@ -170,7 +170,7 @@ class Edges:
 class Lattices:
     """Lattices of the segments met so far, up to `most` edges; past that, new segments are filtered for their batch only."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 4_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 3_000_000):
         self.v, self.most, self.store = vocabulary, most, Edges(1 << 20)
 
     def sample(self, rows: list[tuple[int, list[str]]], seed: int) -> list[np.ndarray]:
