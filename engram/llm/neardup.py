@@ -149,7 +149,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float)
             sets = [shingles(t, words).tobytes() for t in bytes_of(b["text"])]
             yield pa.record_batch([b["doc_id"], pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    texts = docs.join(ids, "doc_id", "left_semi")
+    # the ids grow with the documents, so they are never broadcast: the plan is the same at every size
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "near-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
