@@ -171,3 +171,60 @@ def check_lexicon(lexicon: DataFrame) -> DataFrame:
     ids = lexicon.select("id", "language").distinct().groupBy(F.col("id").alias("value")).agg(F.count("*").alias("n")).select(F.lit("id").alias("kind"), "value", "n")
     forms = lexicon.groupBy(F.concat_ws("/", "language", "form").alias("value")).agg(F.count("*").alias("n")).select(F.lit("form").alias("kind"), "value", "n")
     return ids.unionByName(forms).where("n > 1")
+
+
+def prefix_forms(lexicon: DataFrame, prefix: str, k: int = 20) -> DataFrame:
+    """The first k forms of a lexicon (id, form) that begin with the text, lower case, by form and id."""
+    return lexicon.where(F.lower("form").startswith(prefix.lower())).orderBy("form", "id").limit(k)
+
+
+#: Where a value taken from a sentence ends.
+STOPS = "，,。；、\n：;"
+
+
+def value_after(text: Column, mark: str) -> Column:
+    """What follows the first mark, up to the next stop, trimmed; null if the mark isn't there or nothing follows."""
+    return _value(text, re.escape(mark) + f"([^{STOPS}]*)")
+
+
+def value_before(text: Column, mark: str) -> Column:
+    """What stands before the first mark, from the stop before it."""
+    return _value(text, f"([^{STOPS}]*?)" + re.escape(mark))
+
+
+def value_between(text: Column, start: str, end: str) -> Column:
+    return _value(text, re.escape(start) + f"([^{STOPS}]*?)" + re.escape(end))
+
+
+def _value(text: Column, pattern: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+
+
+def without_overlap(spans: DataFrame) -> DataFrame:
+    """Of a group's spans (group_id, start, length, name) those that a greedy reader keeps: by start, the longest first, each
+    that begins where the last kept one has ended or later. A group is one chapter, folded as an array."""
+    one = "array<struct<start:bigint,length:bigint,name:string>>"
+    rows = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (-F.col("length")).cast("long").alias("o"), "name")))
+    kept = F.aggregate(
+        rows,
+        F.struct(F.lit(0).cast("long").alias("end"), F.array().cast(one).alias("out")),
+        lambda a, x: F.when(x["start"] >= a["end"], F.struct((x["start"] - x["o"]).alias("end"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), (-x["o"]).alias("length"), x["name"].alias("name")))).alias("out"))).otherwise(a),
+        lambda a: a["out"],
+    )
+    return spans.groupBy("group_id").agg(kept.alias("k")).select("group_id", F.inline("k"))
+
+
+def attribute_hints(rows: DataFrame, attributes: dict[str, Sequence[str]]) -> DataFrame:
+    """Per document and attribute, the first sentence with one of its words and that word: doc_id, attribute, word, sentence."""
+    words = [(a, i, w) for a, ws in attributes.items() for i, w in enumerate(ws)]
+    hit = F.filter(F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(i).alias("i"), F.lit(w).alias("word")) for a, i, w in words]), lambda s: F.contains("sentence", s["word"]))
+    each = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("h"))
+    first = F.min_by(F.struct("h.word", "sentence"), F.struct("pos", "h.i"))
+    return each.groupBy("doc_id", F.col("h.attribute").alias("attribute")).agg(first.alias("f")).select("doc_id", "attribute", "f.word", "f.sentence")
+
+
+def relation_snippets(rows: DataFrame, predicates: Sequence[str], size: int = 20) -> DataFrame:
+    """Sentences with a predicate, the first in list order, and the text after it: doc_id, pos, predicate, snippet."""
+    first = F.try_element_at(F.filter(F.array(*map(F.lit, predicates)), lambda p: F.contains("sentence", p)), F.lit(1))
+    r = rows.withColumn("predicate", first).where("predicate is not null")
+    return r.select("doc_id", "pos", "predicate", F.expr(f"substring(sentence, instr(sentence, predicate) + length(predicate), {int(size)})").alias("snippet"))

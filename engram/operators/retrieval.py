@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from engram.functions.scores import temporal_score, time_intent
 from engram.functions.text import bm25, raw_tokens
 from engram.functions.vectors import centroids, cosine
+from engram.operators.graph import checkpointed
 
 
 def query_terms(query: str, stop_words: Sequence[str] | None = None) -> list[str]:
@@ -63,15 +65,13 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_: str = "id",
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """The exact k nearest stored vectors of every query: (query_id, id, distance, rank).
 
-    queries and vectors have id and vector. Queries are collected into at most `block` rows a batch and shown to every
+    queries and vectors have id and vector. Queries reach the driver `block` at a time, and each block is shown to every
     task of vectors, which keeps its own top k of each; those are ranked together. So it takes one pass over vectors a
     batch of queries, and never a pair a row.
     """
-    dim = queries.select(F.size("vector")).first()
-    rows = queries.select("id", "vector").orderBy("id").collect() if dim else []
     spark, parts = queries.sparkSession, None
-    for at in range(0, len(rows), block):
-        chunk = rows[at : at + block]
+    rows = queries.select("id", "vector").orderBy("id").toLocalIterator()
+    while chunk := list(islice(rows, block)):
         ids = np.array([r["id"] for r in chunk])
         q = np.array([r["vector"] for r in chunk], float)
         shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)))
@@ -100,6 +100,20 @@ def _best_of_batches(shared, k: int):
     return run
 
 
+def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with each row's place in the whole order, from 0, in a column of that name; ties must not be left to chance.
+
+    Rows are sorted by range over all tasks; a row's place is its place in its range plus the rows of the ranges before.
+    Only the counts of the ranges meet in one task.
+    """
+    inner = F.monotonically_increasing_id()
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(inner, 33), "_place": inner.bitwiseAND(F.lit((1 << 33) - 1))})
+    s = checkpointed(s)
+    n = s.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = n.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    return s.join(before, "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
+
+
 def vector_search(memories: DataFrame, query: Sequence[float], k: int = 10, kind: str | None = None) -> DataFrame:
     """The k nearest, ordered by distance, score .6 similarity + .2 confidence; a type is filtered after the cut."""
     near = nearest(memories, query, k)
@@ -115,18 +129,15 @@ def hybrid_search(memories: DataFrame, query: str, vector: Sequence[float], now:
     Ranks start at 0. Vector ranks are those among the max(candidates, k) nearest of all memories; a candidate without
     one gets nothing for it. external has (id, source, score): each adds 1 / (60 + rank) + .2 score as `ext:source:id`.
     """
-    c = candidates(memories, query, tenant)
-    order = Window.partitionBy("one").orderBy(F.desc("bm25"), "id")
-    c = c.withColumn("one", F.lit(1)).withColumn("r_kw", F.row_number().over(order) - 1)  # candidates of one query
+    c = global_rank(candidates(memories, query, tenant), "r_kw", F.desc("bm25"), F.asc("id"))
     depth = max(c.count(), k)
-    near = nearest(memories, vector, depth).withColumn("one", F.lit(1))
-    near = near.withColumn("r_vec", F.row_number().over(Window.partitionBy("one").orderBy("distance", "id")) - 1).select("id", "r_vec")
+    near = global_rank(nearest(memories, vector, depth), "r_vec", F.asc("distance"), F.asc("id")).select("id", "r_vec")
     fresh = temporal_score(time_intent(F.lit(query)), F.col("created_at"), F.col("expires_at"), F.lit(now))
     score = 1.0 / (60 + F.col("r_kw")) + F.coalesce(1.0 / (60 + F.col("r_vec")), F.lit(0.0)) + 0.2 * F.col("confidence") + 0.15 * fresh
     out = c.join(near, "id", "left").select(F.col("id").cast("string").alias("id"), F.round(score, 9).alias("score"))
     if external is not None:
-        ranked = external.withColumn("one", F.lit(1)).withColumn("r", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("score"), "id")) - 1)
-        extra = ranked.select(F.concat(F.lit("ext:"), "source", F.lit(":"), F.col("id").cast("string")).alias("id"), F.round(1.0 / (60 + F.col("r")) + 0.2 * F.col("score"), 9).alias("score"))
+        extra = global_rank(external, "r", F.desc("score"), F.asc("id"))
+        extra = extra.select(F.concat(F.lit("ext:"), "source", F.lit(":"), F.col("id").cast("string")).alias("id"), F.round(1.0 / (60 + F.col("r")) + 0.2 * F.col("score"), 9).alias("score"))
         out = out.unionByName(extra)
     return out.orderBy(F.desc("score"), "id").limit(k)
 

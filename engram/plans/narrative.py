@@ -134,3 +134,24 @@ LEX = [("l1", "tion", False), ("l2", "the", True), ("l3", "with", True), ("l4",
 def lexicon_matches(spark, d):
     lex = spark.createDataFrame(LEX, "id string, form string, word_boundary boolean")
     return N.lexicon_matches(N.sentence_rows(docs(spark, d)), lex).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("prefix_forms", "SELECT p_partkey AS id, p_name AS form FROM part WHERE starts_with(lower(p_name), 'sm') ORDER BY form, id LIMIT 20")
+def prefix_forms(spark, d):
+    lex = C.Catalog(spark, d).table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("form"))
+    return N.prefix_forms(lex, "SM")
+
+
+@query("value_after", f"SELECT doc_id, CAST(pos AS INT) AS pos, nullif(trim(regexp_extract(sentence, 'with([^，,。；、\n：;]*)', 1), ' '), '') AS value FROM {SENT} WHERE contains(sentence, 'with')")
+def value_after(spark, d):
+    return N.sentence_rows(docs(spark, d)).where(F.contains("sentence", F.lit("with"))).select("doc_id", "pos", N.value_after(F.col("sentence"), "with").alias("value"))
+
+
+@query("attribute_hints", f"""SELECT doc_id, attribute, arg_min(word, (pos, i)) AS word FROM {SENT} JOIN (VALUES ('a', 0, 'tion'), ('a', 1, 'ing'), ('b', 0, 'with'), ('b', 1, 'from')) w(attribute, i, word) ON contains(sentence, word) GROUP BY doc_id, attribute""")
+def attribute_hints(spark, d):
+    return N.attribute_hints(N.sentence_rows(docs(spark, d)), {"a": ["tion", "ing"], "b": ["with", "from"]}).select("doc_id", "attribute", "word")
+
+
+@query("relation_snippets", f"""SELECT doc_id, CAST(pos AS INT) AS pos, p AS predicate, substr(sentence, CAST(instr(sentence, p) + length(p) AS BIGINT), 20) AS snippet FROM (SELECT *, CASE WHEN contains(sentence, 'tion') THEN 'tion' WHEN contains(sentence, 'with') THEN 'with' END AS p FROM {SENT}) WHERE p IS NOT NULL""")
+def relation_snippets(spark, d):
+    return N.relation_snippets(N.sentence_rows(docs(spark, d)), ["tion", "with"])

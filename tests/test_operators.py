@@ -277,3 +277,14 @@ def test_stream_relationship_keeps_state(spark, tmp_path):
 def test_cooccurrence(spark):
     m = spark.createDataFrame([(g, n) for g in range(3) for n in "ab"] + [(0, "c")], "group_id long, name string")
     assert [tuple(r) for r in corpus.cooccurrence(m).collect()] == [("a", "b", 3)]
+
+
+def test_without_overlap(spark):
+    rows = [(1, 0, 2, "ab"), (1, 0, 3, "abc"), (1, 2, 2, "cd"), (1, 3, 1, "d"), (2, 5, 1, "x")]
+    s = spark.createDataFrame(rows, "group_id long, start long, length long, name string")
+    assert sorted(r["name"] for r in narrative.without_overlap(s).collect()) == ["abc", "d", "x"]
+
+
+def test_global_rank(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") * 7919 % 1000)
+    assert retrieval.global_rank(df, "r", F.desc("x")).where("r <> 999 - x").count() == 0
