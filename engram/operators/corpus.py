@@ -63,3 +63,47 @@ def deaths(rows: DataFrame, found: DataFrame, phrases: list[str], reach: int = 4
     pattern = "|".join(phrases)
     j = found.join(rows, ["doc_id", "pos"]).where(F.expr("substring(sentence, instr(sentence, alias) + length(alias), %d)" % reach).rlike(pattern))
     return j.groupBy("doc_id", F.col("canonical").alias("name")).agg(F.min("chapter").alias("chapter"))
+
+
+def action_sentences(rows: DataFrame, found: DataFrame, verbs: list[str], most_bytes: int = 300) -> DataFrame:
+    """(doc_id, name, sentence): the first sentence with a mention and a strong verb, cut at most_bytes whole characters."""
+    from engram.functions.text import any_of
+
+    good = rows.where(any_of(F.col("sentence"), verbs) & (F.octet_length("sentence") <= most_bytes))
+    j = found.join(good, ["doc_id", "pos"])
+    return j.groupBy("doc_id", F.col("canonical").alias("name")).agg(F.min_by("sentence", F.struct("pos", "start")).alias("sentence"))
+
+
+def relation_types(rows: DataFrame, found: DataFrame, rules: list[tuple[str, str]], reach: int = 40) -> DataFrame:
+    """(doc_id, a, b, relation): of rules (keyword, relation) the first whose keyword is within reach bytes of mentions of
+    both names in one sentence. A sentence's mentions are few, so its pairs are bounded by its length."""
+    hit = F.filter(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(r).alias("relation")) for i, (k, r) in enumerate(rules)]), lambda s: F.contains("sentence", s["keyword"]))
+    k = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("h")).select("doc_id", "pos", "sentence", "h.*")
+    k = k.withColumn("at", F.expr("octet_length(substring(sentence, 1, instr(sentence, keyword) - 1))")).withColumn("until", F.col("at") + F.octet_length("keyword")).drop("sentence")
+    m = k.join(found, ["doc_id", "pos"]).withColumn("end", F.col("start") + F.octet_length("alias"))
+    gap = F.when(F.col("end") <= F.col("at"), F.col("at") - F.col("end")).when(F.col("start") >= F.col("until"), F.col("start") - F.col("until")).otherwise(0)
+    near = m.where(gap <= reach).select("doc_id", "pos", "rule", "relation", F.col("canonical").alias("name")).distinct()
+    pairs = near.withColumnRenamed("name", "a").join(near.select("doc_id", "pos", "rule", F.col("name").alias("b")), ["doc_id", "pos", "rule"]).where("a < b")
+    return pairs.groupBy("doc_id", "a", "b").agg(F.min_by("relation", "rule").alias("relation"))
+
+
+def search_characters(characters_: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """Characters (name, aliases, importance) whose name or an alias holds the text: equal names first, then the most important."""
+    q = query.lower()
+    hit = F.lower("name").contains(q) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a).contains(q))
+    exact = F.lower("name") == q
+    return characters_.where(hit).orderBy(F.desc(exact), F.desc("importance"), "name").limit(k)
+
+
+def to_graph(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(objects, edges, evidence) of events (doc_id, chapter, title, name, sentence), one row a participant.
+
+    Persons by document and name, events by document, chapter and title; ids are hashes of those keys, so a second run
+    gives the same rows. Evidence is each different sentence of an event.
+    """
+    person = F.xxhash64(F.lit("person"), "doc_id", "name")
+    event = F.xxhash64(F.lit("event"), "doc_id", "chapter", "title")
+    objects = events.select(person.alias("id"), F.lit("person").alias("object_type"), "name", "doc_id").unionByName(events.select(event.alias("id"), F.lit("event").alias("object_type"), F.col("title").alias("name"), "doc_id")).distinct()
+    edges = events.select(person.alias("source_id"), event.alias("target_id"), F.lit("participated_in").alias("predicate"), F.col("chapter").cast("int").alias("valid_from"), F.lit(None).cast("int").alias("valid_to")).distinct()
+    evidence = events.select(event.alias("event_id"), "doc_id", "chapter", F.col("sentence").alias("content")).distinct()
+    return objects, edges, evidence

@@ -288,3 +288,15 @@ def test_without_overlap(spark):
 def test_global_rank(spark):
     df = spark.range(1000).withColumn("x", F.col("id") * 7919 % 1000)
     assert retrieval.global_rank(df, "r", F.desc("x")).where("r <> 999 - x").count() == 0
+
+
+def test_character_model(spark):
+    rows = spark.createDataFrame([(1, 0, "刘备与关羽结义"), (1, 1, "关羽斩颜良")], "doc_id long, pos int, sentence string")
+    found = narrative.mentions(rows, [("刘备", "刘备"), ("关羽", "关羽"), ("颜良", "颜良")])
+    assert {tuple(r) for r in corpus.relation_types(rows, found, [("结义", "oath"), ("斩", "enemy")]).collect()} == {(1, "关羽", "刘备", "oath"), (1, "关羽", "颜良", "enemy")}
+    assert dict(corpus.action_sentences(rows, found, ["斩"]).select("name", "sentence").collect()) == {"关羽": "关羽斩颜良", "颜良": "关羽斩颜良"}
+    c = spark.createDataFrame([("关羽", ["云长"], 0.5), ("关羽之子", None, 0.9), ("张飞", ["关三"], 0.7)], "name string, aliases array<string>, importance double")
+    assert [r["name"] for r in corpus.search_characters(c, "关羽").collect()] == ["关羽", "关羽之子"]
+    ev = spark.createDataFrame([(1, 3, "结义", "刘备", "s"), (1, 3, "结义", "关羽", "s"), (1, 3, "结义", "关羽", "s2")], "doc_id long, chapter int, title string, name string, sentence string")
+    objects, edges, evidence = corpus.to_graph(ev)
+    assert (objects.count(), edges.count(), evidence.count()) == (3, 2, 2)
