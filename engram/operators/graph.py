@@ -197,3 +197,23 @@ def merge_properties(old: Column, new: Column) -> Column:
 def purge(tables: dict[str, DataFrame], docs: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows of the documents (doc_id)."""
     return {k: t.join(docs.select("doc_id").distinct(), "doc_id", "left_anti") for k, t in tables.items()}
+
+
+def vector_texts(objects: DataFrame, aliases: DataFrame, edges: DataFrame, repeat: int = 3, most_events: int = 5) -> DataFrame:
+    """(id, text): what is embedded for an object: its name repeated, aliases (id, alias), relations, first events."""
+    a = aliases.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("aliases"))
+    names = objects.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
+    e = edges.join(names, "target_id").withColumn("event", F.col("predicate") == "participated_in")
+    w = Window.partitionBy("source_id", "event").orderBy(F.asc_nulls_last("valid_from"), "target_id")
+    e = e.withColumn("r", F.row_number().over(w)).where(~F.col("event") | (F.col("r") <= most_events))
+    text = F.when(F.col("event"), F.col("target")).otherwise(F.concat_ws(" ", "predicate", "target"))
+    r = e.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event", "r", text.alias("t")))), lambda s: s["t"]), " ").alias("relations"))
+    j = objects.join(a, "id", "left").join(r, "id", "left")
+    return j.select("id", F.concat_ws(" ", F.array_join(F.array_repeat("name", repeat), " "), "aliases", "relations").alias("text"))
+
+
+def run_row(spark, run_id: int, version: str, status: str, started: int, finished: int | None, statistics: dict[str, int]) -> DataFrame:
+    """One row of the compiler's run log, to append to it; statistics as JSON."""
+    import json
+
+    return spark.createDataFrame([(run_id, version, status, started, finished, json.dumps(statistics, sort_keys=True))], "run_id long, version string, status string, started long, finished long, statistics string")

@@ -115,3 +115,22 @@ def decayed(facts: DataFrame, now: int, strategy: str = "hybrid", force: bool =
 
 def decay_stats(assessed: DataFrame) -> DataFrame:
     return assessed.agg(F.count("*").alias("scanned"), F.count_if("archived").alias("archived"), F.count_if(~F.col("archived")).alias("kept"), F.count_if("protected").alias("protected"))
+
+
+def check_thresholds(match: float, conflict: float, dedup: float) -> None:
+    """Thresholds are in [0, 1] and don't fall from match to conflict to dedup; else ValueError."""
+    if not 0 <= match <= conflict <= dedup <= 1:
+        raise ValueError(f"thresholds must be 0 <= match <= conflict <= dedup <= 1, not {match}, {conflict}, {dedup}")
+
+
+def card_text(cards_: DataFrame) -> DataFrame:
+    """(entity_id, text): a card as lines, without those that are empty."""
+    line = lambda name: F.when(F.size(name) > 0, F.concat(F.lit(f"{name}: "), F.array_join(name, "; ")))
+    return cards_.select("entity_id", F.concat_ws("\n", F.when(F.col("identity").isNotNull(), F.concat(F.lit("identity: "), "identity")), line("preference"), line("emotion"), line("goal")).alias("text"))
+
+
+def story_facts(events: DataFrame, stride: int = 2_000_000) -> DataFrame:
+    """Events of a character (entity_id, event_id, content) as facts: id order, times a stride apart, so that gaps between
+    them count as large."""
+    r = F.row_number().over(Window.partitionBy("entity_id").orderBy("event_id"))
+    return events.select(F.col("event_id").alias("id"), "entity_id", F.lit("event").alias("fact_type"), (r.cast("long") * stride).alias("time"), (r.cast("long") * stride).alias("created_at"), "content", F.lit(None).cast("boolean").alias("negated"), F.lit(True).alias("persona"))

@@ -300,3 +300,18 @@ def test_character_model(spark):
     ev = spark.createDataFrame([(1, 3, "结义", "刘备", "s"), (1, 3, "结义", "关羽", "s"), (1, 3, "结义", "关羽", "s2")], "doc_id long, chapter int, title string, name string, sentence string")
     objects, edges, evidence = corpus.to_graph(ev)
     assert (objects.count(), edges.count(), evidence.count()) == (3, 2, 2)
+
+
+def test_cards_stories_and_texts(spark):
+    with pytest.raises(ValueError):
+        persona.check_thresholds(0.9, 0.75, 0.95)
+    persona.check_thresholds(0.75, 0.75, 0.95)
+    f = facts(spark, ("identity", 1, "我是我", None, True), ("preference", 2, "茶", None, True))
+    assert persona.card_text(persona.cards(f)).first()["text"] == "identity: 我是我\npreference: 茶"
+    ev = spark.createDataFrame([(1, 5, "a"), (1, 9, "b")], "entity_id long, event_id long, content string")
+    assert persona.milestones(persona.story_facts(ev)).where("milestone = 'large_gap'").count() == 1
+    o = spark.createDataFrame([(1, "person", "a"), (2, "event", "e"), (3, "person", "b")], "id long, object_type string, name string")
+    e = spark.createDataFrame([(1, 2, "participated_in", 1, None), (1, 3, "knows", 1, None)], "source_id long, target_id long, predicate string, valid_from int, valid_to int")
+    al = spark.createDataFrame([(1, "x")], "id long, alias string")
+    assert graph.vector_texts(o, al, e).where("id = 1").first()["text"] == "a a a x knows b e"
+    assert graph.run_row(spark, 1, "v", "done", 1, 2, {"n": 1}).first()["statistics"] == '{"n": 1}'
