@@ -97,8 +97,12 @@ def kneser_ney_gap(rows: list[tuple[str, int, int]], strength: float = 10.0, dis
     return dict(table), dict(contexts)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through (x, y) by Newton's method, x scaled to unit deviation."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through (x, y) by Newton's method, x scaled to unit deviation.
+
+    Outer values are drawn in to the second and 98th hundredth first: a few far ones would flatten the curve for all.
+    """
+    x = np.clip(x, *np.quantile(x, [0.02, 0.98]))
     m, s = float(x.mean()), float(x.std()) or 1.0
     a = np.stack([(x - m) / s, np.ones_like(x)], 1)
     w = np.zeros(2)
