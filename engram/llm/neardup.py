@@ -11,6 +11,11 @@
    whose set sizes rule out the threshold go at once, pairs whose signatures are far below it too (six deviations), and
    the rest are confirmed on their full shingle sets.
 4. Connected classes are found by alternating large and small stars.
+5. Members of buckets that have pairs no centre is part of, and more than one component, are compared by a prefix join
+   that loses no pair: of two sets at the threshold the smaller has one of the other's rarest shingles among its own
+   rarest, n - ceil(2tn / (1 + t)) + 1 of the smaller and n - ceil(tn) + 1 of the larger. Rarity only orders shingles, so
+   its estimate (a table of fixed size) bears on the cost, not on the result. Boilerplate isn't among the rarest while
+   texts that share no more than it are below the threshold. Pairs within a component are not built.
 """
 
 from __future__ import annotations
@@ -143,6 +148,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Sets are made for the documents in pairs only."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return _alike(pairs, _sets(docs, ids, words), threshold)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents whose doc_id is in ids, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -151,7 +161,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float)
 
     # the ids grow with the documents, so they are never broadcast: the plan is the same at every size
     texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return materialise(texts.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -168,6 +182,81 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float)
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _crowded(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component) of the classes in buckets where a pair without a centre may join two components."""
+    labelled = classes.select("id", "bands").join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = labelled.select("id", "component", F.explode("bands").alias("bucket"))
+    mixed = F.struct(F.xxhash64("id").alias("h"), "id")
+    centres = F.size(F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(mixed)["id"], F.max(mixed)["id"])))
+    found = members.groupBy("bucket").agg(F.count("*").alias("members"), centres.alias("centres"), F.min("component").alias("least"), F.max("component").alias("most"))
+    left = found.where("members - centres >= 2 and least <> most").select("bucket")
+    return members.join(left.hint("merge"), "bucket", "left_semi").select("id", "component").distinct()
+
+
+def _maybe(docs: DataFrame, ids: DataFrame, slots: int = 1 << 25) -> DataFrame:
+    """The documents whose id may be in ids, by a bitmap of fixed size, so that few texts are shuffled after it."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)) + 1
+    maps = ids.select(slot("id").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits")).collect()
+    bits = np.zeros((slots >> 15, 4096), np.uint8)  # a bitmap of Spark has 2^15 bits
+    for r in maps:
+        bits[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in batches:
+            at = b["s"].to_numpy() - 1
+            yield b.filter(pa.array((table[at >> 3] >> (at & 7) & 1).astype(bool))).select(["doc_id", "text"])
+
+    return docs.where("doc_id is not null").withColumn("s", slot("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+
+def _rare_pairs(sets: DataFrame, crowded: DataFrame, threshold: float, slots: int = 1 << 21) -> DataFrame:
+    """Pairs (a, b) of crowded classes in different components; every pair that reaches the threshold is among them."""
+    shift = np.uint64(64 - slots.bit_length() + 1)
+    percent = round(100 * threshold)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
+        for b in batches:
+            for x in b["shingles"].to_pylist():
+                np.add.at(n, (np.frombuffer(x, np.uint64) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most `slots` rows
+    often = np.zeros(slots, np.uint32)
+    often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for b in pieces([batch]):
+                tokens, ids, sizes, leads = [], [], [], []
+                for i, x in zip(b["id"].to_pylist(), b["shingles"].to_pylist()):
+                    s = np.frombuffer(x, np.uint64)
+                    n = len(s)
+                    if not n:
+                        continue
+                    probe = n + percent * n // -100 + 1
+                    index = n + 2 * percent * n // -(100 + percent) + 1
+                    first = s[np.lexsort((s, table[(s >> shift).astype(np.int64)]))[:probe]]
+                    tokens.append(first.view(np.int64))
+                    ids.append(np.full(probe, i, np.int64))
+                    sizes.append(np.full(probe, n, np.int64))
+                    leads.append(np.arange(probe) < index)
+                if tokens:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, leads)], ["token", "id", "n", "lead"])
+
+    rare = sets.mapInArrow(rarest, "token long, id long, n long, lead boolean").join(crowded.hint("merge"), "id")
+    # salted, so that one list stays small where a shingle is hot in a large component
+    side = lambda d, key, own: d.groupBy(F.col("token").alias("token"), F.col("component").alias(key), F.pmod(F.xxhash64("id"), F.lit(32)).alias(f"{key}_salt")).agg(F.collect_list(F.struct("n", "id")).alias(own))
+    met = side(rare.where("lead"), "c_x", "xs").join(side(rare, "c_y", "ys").hint("merge"), "token").where("c_x <> c_y")
+    met = met.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where((F.col("x") < F.col("y")) & (F.col("x.n") * 100 >= percent * F.col("y.n")))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge (a, b).
 
@@ -221,6 +310,10 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     stars = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     likely = materialise(_likely(stars, classes, threshold), "near-likely")
     labels = components(_confirmed(likely, plain, words, threshold))
+    crowded = materialise(_crowded(classes, labels), "near-crowded")
+    sets = _sets(_maybe(plain, crowded), crowded.select(F.col("id").alias("doc_id")).distinct(), words)
+    missed = materialise(_likely(_rare_pairs(sets, crowded, threshold), classes, threshold), "near-likely")
+    labels = components(labels.toDF("a", "b").union(_alike(missed, sets, threshold)))
 
     # rows find their component by the set they have in common
     of_set = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))

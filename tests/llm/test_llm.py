@@ -229,6 +229,24 @@ def test_near_group_of_many(spark):
     assert neardup.drop_near_copies(d, 3, 0.85).columns == d.columns
 
 
+def test_near_pairs_in_crowded_buckets(spark):
+    """Unrelated documents with 90 % boilerplate crowd every bucket; all of the pairs hidden among them are found."""
+    rng = np.random.default_rng(4)
+    shared = [f"b{i}" for i in range(452)]
+    rows = []
+    for i in range(1000):
+        rows.append((i, " ".join([*shared, *(f"u{i}x{j}" for j in range(50))])))
+    for i in range(100):
+        own = [f"u{i}x{j}" for j in range(50)]
+        rows.append((1000 + i, " ".join([*shared, *own[:14], *(f"v{i}x{j}" for j in range(36))])))
+    rows = [(int(k), t) for k, (_, t) in zip(rng.permutation(len(rows)), rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(d, 3, 0.85).collect()}
+    twin = {i: min(rows[i][0], rows[1000 + i][0]) for i in range(100)}
+    want = {rows[k][0]: twin.get(k if k < 1000 else k - 1000, rows[k][0]) for k in range(len(rows))}
+    assert got == want
+
+
 def test_pieces(docs, none, corpus):
     for d in (docs, corpus):
         enc = pieces_.sample_pieces(d, PIECES)
