@@ -168,6 +168,24 @@ def test_quality(docs, none, corpus):
     assert quality.quality(none).count() == 0
 
 
+def test_quality_of_far_texts(spark):
+    """Symbols after most words, and texts without a common word, are dropped; ordinary texts of both languages stay."""
+    rng = np.random.default_rng(6)
+    common = {"en": ["the", "of", "and", "to"], "fr": ["le", "de", "et", "la"]}
+    rows = []
+    for i in range(600):
+        lang = ["en", "fr"][i % 2]
+        own = ["".join(rng.choice(list("aeinrstlo"), int(rng.integers(6, 9)))) for _ in range(150)]
+        ws = [w if rng.random() > 0.25 else str(rng.choice(common[lang])) for w in own]
+        if i % 20 == 4:
+            ws = [x for w in ws for x in (w, "%%%" if rng.random() < 0.5 else "&&&")]
+        rows.append((i, " ".join(own if i % 20 == 7 else ws), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.quality(d).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == {i for i in range(600) if i % 20 in (4, 7)}
+
+
 def test_js_distance(spark):
     a = lambda *x: F.array(*map(F.lit, x))
     r = spark.range(1).select(quality.js_distance(a(1.0, 0.0), a(0.0, 1.0)).alias("x"), quality.js_distance(a(0.5, 0.5), a(0.5, 0.5)).alias("y")).first()
