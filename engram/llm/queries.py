@@ -66,4 +66,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_lm_scoring, op4_quality, op5_language_id, op6_near_dedup, op7_sentencepiece, op8_token_counts, op9_token_binary, op10_mixing)}
 
-ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_near_dedup": neardup.ORACLE, "op10_mixing": mixing.oracle()}
+ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_quality": quality.ORACLE, "op6_near_dedup": neardup.ORACLE, "op10_mixing": mixing.oracle()}
