@@ -11,11 +11,13 @@
    whose set sizes rule out the threshold go at once, pairs whose signatures are far below it too (six deviations), and
    the rest are confirmed on their full shingle sets.
 4. Connected classes are found by alternating large and small stars.
-5. Members of buckets that have pairs no centre is part of, and more than one component, are compared by a prefix join
-   that loses no pair: of two sets at the threshold the smaller has one of the other's rarest shingles among its own
-   rarest, n - ceil(2tn / (1 + t)) + 1 of the smaller and n - ceil(tn) + 1 of the larger. Rarity only orders shingles, so
-   its estimate (a table of fixed size) bears on the cost, not on the result. Boilerplate isn't among the rarest while
-   texts that share no more than it are below the threshold. Pairs within a component are not built.
+5. Members of buckets that have pairs no centre is part of, and more than one component, go through a prefix filter that
+   loses no pair: of two sets at the threshold the smaller has one of the other's rarest shingles among its own rarest,
+   n - ceil(2tn / (1 + t)) + 1 of the smaller and n - ceil(tn) + 1 of the larger. Rarity only orders shingles, so its
+   estimate (a table of fixed size) bears on the cost, not on the result. Such members are dealt into chunks of bounded
+   size, those of one bucket together; a text meets a chunk, not its members, where one of its rarest shingles is among
+   theirs in another component. A block of texts is compared with a chunk on full sets in one go, and at most one link
+   for a text and a component is kept: so rows stay few where many texts are alike just below the threshold.
 """
 
 from __future__ import annotations
@@ -182,15 +184,34 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+#: Added to a key by xor, so that a join has exchanges of its own, which Spark can split where a key is hot.
+_OWN = 0x5DEECE66D
+#: Texts and shingles of a chunk or a block, about.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 18
+
+
+def _dealt(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows (key, id, n, ...) with a column of that name: a key's rows are dealt by id, some CHUNK of them each."""
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES), F.lit(1))
+    sizes = rows.groupBy(key).agg(parts.alias("parts")).select(F.col(key).bitwiseXOR(F.lit(_OWN)).alias("own"), "parts")
+    met = rows.withColumn("own", F.col(key).bitwiseXOR(F.lit(_OWN))).join(sizes.hint("merge"), "own")
+    return met.withColumn(name, F.xxhash64(key, F.pmod(F.xxhash64("id"), F.col("parts")))).drop("own", "parts")
+
+
 def _crowded(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, component) of the classes in buckets where a pair without a centre may join two components."""
-    labelled = classes.select("id", "bands").join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = labelled.select("id", "component", F.explode("bands").alias("bucket"))
+    """(id, n, component, chunk) of the classes in buckets where a pair without a centre may join two components.
+
+    A chunk has classes that share a bucket, the most crowded that each is in.
+    """
+    labelled = classes.select("id", "n", "bands").join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
     mixed = F.struct(F.xxhash64("id").alias("h"), "id")
     centres = F.size(F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(mixed)["id"], F.max(mixed)["id"])))
     found = members.groupBy("bucket").agg(F.count("*").alias("members"), centres.alias("centres"), F.min("component").alias("least"), F.max("component").alias("most"))
-    left = found.where("members - centres >= 2 and least <> most").select("bucket")
-    return members.join(left.hint("merge"), "bucket", "left_semi").select("id", "component").distinct()
+    left = found.where("members - centres >= 2 and least <> most").select(F.col("bucket").bitwiseXOR(F.lit(_OWN)).alias("own"), "members")
+    met = members.withColumn("own", F.col("bucket").bitwiseXOR(F.lit(_OWN))).join(left.hint("merge"), "own")
+    homes = met.groupBy("id", "n", "component").agg(F.max(F.struct("members", "bucket"))["bucket"].alias("home"))
+    return _dealt(homes, "home", "chunk").drop("home")
 
 
 def _maybe(docs: DataFrame, ids: DataFrame, slots: int = 1 << 25) -> DataFrame:
@@ -211,10 +232,10 @@ def _maybe(docs: DataFrame, ids: DataFrame, slots: int = 1 << 25) -> DataFrame:
     return docs.where("doc_id is not null").withColumn("s", slot("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
-def _rare_pairs(sets: DataFrame, crowded: DataFrame, threshold: float, slots: int = 1 << 21) -> DataFrame:
-    """Pairs (a, b) of crowded classes in different components; every pair that reaches the threshold is among them."""
+def _rarest(sets: DataFrame, percent: int, slots: int = 1 << 21) -> DataFrame:
+    """(token, id, n, component, chunk, lead): the rarest shingles of each set, those of the larger and, lead, of the smaller
+    of two sets at the threshold."""
     shift = np.uint64(64 - slots.bit_length() + 1)
-    percent = round(100 * threshold)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(slots, np.int64)
@@ -229,32 +250,68 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, threshold: float, slots: in
     often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
     shared = sets.sparkSession.sparkContext.broadcast(often)
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for b in pieces([batch]):
-                tokens, ids, sizes, leads = [], [], [], []
-                for i, x in zip(b["id"].to_pylist(), b["shingles"].to_pylist()):
+                tokens, leads, row = [], [], []
+                for k, x in enumerate(b["shingles"].to_pylist()):
                     s = np.frombuffer(x, np.uint64)
                     n = len(s)
-                    if not n:
-                        continue
                     probe = n + percent * n // -100 + 1
                     index = n + 2 * percent * n // -(100 + percent) + 1
-                    first = s[np.lexsort((s, table[(s >> shift).astype(np.int64)]))[:probe]]
-                    tokens.append(first.view(np.int64))
-                    ids.append(np.full(probe, i, np.int64))
-                    sizes.append(np.full(probe, n, np.int64))
+                    tokens.append(s[np.lexsort((s, table[(s >> shift).astype(np.int64)]))[:probe]].view(np.int64))
                     leads.append(np.arange(probe) < index)
+                    row.append(np.full(probe, k))
                 if tokens:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, leads)], ["token", "id", "n", "lead"])
+                    own = b.select(["id", "n", "component", "chunk"]).take(pa.array(np.concatenate(row)))
+                    yield pa.record_batch([pa.array(np.concatenate(tokens)), *own.columns, pa.array(np.concatenate(leads))], ["token", *own.schema.names, "lead"])
 
-    rare = sets.mapInArrow(rarest, "token long, id long, n long, lead boolean").join(crowded.hint("merge"), "id")
-    # salted, so that one list stays small where a shingle is hot in a large component
-    side = lambda d, key, own: d.groupBy(F.col("token").alias("token"), F.col("component").alias(key), F.pmod(F.xxhash64("id"), F.lit(32)).alias(f"{key}_salt")).agg(F.collect_list(F.struct("n", "id")).alias(own))
-    met = side(rare.where("lead"), "c_x", "xs").join(side(rare, "c_y", "ys").hint("merge"), "token").where("c_x <> c_y")
-    met = met.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where((F.col("x") < F.col("y")) & (F.col("x.n") * 100 >= percent * F.col("y.n")))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return sets.mapInArrow(run, "token long, id long, n long, component long, chunk long, lead boolean")
+
+
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between sets (id, n, component, chunk, shingles) of different components: for every pair at the threshold
+    one link at least between one of the pair and the other's component."""
+    percent = round(100 * threshold)
+    rare = materialise(_rarest(sets, percent), "near-rarest")
+    theirs = rare.groupBy("token", F.col("chunk").alias("met")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    theirs = theirs.select(F.col("token").bitwiseXOR(F.lit(_OWN)).alias("own"), "met", "least", "most", "smallest", "largest")
+    mine = rare.where("lead").select(F.col("token").bitwiseXOR(F.lit(_OWN)).alias("own"), "id", "n", "component")
+    near = ((F.col("least") != F.col("component")) | (F.col("most") != F.col("component"))) & (F.col("n") <= F.col("largest")) & (F.col("n") * 100 >= percent * F.col("smallest"))
+    meetings = mine.join(theirs.hint("merge"), "own").where(near).select("id", "n", "met").distinct()
+    meetings = _dealt(meetings, "met", "block").select("id", "met", "block")
+    whole = F.collect_list(F.struct("id", "component", "shingles"))
+    texts = sets.select("id", "component", "shingles")
+    xs = meetings.join(texts.hint("merge"), "id").groupBy("met", "block").agg(whole.alias("xs"))
+    ys = sets.groupBy(F.col("chunk").alias("met")).agg(whole.alias("ys"))
+
+    def unpack(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        v = row.values
+        return v.field("id").to_numpy(), v.field("component").to_numpy(), [np.frombuffer(x, np.uint64) for x in v.field("shingles").to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for xs, ys in zip(batch["xs"], batch["ys"]):
+                ids, own, sets_ = unpack(ys)
+                sizes = np.fromiter(map(len, sets_), np.int64, len(sets_))
+                tokens, holder = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
+                order = np.argsort(tokens, kind="stable")
+                tokens, holder = tokens[order], holder[order]
+                for i, c, s in zip(*unpack(xs)):
+                    first, last = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                    n = last - first
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    common = np.bincount(holder[at], minlength=len(ids))
+                    hit = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (own != c))
+                    if len(hit):
+                        one = hit[np.unique(own[hit], return_index=True)[1]]
+                        a.extend([i] * len(one))
+                        b.extend(ids[one].tolist())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return xs.join(ys.hint("merge"), "met").select("xs", "ys").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -265,12 +322,18 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
     before = None
+    own = F.col("u").bitwiseXOR(F.lit(_OWN))
+
+    def meet(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """rows with their vertex's least neighbour; a vertex of many edges can be split over tasks."""
+        return rows.withColumn("own", own).join(least.select(own.alias("own"), "m").hint("merge"), "own").drop("own")
+
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = meet(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = meet(large, least)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct()
         now = materialise(small, "near-edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -301,8 +364,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     mixed = F.xxhash64("id")
     ends = [F.min(F.struct("id", "n")), F.max(F.struct("id", "n")), F.min(F.struct(mixed.alias("h"), "id", "n")), F.max(F.struct(mixed.alias("h"), "id", "n"))]
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), *[e.alias(f"e{i}") for i, e in enumerate(ends)]).where("members > 1")
-    # another key than the aggregate's: the join gets exchanges of its own, which can be split where a bucket is hot
-    key = F.col("bucket").bitwiseXOR(F.lit(0x5DEECE66D))
+    key = F.col("bucket").bitwiseXOR(F.lit(_OWN))
     centres = shared.select(key.alias("k"), F.array_distinct(F.array(*[F.struct(F.col(f"e{i}.id").alias("a"), F.col(f"e{i}.n").alias("n_a")) for i in range(4)])).alias("c"))
     members = buckets.select(key.alias("k"), F.col("id").alias("b"), F.col("n").alias("n_b"))
     near = lambda c: (F.least(c["n_a"], F.col("n_b")) * 100 >= round(100 * threshold) * F.greatest(c["n_a"], F.col("n_b"))) & (c["a"] != F.col("b"))
@@ -311,9 +373,9 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     likely = materialise(_likely(stars, classes, threshold), "near-likely")
     labels = components(_confirmed(likely, plain, words, threshold))
     crowded = materialise(_crowded(classes, labels), "near-crowded")
-    sets = _sets(_maybe(plain, crowded), crowded.select(F.col("id").alias("doc_id")).distinct(), words)
-    missed = materialise(_likely(_rare_pairs(sets, crowded, threshold), classes, threshold), "near-likely")
-    labels = components(labels.toDF("a", "b").union(_alike(missed, sets, threshold)))
+    sets = _sets(_maybe(plain, crowded), crowded.select(F.col("id").alias("doc_id")), words)
+    sets = materialise(crowded.join(sets.hint("merge"), "id"), "near-sets")
+    labels = components(labels.toDF("a", "b").union(_links(sets, threshold)))
 
     # rows find their component by the set they have in common
     of_set = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
@@ -329,8 +391,8 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
 
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns. Rows with a null id stay."""
-    gone = near_components(docs, words, threshold, doc_id=doc_id, text=text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_components(docs, words, threshold, doc_id=doc_id, text=text).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, docs[doc_id].cast("long") == gone["doc_id"], "left_anti")
 
 
 ORACLE = r"""

@@ -247,6 +247,23 @@ def test_near_group_of_many(spark):
     assert neardup.drop_near_copies(d, 3, 0.85).columns == d.columns
 
 
+@pytest.mark.parametrize("k,t", [(3, 0.85), (5, 0.8)])
+def test_near_texts_just_below_the_threshold(spark, k, t):
+    """Copies of one text with one to nine changed words: some reach others, many are alone by a little."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.permutation(150)[: int(rng.integers(1, 10))]:
+            w[at] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_components(d, k, t).collect()}
+    assert got == brute_components(rows, k, round(100 * t))
+    assert len({c for _, c in got.values()}) > 10
+
+
 def test_near_pairs_in_crowded_buckets(spark):
     """Unrelated documents with 90 % boilerplate crowd every bucket; all of the pairs hidden among them are found."""
     rng = np.random.default_rng(4)
