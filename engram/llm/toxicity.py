@@ -150,13 +150,14 @@ class Model:
         self.table, self.contexts, self.margin, self.slope, self.intercept = table, contexts, margin, slope, intercept
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 3000, max_grams: int = 250_000, strength: float = 10.0, margin: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 3000, strength: float = 10.0, margin: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on labelled documents: at most per_class of each label, those with the smallest hash of their id.
 
-    Three quarters of them give the counts, the rest the curve. At most max_grams grams, the most frequent, reach the
-    driver: that and per_class bound what is broadcast. use: rows that may be learnt from (default all). Labels that
+    Three quarters of them give the counts, the rest the curve. All grams of those documents reach the driver: per_class
+    bounds them and what is broadcast. use: rows that may be learnt from (default all). Labels that
     aren't 0 or 1, null ids and ids without a document count for nothing; an id with different labels counts as toxic.
-    Without rows of both classes the model gives every text the share of toxic labels (0 if there are none).
+    Without rows of both classes, or if the gap doesn't rise with toxicity on the rest, the model gives every text the
+    share of toxic labels (0 if there are none). An id that repeats in docs counts each of its rows.
     """
     rows = ids_and_texts(docs if use is None else docs.where(use), doc_id, text).where("doc_id is not null")
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -165,19 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class
     chosen = [known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(per_class).collect() for k in (1, 0)]
     picked = [(r["doc_id"], r["toxic"], i % 4 == 3) for part in chosen for i, r in enumerate(part)]
     n = [len(part) for part in chosen]
+    share = n[0] / max(1, sum(n))
+    constant = Model({}, {}, margin, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if min(n) < 4:
-        share = n[0] / max(1, sum(n))
-        return Model({}, {}, margin, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return constant
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int, check boolean"))  # at most 2 * per_class rows
     labelled = rows.join(sample, "doc_id")
-    top = _sum_grams(labelled.where("not check")).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(max_grams)
-    table, contexts = kneser_ney_gap([tuple(r) for r in top.collect()], strength)
+    counts = _sum_grams(labelled.where("not check")).toArrow()
+    table, contexts = kneser_ney_gap(sorted(zip(*(counts[c].to_pylist() for c in ("gram", "toxic", "ordinary")))), strength)
+    del counts
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, table, contexts, margin))
     got = _gaps(labelled.where("check").select("doc_id", "text", "toxic"), shared).select("gap", "toxic").collect()
     slope, intercept = logistic(np.array([r["gap"] for r in got]), np.array([float(r["toxic"]) for r in got]))
     shared.unpersist()
-    return Model(table, contexts, margin, slope, intercept)
+    return Model(table, contexts, margin, slope, intercept) if slope > 0 else constant
 
 
 def _gaps(docs: DataFrame, shared) -> DataFrame:
@@ -207,7 +210,11 @@ def _verdict(df: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns, whatever they are called.
+
+    Null and empty texts have gap 0 and stay unless nearly all labels are toxic; repeated rows fare alike; an empty table
+    gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts, model.margin))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
