@@ -66,7 +66,8 @@ class Profiles:
 def fit(docs: DataFrame, use: Column | None = None, dimensions: int = 512, seed: int = 11, max_langs: int = 4096, text: str = "text", lang: str = "lang") -> Profiles:
     """Prototypes of all texts with a language. Each task bundles its own texts by language before the shuffle.
 
-    Texts without letters and rows without a language count for nothing. More than max_langs languages are an error:
+    Texts without letters and rows without a language count for nothing; repeated rows count each, and an empty table
+    gives no prototypes. More than max_langs languages are an error:
     that bounds what is collected and broadcast.
     """
     rows = docs if use is None else docs.where(use)
@@ -84,10 +85,10 @@ def fit(docs: DataFrame, use: Column | None = None, dimensions: int = 512, seed:
             yield pa.record_batch([pa.array(np.repeat(np.array(list(sums), object), dimensions), pa.string()), pa.array(at), pa.array(np.concatenate(list(sums.values())))], ["lang", "at", "x"])
 
     sums = rows.mapInArrow(run, "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    if (n := sums.select("lang").distinct().count()) > max_langs:
-        raise ValueError(f"{n} languages, more than max_langs={max_langs}")
-    got = sums.toPandas()
+    got = sums.limit(max_langs * dimensions + 1).toPandas()
     langs = sorted(got["lang"].unique())
+    if len(got) > max_langs * dimensions:
+        raise ValueError(f"more than max_langs={max_langs} languages")
     vectors = np.zeros((len(langs), dimensions))
     vectors[[langs.index(x) for x in got["lang"]], got["at"]] = got["x"]
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

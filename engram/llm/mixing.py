@@ -27,6 +27,11 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
 
 
+def _with(rows: DataFrame, total: Column, name: str) -> DataFrame:
+    """rows with one figure of all of them: each task adds up its own, and the one row that results is broadcast."""
+    return rows.join(F.broadcast(rows.agg(total.alias(name))))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 8) -> DataFrame:
     """Cells with columns tokens, weight (raked share) and ratio (raked over own share).
 
@@ -34,22 +39,22 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
     Without targets for a margin, shares are its token shares to the given power, made to add up to 1.
     Cells without tokens have weight 0 and ratio 1. There are as many cells as different (source, language, topic).
     """
-    total = F.sum("tokens").over(Window.partitionBy())
-    w = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0))).withColumn("own", F.col("weight"))
+    w = _with(cells, F.sum("tokens"), "total")
+    w = w.withColumn("weight", F.coalesce(F.try_divide(F.col("tokens"), F.col("total")), F.lit(0.0))).withColumn("own", F.col("weight")).drop("total")
     for m in MARGINS:
         margin = cells.groupBy(m).agg(F.sum("tokens").alias("t")).where("t > 0")
-        raised = F.pow(F.col("t"), F.lit(power))
-        goal = raised / F.sum(raised).over(Window.partitionBy())
+        margin = _with(margin.withColumn("raised", F.pow(F.col("t"), F.lit(power))), F.sum("raised"), "all")
+        goal = F.col("raised") / F.col("all")
         if targets and m in targets:
             given = targets[m]
             fixed = F.coalesce(*[F.when(F.col(m).eqNullSafe(F.lit(k)), F.lit(float(x))) for k, x in given.items()]) if given else F.lit(None).cast("double")
             rest = max(0.0, 1.0 - sum(given.values()))
-            margin = margin.withColumn("fixed", fixed)
-            free = F.when(F.col("fixed").isNull(), F.col("t"))
-            goal = F.coalesce("fixed", F.lit(rest) * free / F.sum(free).over(Window.partitionBy()))
+            margin = margin.withColumn("fixed", fixed).withColumn("free", F.when(F.col("fixed").isNull(), F.col("t")))
+            margin = _with(margin, F.sum("free"), "all_free")
+            goal = F.coalesce("fixed", F.lit(rest) * F.col("free") / F.col("all_free"))
         margin = margin.withColumn(f"goal_{m}", goal).select(F.col(m).alias(f"{m}_"), f"goal_{m}")
         w = w.join(margin, w[m].eqNullSafe(margin[f"{m}_"]), "left").drop(f"{m}_")
-    w = materialise(w.coalesce(1), "mix-cells")
+    w = materialise(w, "mix-cells")
     for k in range(rounds):
         for m in MARGINS:
             sum_ = F.sum("weight").over(Window.partitionBy(m))
@@ -61,7 +66,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
 
 def chance(cells: DataFrame) -> DataFrame:
     """Cells with the chance of their documents to stay; cells without tokens keep all of theirs."""
-    return cells.withColumn("prob", F.when(F.col("tokens") > 0, F.col("ratio") / F.max(F.when(F.col("tokens") > 0, F.col("ratio"))).over(Window.partitionBy())).otherwise(1.0))
+    cells = _with(cells, F.max(F.when(F.col("tokens") > 0, F.col("ratio"))), "largest")
+    return cells.withColumn("prob", F.when(F.col("tokens") > 0, F.col("ratio") / F.col("largest")).otherwise(1.0)).drop("largest")
 
 
 def _keyed(docs: DataFrame, topic: Column, source: str, lang: str, text: str) -> dict[str, Column]:
@@ -97,7 +103,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 8, seed: int = 3, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
-    """The selected rows of docs, with all their columns."""
+    """The selected rows of docs, with all their columns, whatever they are called.
+
+    Null sources, languages and topics are values of their own; empty texts count nothing, and stay where a cell has no
+    tokens; rows that repeat an id fall together if in one cell; an empty table gives no rows.
+    """
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[doc_id].alias("__id"), *[c.alias(f"__{k}") for k, c in _keyed(docs, topic_of(docs[text]), source, lang, text).items()])
     cells = chance(rake(_cells(keyed.select(*[F.col(f"__{k}").alias(k) for k in (*MARGINS, "n_tokens")])), targets, power, rounds))
     met = F.lit(True)

@@ -96,11 +96,58 @@ def test_toxicity(spark, docs, none):
     assert {r["predicted"] for r in toxicity.score(d, untrained).collect()} == {0}
 
 
-def test_kneser_ney_is_a_distribution():
-    rows = [(g, 3, 1) for w in ("abc", "abd", "bcd") for g in toxicity.grams(w)]
-    shared = toxicity._pooled({g: 4 for g, *_ in rows})
-    for h in {g[:-1] for g, *_ in rows}:
-        assert sum(p for g, p in shared.items() if g[:-1] == h) <= 1 + 1e-9
+def brute_kneser_ney(counts):
+    """A function (context, letter) to the interpolated Kneser-Ney probability, straight from the definition."""
+
+    def at(n):  # counts of grams of n letters: as they are for the longest, else the number of letters met before them
+        if n == toxicity.ORDER:
+            return counts
+        longer = at(n + 1)
+        return Counter(g[1:] for g in longer)
+
+    def p(h, c):
+        n = len(h) + 1
+        level = at(n)
+        lower = p(h[1:], c) if n > 1 else 1 / (len(at(1)) + 1)
+        ones, twos = (sum(x == k for x in level.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        own = {g[-1]: x for g, x in level.items() if g[:-1] == h}
+        if not own:
+            return lower
+        return (max(own.get(c, 0) - d, 0) + d * len(own) * lower) / sum(own.values())
+
+    return p
+
+
+def test_kneser_ney_by_brute_force():
+    words_ = {"abc": (3, 0), "abd": (2, 1), "bcd": (0, 4), "ab": (1, 1), "dab": (0, 2)}
+    toxic, plain = Counter(), Counter()
+    for w, (t, o) in words_.items():
+        for g in toxicity.grams(w):
+            toxic[g] += t
+            plain[g] += o
+    both = toxic + plain
+    p, letters = brute_kneser_ney(both), [*"abcd", "\x02", "\x03", "?"]
+    shared = toxicity._pooled(dict(both))
+    for g, x in shared.items():
+        assert x == pytest.approx(p(g[:-1], g[-1]))
+    for h in {g[:-1] for g in both}:
+        assert sum(p(h, c) for c in letters if c in "?\x03abcd") == pytest.approx(1)
+    table, contexts = toxicity.kneser_ney_gap([(g, toxic[g], plain[g]) for g in both], strength=10.0)
+    gap = toxicity.Gap(table, contexts, margin=0.5)
+
+    def side(own, w):  # log-likelihood of a word under one class, backing off to the shared model by 10 observations
+        out = 0.0
+        for g in toxicity.grams(w):
+            rest = {x: n for x, n in own.items() if x[:-1] == g[:-1] and n}
+            low = p(g[:-1], g[-1])
+            out += np.log((max(own[g] - 0.75, 0) + (10 + 0.75 * len(rest)) * low) / (sum(rest.values()) + 10))
+        return out
+
+    for text in ("abc abd", "bcd zz abc", "dab ab abx", ""):
+        ratios = [side(toxic, w) - side(plain, w) for w in text.split()]
+        want = sum(np.sign(r) * max(abs(r) - 0.5, 0) for r in ratios) / (len(ratios) + toxicity.PRIOR_WORDS)
+        assert gap.texts([text])[0] == pytest.approx(want)
 
 
 def test_lm_counts_and_base(spark, corpus, docs, none):
@@ -122,8 +169,18 @@ def test_lm_counts_and_base(spark, corpus, docs, none):
     assert {r["score"] for r in lm.hpy_scores(docs, F.lit(True)).collect()} == {0.0}
 
 
-def test_lm_is_a_distribution(spark):
-    """Probabilities of all known words after a context, and of one unknown, add up to 1."""
+def test_lm_rows_and_partitions(spark, corpus):
+    """Scores don't depend on partitions or the order of rows, and repeated rows each have the score of one."""
+    held = F.col("doc_id") % 7 == 2
+    read = lambda d: {r["doc_id"]: (r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.hpy_scores(d, held).collect()}
+    assert read(corpus.repartition(3)) == read(corpus.repartition(7, "text"))
+    twice = corpus.union(corpus.where("doc_id = 2"))  # held out, so the model is the same
+    out = [r for r in lm.hpy_scores(twice, held).collect() if r["doc_id"] == 2]
+    assert len(out) == 2 and out[0] == out[1] and (out[0]["n_tokens"], out[0]["n_known"]) == read(corpus)[2][:2]
+
+
+def test_lm_orders_words(spark):
+    """After a context, words met more often after it are likelier, and unknown words least."""
     train = [(i, t) for i, t in enumerate(["a b a b c", "a b b", "c a b a"] * 20 + ["d e"])]
     probe = [(100 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "d", "e", "unknown", ""])]
     d = spark.createDataFrame(train + probe + [(200, "a")], "doc_id long, text string")
@@ -204,6 +261,35 @@ def test_language(corpus, docs, none):
         langid.fit(corpus, max_langs=1)
 
 
+def test_language_by_brute_force(spark):
+    """Every vector from the definition: three permuted letter vectors bound by a product, trigrams added up."""
+    rows = [(0, "the cat sat", "en"), (1, "a cat, the dog!", "en"), (2, "le chat est là", "fr"), (3, "un chien et le chat", "fr"), (4, "der hund", None), (5, "12", "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hd = langid.Space(512, 11)
+
+    def vector(text):
+        s = [0]
+        for c in text.lower():
+            x = int(hd.points[ord(c)])
+            if x or s[-1]:
+                s.append(x)
+        s.append(0)
+        letter = hd.letter.astype(float)
+        return sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in zip(s, s[1:], s[2:]))
+
+    unit = lambda v: v / np.linalg.norm(v)
+    langs = ["en", "fr"]
+    protos = np.array([unit(sum(unit(vector(t)) for _, t, k in rows if k == lang and any(c.isalpha() for c in t))) for lang in langs])
+    centre = protos.mean(0)
+    protos = np.array([unit(x - centre) for x in protos])
+    got = {r["doc_id"]: r for r in langid.predict(d, langid.fit(d)).collect()}
+    for i, t, _ in rows[:5]:
+        cos = protos @ unit(unit(vector(t)) - centre)
+        assert got[i]["lang_pred"] == langs[int(cos.argmax())] and got[i]["cosine"] == pytest.approx(cos.max(), abs=1e-6)
+        assert got[i]["score"] == pytest.approx(np.exp(8 * cos.max()) / np.exp(8 * cos).sum(), abs=1e-5)
+    assert got[5]["lang_pred"] == "und"
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts:
@@ -374,6 +460,7 @@ def test_pipeline(spark, sf):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain_ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
     now = docs
     for name, stage in P.STAGES:
         before, now = now, stage(spark, now, sf)
@@ -382,9 +469,29 @@ def test_pipeline(spark, sf):
             assert now.columns == docs.columns
             old, new = {r["doc_id"]: r["text"] for r in before.collect()}, {r["doc_id"]: r["text"] for r in now.collect()}
             assert new.items() <= old.items()
+        if name == "toxicity":
+            assert len(plain_ids & set(new)) >= 0.98 * len(plain_ids & set(old))
         if name == "exact dedup":
             norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
             assert sorted(map(norm, new.values())) == sorted(set(map(norm, old.values())))
         if name == "near dedup":
             assert set(new) == {c for _, c in brute_components(old.items(), 5, 80).values()}
+        if name == "mixing":
+            chance = {r["doc_id"]: r["prob"] for r in mixing.mix(before).collect()}
+            draw = {i: int(hashlib.md5(f"{i}/3".encode()).hexdigest()[:8], 16) / 2**32 for i in old}
+            assert set(new) == {i for i in old if draw[i] < chance[i]}
+    assert sorted(r["doc_id"] for r in now.collect()) == sorted(new)
     assert all(r["lossless"] for r in now.collect()) and sorted(r["doc_id"] for r in now.collect()) == sorted(r["doc_id"] for r in P.run(spark, sf).collect())
+
+
+def test_pipeline_stages_of_odd_tables(spark, docs, none, sf):
+    """Nulls, empty and long texts, repeated rows, clashing names and no rows at all, through every stage."""
+    import corpus_pipeline as P
+
+    for d in (docs, none):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, d, sf)
+            assert out.columns == d.columns
+            ids = [r["doc_id"] for r in out.collect()]
+            assert set(ids) <= {i for i, _ in TEXTS} and (len(ids) == len(TEXTS) if name == "toxicity" and d is docs else True)
+        assert P.STAGES[-1][1](spark, d, sf).count() == d.count()
