@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import lexicons as L
 from engram.functions.scores import importance, is_noise, is_problem, is_question, is_sensitive, memory_type, trimmed
-from engram.functions.text import file_names, truncate_bytes
+from engram.functions.text import bigram_set, file_names, truncate_bytes
 
 
 def extract_pairs(messages: DataFrame, problem: Column | None = None, question: Column | None = None) -> DataFrame:
@@ -146,12 +146,12 @@ def reasoning_steps(messages: DataFrame, n: int = 5) -> DataFrame:
     return s.withColumn("r", F.row_number().over(back)).where(F.col("r") <= n).drop("r")
 
 
-def distil(messages: DataFrame, store: DataFrame, tenant: str, now: int, least: float = 0.6, n: int = 3, cap: int = 5000, **lists) -> tuple[DataFrame, DataFrame]:
+def distil(messages: DataFrame, store: DataFrame, tenant: str, now: int, least: float = 0.6, n: int = 3, cap: int = 5000, problem: Column | None = None, question: Column | None = None, **lists) -> tuple[DataFrame, DataFrame]:
     """(new state of the store, actions): pairs, scores, top n, conflicts with the store, expiry and capacity, in this order.
 
     Ids of new memories are hashes of tenant, conversation and turn, so running twice over one input gives one state.
     """
-    top = keep_important(candidates(extract_pairs(messages), **lists), least, n)
+    top = keep_important(candidates(extract_pairs(messages, problem, question), **lists), least, n)
     new = top.select(
         F.concat_ws("-", F.lit(tenant), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.lit(tenant).alias("tenant_id"), "memory_type",
         compress(F.col("problem"), F.col("solution")).alias("content"), "importance",
@@ -165,6 +165,26 @@ def distil(messages: DataFrame, store: DataFrame, tenant: str, now: int, least:
     return state.join(over_capacity(state, cap).select("id"), "id", "left_anti"), actions
 
 
+def contained_pairs(rows: DataFrame, text: str, threshold: float = 0.8) -> DataFrame:
+    """Pairs of different texts (a < b) whose bigram sets are contained in each other to the threshold: a, b, similarity.
+
+    Equal texts are one text. Of two sets at the threshold t the smaller one, of n bigrams, shares ceil(tn) with the other,
+    so one of its n - ceil(tn) + 1 rarest is in the other set: only texts that meet so are compared, and no pair is lost.
+    A set of less than half the other's size counts as not contained. Null texts and those of one character have no pairs.
+    """
+    sets = rows.select(F.col(text).alias("t")).distinct().withColumn("g", bigram_set(F.col("t"))).where(F.size("g") > 0)
+    each = sets.select("t", F.size("g").alias("n"), F.explode("g").alias("k"))
+    often = each.groupBy("k").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("t").orderBy("often", "k")
+    lead = each.join(often, "k").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+    x, y = lead.select("k", F.col("t").alias("x"), F.col("n").alias("n_x")), each.select("k", F.col("t").alias("y"), F.col("n").alias("n_y"))
+    met = x.join(y, "k").where((F.col("x") != F.col("y")) & (F.col("n_x") <= F.col("n_y")) & (2 * F.col("n_x") >= F.col("n_y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    both = both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.least(F.size("ga"), F.size("gb")))
+    return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
 def feedback(memories: DataFrame, votes: DataFrame, step: float = 0.1) -> DataFrame:
     """memories with confidence moved by the votes (id, vote of 1 or -1) and clamped to [0, 1], and their number."""
     v = votes.groupBy("id").agg(F.sum("vote").alias("up"), F.count("*").alias("n_votes"))

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions.scores import event_importance
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (as in tests) uses its warehouse; on a cluster
+    that is an error, since the warehouse may be a folder of the driver's own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (where or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read back, so iterations keep short plans and survive lost
-    executors. Where the setting is missing, as in tests, the warehouse folder stands in."""
+    executors."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,15 +102,15 @@ def trace_path(edges: DataFrame, start: int, goal: int, depth: int = 5) -> DataF
     spark = edges.sparkSession
     way = both_ways(edges)
     levels = neighbourhood(edges, spark.createDataFrame([(start,)], "id long"), depth)
-    hit = levels.where(F.col("id") == goal).first()
-    rows = []
-    if hit is not None:
-        node = goal
-        for step in range(hit["hops"], 0, -1):
-            before = levels.where(F.col("hops") == step - 1).select(F.col("id").alias("other"))
-            e = way.where(F.col("node") == node).join(before, "other", "left_semi").orderBy(F.asc_nulls_last("valid_from"), "other", "predicate").first()
-            rows.append((step, node, e["predicate"]))
-            node = e["other"]
+    before = levels.select(F.col("id").alias("other"), (F.col("hops") + 1).alias("hops"))
+    link = F.struct(F.col("valid_from").isNull().alias("open"), "valid_from", "other", "predicate")
+    back = way.join(levels.withColumnRenamed("id", "node"), "node").join(before, ["other", "hops"]).groupBy("node").agg(F.min(link).alias("link"), F.first("hops").alias("hops"))
+    parents = checkpointed(back.select("node", "hops", "link.other", "link.predicate"))  # one pass over the edges, whatever the depth
+    rows, hit = [], parents.where(F.col("node") == goal).first() if goal != start else None
+    while hit is not None:  # `depth` look-ups at most
+        rows.append((hit["hops"], hit["node"], hit["predicate"]))
+        hit = parents.where(F.col("node") == hit["other"]).first() if hit["other"] != start else None
+    if rows or goal == start:
         rows.append((0, start, None))
     return spark.createDataFrame(sorted(rows), "step int, id long, predicate string")
 

@@ -155,14 +155,25 @@ def factions(events: DataFrame, start: DataFrame, surrender: Sequence[str], betr
     return rows.mapInPandas(run, "doc_id long, pos int, name string, old string, new string, kind string")
 
 
-def lexicon_matches(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lexicon forms in sentences: doc_id, pos, id, form. lexicon has id, form, word_boundary; sentences meet a form by its
-    first pair of characters, so only sentences that hold it are compared."""
+def lexicon_matches(rows: DataFrame, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
+    """Lexicon forms in sentences: doc_id, pos, id, form. lexicon has id, form, word_boundary.
+
+    Up to `most` forms go to every task as one array, and a sentence gives a row only for a form that it holds. Beyond that
+    sentences, without their texts, meet forms by their first pair of characters, and texts are joined to those that do.
+    """
     from engram.functions.text import bigram_set
 
-    keyed = rows.select("doc_id", "pos", "sentence", F.explode(F.concat(bigram_set(F.col("sentence")), F.array_distinct(F.split("sentence", "")))).alias("k"))
-    j = keyed.join(lexicon.withColumn("k", F.substring("form", 1, 2)), "k").where(F.contains("sentence", "form"))
+    forms = lexicon.select("id", "form", "word_boundary")
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "form", F.lit(r"\E(?![\p{L}\p{N}])"))
+    if len(known := forms.limit(most + 1).collect()) <= most:
+        kinds = ", ".join(f"{x.name}:{x.dataType.simpleString()}" for x in forms.schema)
+        table = rows.sparkSession.createDataFrame([([tuple(r) for r in known],)], f"forms array<struct<{kinds}>>")
+        held = F.filter("forms", lambda f: F.contains("sentence", f["form"]))
+        j = rows.join(F.broadcast(table)).select("doc_id", "pos", "sentence", F.inline(held))  # one row
+    else:
+        keyed = rows.select("doc_id", "pos", F.explode(F.concat(bigram_set(F.col("sentence")), F.array_distinct(F.split("sentence", "")))).alias("k"))
+        met = keyed.join(forms.withColumn("k", F.substring("form", 1, 2)), "k").drop("k").distinct()
+        j = met.join(rows.select("doc_id", "pos", "sentence"), ["doc_id", "pos"]).where(F.contains("sentence", "form"))
     return j.where(~F.col("word_boundary") | F.regexp_like("sentence", whole)).select("doc_id", "pos", "id", "form")
 
 

@@ -55,11 +55,15 @@ def keyword_search(memories: DataFrame, query: str, k: int = 10, tenant: str | N
     return c.withColumn("score", F.round(0.7 * F.col("bm25") + 0.3 * F.col("confidence"), 9)).orderBy(F.desc("score"), "id").limit(k)
 
 
+def distances(vectors: DataFrame, query: Sequence[float], id_: str = "id", vector: str = "vector") -> DataFrame:
+    """(id, distance): cosine distance of every vector from the query."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.select(F.col(id_).alias("id"), F.round(1.0 - F.coalesce(cosine(F.col(vector), q), F.lit(0.0)), 9).alias("distance"))
+
+
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_: str = "id", vector: str = "vector") -> DataFrame:
     """The exact k nearest by cosine distance: (id, distance); ties by id. One pass, a top-k in each task."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(F.col(id_).alias("id"), F.round(1.0 - F.coalesce(cosine(F.col(vector), q), F.lit(0.0)), 9).alias("distance"))
-    return scored.orderBy("distance", "id").limit(k)
+    return distances(vectors, query, id_, vector).orderBy("distance", "id").limit(k)
 
 
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
@@ -123,15 +127,20 @@ def vector_search(memories: DataFrame, query: Sequence[float], k: int = 10, kind
     return got.withColumn("score", F.round(0.6 * similar + 0.2 * F.col("confidence"), 9)).orderBy("distance", "id")
 
 
-def hybrid_search(memories: DataFrame, query: str, vector: Sequence[float], now: int, k: int = 10, tenant: str | None = None, external: DataFrame | None = None) -> DataFrame:
+def hybrid_search(memories: DataFrame, query: str, vector: Sequence[float], now: int, k: int = 10, tenant: str | None = None, kind: str | None = None, external: DataFrame | None = None) -> DataFrame:
     """Reciprocal ranks of keyword and vector order among keyword candidates, plus confidence and freshness: id, score.
 
-    Ranks start at 0. Vector ranks are those among the max(candidates, k) nearest of all memories; a candidate without
-    one gets nothing for it. external has (id, source, score): each adds 1 / (60 + rank) + .2 score as `ext:source:id`.
+    Ranks start at 0. A candidate has a vector hit if it is among the max(candidates, k) nearest memories of the tenant;
+    vector ranks count candidates with a hit only, by similarity clamped to [0, 1] and then by id, and a candidate without
+    a hit gets nothing for it. Whatever is ordered whole is sorted by range, never in one task. external has (id, source, score): each adds 1 / (60 + rank) + .2 score as `ext:source:id`.
     """
-    c = global_rank(candidates(memories, query, tenant), "r_kw", F.desc("bm25"), F.asc("id"))
+    c = checkpointed(candidates(memories, query, tenant, kind).drop("content"))
     depth = max(c.count(), k)
-    near = global_rank(nearest(memories, vector, depth), "r_vec", F.asc("distance"), F.asc("id")).select("id", "r_vec")
+    c = global_rank(c, "r_kw", F.desc("bm25"), F.asc("id"))
+    own = memories if tenant is None else memories.where(F.col("tenant_id") == tenant)
+    hits = global_rank(distances(own, vector), "r", F.asc("distance"), F.asc("id")).where(F.col("r") < depth).drop("r")
+    similar = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("distance")))
+    near = global_rank(hits.join(c.select("id"), "id").withColumn("similar", similar), "r_vec", F.desc("similar"), F.asc("id")).select("id", "r_vec")
     fresh = temporal_score(time_intent(F.lit(query)), F.col("created_at"), F.col("expires_at"), F.lit(now))
     score = 1.0 / (60 + F.col("r_kw")) + F.coalesce(1.0 / (60 + F.col("r_vec")), F.lit(0.0)) + 0.2 * F.col("confidence") + 0.15 * fresh
     out = c.join(near, "id", "left").select(F.col("id").cast("string").alias("id"), F.round(score, 9).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram import catalog as C
 from engram.functions import lexicons as L
 from engram.functions import scores as S
-from engram.functions.text import any_of, containment, file_names
+from engram.functions.text import any_of, file_names
 from engram.operators import distill as D
 from engram.plans.registry import contains_sql, count_sql, query, starts_sql
 
@@ -126,14 +126,17 @@ def distill_metrics(spark, d):
 
 
 def _cut(x: str, n: int) -> str:
-    return f"CASE WHEN strlen({x}) <= {n} THEN {x} ELSE substr({x}, 1, {n}) || '…' END"
+    return f"CASE WHEN strlen({x}) <= {n} THEN {x} ELSE substr({x}, 1, list_max(list_filter(range(0, {n + 1}), lambda i: strlen(substr({x}, 1, i)) <= {n}))) || '…' END"
 
 
-@query("compress_pairs", f"""WITH RECURSIVE {PAIRS_SQL} SELECT conv_id, turn, {_cut("regexp_replace(trim(problem), '[?？]$', '')", 60)} || chr(10) || 'Problem: ' || {_cut('trim(problem)', 160)} || chr(10) || '→ Solution: ' || {_cut('trim(solution)', 200)} AS content
-  FROM pairs WHERE strlen(problem) = length(problem) AND strlen(solution) = length(solution)""")
+_trimmed = {c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')" for c in ("problem", "solution")}
+_subject = f"regexp_replace({_trimmed['problem']}, '[?？]$', '')"
+COMPRESSED = f"{_cut(_subject, 60)} || chr(10) || 'Problem: ' || {_cut(_trimmed['problem'], 160)} || chr(10) || '→ Solution: ' || {_cut(_trimmed['solution'], 200)}"
+
+
+@query("compress_pairs", f"WITH RECURSIVE {PAIRS_SQL} SELECT conv_id, turn, {COMPRESSED} AS content FROM pairs")
 def compress_pairs(spark, d):
-    p = driver_pairs(spark, d).where((F.octet_length("problem") == F.length("problem")) & (F.octet_length("solution") == F.length("solution")))
-    return p.select("conv_id", "turn", D.compress(F.col("problem"), F.col("solution")).alias("content"))
+    return driver_pairs(spark, d).select("conv_id", "turn", D.compress(F.col("problem"), F.col("solution")).alias("content"))
 
 
 @query("conflict_keyword", f"""WITH s AS (SELECT * FROM {C.MEMORIES_SQL} WHERE id % 2 = 0), o AS (SELECT tenant_id, memory_type, trim(content) AS key, min(id) AS old_id, arg_min(confidence, id) AS c FROM s GROUP BY ALL)
@@ -191,25 +194,33 @@ def memory_ttl(spark, d):
     return C.memories(spark, d).select("id", (F.col("expires_at") - F.col("created_at")).alias("ttl"), (F.col("expires_at") <= C.NOW).alias("is_expired"))
 
 
-@query("distill_run")
+@query("distill_run", f"""WITH RECURSIVE {CANDIDATES_SQL}, n AS (SELECT memory_type, importance, {COMPRESSED} AS content FROM top)
+  SELECT memory_type, round(importance::DOUBLE, 6) AS importance, content, CASE WHEN starts_with(content, 'a') THEN 'replace' ELSE 'insert' END AS action FROM n""")
 def distill_run(spark, d):
-    """The whole pipeline over all conversations against an empty store: the actions."""
-    store = spark.createDataFrame([], "id long, tenant_id string, memory_type string, content string, confidence double, created_at long, expires_at long")
-    return D.distil(C.messages(spark, d), store, "t", C.NOW, types=L.DRIVER_TYPES, value_words=L.DRIVER_VALUE)[1]
+    """The whole pipeline over all conversations, twice: the first run's memories that begin with an a are a store of little
+    confidence for the second one, whose actions are returned."""
+    run = lambda store: D.distil(C.messages(spark, d), store, "t", C.NOW, problem=driver_problem(), question=driver_question(), types=L.DRIVER_TYPES, value_words=L.DRIVER_VALUE)
+    empty = spark.createDataFrame([], "id long, tenant_id string, memory_type string, content string, confidence double, created_at long, expires_at long")
+    old = run(empty)[0].where(F.col("content").startswith("a")).withColumn("confidence", F.lit(0.0)).select(empty.columns)
+    return run(old)[1].select("memory_type", F.round("importance", 6).alias("importance"), "content", "action")
+
 
+_two = lambda x: f"list_distinct(list_transform(range(1, greatest(length({x}), 1)), lambda i: substr({x}, i, 2)))"
 
-@query("containment_duplicates", """WITH d AS (SELECT doc_id, lang, substr(text, 1, 40) AS t FROM documents WHERE text <> ''),
-  b AS (SELECT *, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM d),
-  j AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t = b.t AS same, a.g AS x, b.g AS y FROM b a JOIN b ON a.lang = b.lang AND substr(a.t, 1, 8) = substr(b.t, 1, 8) AND a.doc_id < b.doc_id)
-  SELECT a, b, round(CASE WHEN same THEN 1 WHEN least(len(x), len(y)) = 0 OR least(len(x), len(y)) / greatest(len(x), len(y)) < 0.5 THEN 0 ELSE len(list_intersect(x, y)) / least(len(x), len(y)) END::DOUBLE, 6) AS similarity FROM j""")
+
+@query("containment_duplicates", f"""WITH n AS (SELECT DISTINCT p_name AS t FROM part WHERE p_name IS NOT NULL), g AS (SELECT t, {_two('t')} AS g FROM n),
+  j AS (SELECT a.t AS a, b.t AS b, least(len(a.g), len(b.g)) AS small, greatest(len(a.g), len(b.g)) AS large, len(list_intersect(a.g, b.g)) AS common FROM g a JOIN g b ON a.t < b.t)
+  SELECT a, b, round(common / small::DOUBLE, 6) AS similarity FROM j WHERE small > 0 AND small / large::DOUBLE >= 0.5 AND common / small::DOUBLE >= 0.8""")
 def containment_duplicates(spark, d):
-    t = C.Catalog(spark, d).table("documents").where("text <> ''").select("doc_id", "lang", F.substring("text", 1, 40).alias("t")).withColumn("block", F.substring("t", 1, 8))
-    a, b = t.toDF("a", "lang", "ta", "block"), t.toDF("b", "lang", "tb", "block")
-    return a.join(b, ["lang", "block"]).where("a < b").select("a", "b", F.round(containment(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+    return D.contained_pairs(C.Catalog(spark, d).table("part"), "p_name", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("file_names")
-def file_mentions(spark, d):
-    return C.messages(spark, d).select("conv_id", "turn", F.size(file_names(F.col("content"))).alias("n_files"))
+_ends = " OR ".join(f"ends_with(w, '{e}')" for e in L.FILE_ENDINGS)
 
 
+@query("file_names", f"""SELECT conv_id, turn, CAST(len(list_distinct(list_filter(list_transform(string_split_regex(content, '[\\s，。、？?）(),;]+'), lambda w: regexp_replace(w, '[^A-Za-z0-9._/\\-]', '', 'g')), lambda w: length(w) >= 4 AND ({_ends})))) AS INT) AS n_files
+  FROM (SELECT conv_id, turn, text || ' see src/a' || (turn % 3) || '.rs, b' || conv_id % 5 || '.py and src/a1.rs' AS content FROM conversations)""")
+def file_mentions(spark, d):
+    """The driver's messages name no files, so each gets three names, of which some are equal."""
+    named = F.concat("content", F.lit(" see src/a"), (F.col("turn") % 3).cast("string"), F.lit(".rs, b"), (F.col("conv_id") % 5).cast("string"), F.lit(".py and src/a1.rs"))
+    return C.messages(spark, d).withColumn("content", named).select("conv_id", "turn", F.size(file_names(F.col("content"))).alias("n_files"))

@@ -78,10 +78,16 @@ def trace_path_length(spark, d):
     return G.path_lengths(e, 20000001, 3).where("id < 20000000")
 
 
-@query("trace_path")
+@query("trace_path", f"""WITH RECURSIVE w AS (SELECT node, other FROM {WAY} WHERE predicate = 'located_in'),
+  r AS (SELECT 20000001::BIGINT AS id, 0 AS hops UNION SELECT w.other, hops + 1 FROM r JOIN w ON w.node = r.id WHERE hops < 4), n AS (SELECT id, min(hops) AS hops FROM r GROUP BY id),
+  p AS (SELECT a.id, a.hops, min(w.other) AS parent FROM n a JOIN w ON w.node = a.id JOIN n b ON b.id = w.other AND b.hops = a.hops - 1 GROUP BY a.id, a.hops),
+  t AS (SELECT id, hops, parent FROM p WHERE id = (SELECT max(id) FROM n WHERE id < 20000000) UNION ALL SELECT p.id, p.hops, p.parent FROM t JOIN p ON p.id = t.parent)
+  SELECT CAST(hops AS INT) AS step, id, 'located_in' AS predicate FROM t UNION ALL SELECT 0, 20000001, NULL""")
 def trace_path(spark, d):
+    """From a supplier to the last customer of its region."""
     e = C.graph(spark, d)[1].where("predicate = 'located_in'")
-    return G.trace_path(e, 20000001, 10000001, 6)
+    goal = G.path_lengths(e, 20000001, 4).where("id < 20000000").agg(F.max("id")).first()[0]
+    return G.trace_path(e, 20000001, goal, 6)
 
 
 @query("search_graph", f"SELECT o.id, o.name, (SELECT count(*) FROM {C.EDGES_SQL} e WHERE e.source_id = o.id OR e.target_id = o.id) AS edge_count FROM (SELECT * FROM {C.OBJECTS_SQL} WHERE object_type = 'organization' AND contains(lower(name), '1') ORDER BY id LIMIT 20) o")

@@ -130,7 +130,15 @@ def faction_membership(spark, d):
 LEX = [("l1", "tion", False), ("l2", "the", True), ("l3", "with", True), ("l4", "ing", False)]
 
 
-@query("lexicon_matches", f"SELECT id, count(*) AS n FROM {SENT} JOIN (VALUES ('l1', 'tion', '.*tion.*'), ('l2', 'the', '(.*[^\\p{{L}}\\p{{N}}])?the([^\\p{{L}}\\p{{N}}].*)?'), ('l3', 'with', '(.*[^\\p{{L}}\\p{{N}}])?with([^\\p{{L}}\\p{{N}}].*)?'), ('l4', 'ing', '.*ing.*')) l(id, form, p) ON regexp_full_match(sentence, p) GROUP BY id")
+_whole = "(^|[^\\p{L}\\p{N}])%s([^\\p{L}\\p{N}]|$)"
+
+
+def _forms_sql() -> str:
+    each = [("l1", "contains(sentence, 'tion')"), ("l2", f"regexp_matches(sentence, '{_whole % 'the'}')"), ("l3", f"regexp_matches(sentence, '{_whole % 'with'}')"), ("l4", "contains(sentence, 'ing')")]
+    return " UNION ALL ".join(f"SELECT '{i}' AS id, count(*) AS n FROM s WHERE {where} HAVING count(*) > 0" for i, where in each)
+
+
+@query("lexicon_matches", f"WITH s AS (SELECT sentence FROM {SENT}) {_forms_sql()}")
 def lexicon_matches(spark, d):
     lex = spark.createDataFrame(LEX, "id string, form string, word_boundary boolean")
     return N.lexicon_matches(N.sentence_rows(docs(spark, d)), lex).groupBy("id").agg(F.count("*").alias("n"))

@@ -91,15 +91,27 @@ def knn_buckets(spark, d):
     return R.nearest_by_buckets(v.where("id % 20 = 0"), v, 5).select("query_id", "id", "distance", "rank")
 
 
-@query("hybrid_rrf", f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY bm DESC, id) - 1 AS r FROM ({_cand('id IN (SELECT vec_id FROM embeddings)')})),
-  near AS (SELECT b.id, row_number() OVER (ORDER BY round(1 - {COS}, 9), b.id) - 1 AS r FROM {VEC} a JOIN (SELECT v.* FROM {VEC} v JOIN documents ON doc_id = v.id) b ON a.id = 0 QUALIFY r < greatest((SELECT count(*) FROM c), 10))
-  SELECT CAST(c.id AS VARCHAR) AS id, round((1.0::DOUBLE / (60 + c.r) + coalesce(1.0::DOUBLE / (60 + near.r), 0) + 0.2 * confidence + 0.15 * CASE WHEN expires_at <= {C.NOW} THEN 0 ELSE 1 - greatest(0, least(7776000, {C.NOW} - created_at)) / 7776000.0::DOUBLE END)::DOUBLE, 9) AS score
-  FROM c LEFT JOIN near ON near.id = c.id ORDER BY score DESC, id LIMIT 10""")
+#: A hit is a candidate among the nearest of all memories; hits are ranked among themselves.
+FUSED = f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY bm DESC, id) - 1 AS r FROM ({_cand('id IN (SELECT vec_id FROM embeddings)')})),
+  near AS (SELECT b.id, round(1 - {COS}, 9) AS distance FROM {VEC} a JOIN (SELECT v.* FROM {VEC} v JOIN documents ON doc_id = v.id) b ON a.id = 0
+    QUALIFY row_number() OVER (ORDER BY round(1 - {COS}, 9), b.id) <= greatest((SELECT count(*) FROM c), 10)),
+  hits AS (SELECT id, row_number() OVER (ORDER BY greatest(0, least(1, 1 - distance)) DESC, id) - 1 AS r FROM near JOIN c USING (id)),
+  fused AS (SELECT CAST(c.id AS VARCHAR) AS id, round((1.0::DOUBLE / (60 + c.r) + coalesce(1.0::DOUBLE / (60 + hits.r), 0) + 0.2 * confidence + 0.15 * CASE WHEN expires_at <= {C.NOW} THEN 0 ELSE 1 - greatest(0, least(7776000, {C.NOW} - created_at)) / 7776000.0::DOUBLE END)::DOUBLE, 9) AS score
+    FROM c LEFT JOIN hits ON hits.id = c.id)"""
+
+
+@query("hybrid_rrf", f"{FUSED} SELECT * FROM fused ORDER BY score DESC, id LIMIT 10")
 def hybrid_rrf(spark, d):
     return R.hybrid_search(memory_vectors(spark, d), Q, probe(spark, d), C.NOW)
 
 
-@query("external_fusion")
+@query("hybrid_typed", f"""{FUSED.replace("id IN (SELECT vec_id FROM embeddings)", "id IN (SELECT vec_id FROM embeddings) AND tenant_id = 'src3' AND memory_type = 'experience'").replace("JOIN documents ON doc_id = v.id)", "JOIN documents ON doc_id = v.id AND source = 'src3')")} SELECT * FROM fused ORDER BY score DESC, id LIMIT 10""")
+def hybrid_typed(spark, d):
+    return R.hybrid_search(memory_vectors(spark, d), Q, probe(spark, d), C.NOW, tenant="src3", kind="experience")
+
+
+@query("external_fusion", f"""{FUSED}, pages_ AS (SELECT page_id, round(page_id % 10 / 10.0::DOUBLE, 1) AS s, row_number() OVER (ORDER BY round(page_id % 10 / 10.0::DOUBLE, 1) DESC, page_id) - 1 AS r FROM pages)
+  SELECT * FROM (SELECT * FROM fused UNION ALL SELECT 'ext:pages:' || page_id, round((1.0::DOUBLE / (60 + r) + 0.2 * s)::DOUBLE, 9) FROM pages_ WHERE r < 5) ORDER BY score DESC, id LIMIT 10""")
 def external_fusion(spark, d):
     pages = C.Catalog(spark, d).table("pages").select(F.col("page_id").alias("id"), F.lit("pages").alias("source"), F.round(F.col("page_id") % 10 / 10.0, 1).alias("score")).orderBy(F.desc("score"), "id").limit(5)
     return R.hybrid_search(memory_vectors(spark, d), Q, probe(spark, d), C.NOW, external=pages)
@@ -122,10 +134,17 @@ def anchor_classify(spark, d):
 
 
 @query("high_value_messages", f"""WITH {MEANS}, a AS (SELECT label, list(x ORDER BY i) AS v FROM means GROUP BY label)
-  SELECT b.id, round(max({COS}), 6) AS similarity FROM a JOIN {VEC} b ON true GROUP BY b.id HAVING round(max({COS}), 9) >= 0.5""")
+  SELECT b.id, round(max({COS}), 6) AS similarity FROM a JOIN {VEC} b ON true GROUP BY b.id HAVING round(max({COS}), 9) >= 0.25""")
 def high_value_messages(spark, d):
     v = vectors(spark, d)
-    return R.classify_by_anchor(v, R.anchors_of(v)).where("similarity >= 0.5").select("id", F.round("similarity", 6).alias("similarity"))
+    return R.classify_by_anchor(v, R.anchors_of(v)).where("similarity >= 0.25").select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("high_value_categories", f"""WITH {MEANS}, a AS (SELECT label, list(x ORDER BY i) AS v FROM means GROUP BY label),
+  b AS (SELECT b.id, a.label, round({COS}, 9) AS s FROM a JOIN {VEC} b ON true QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY round({COS}, 9) DESC, a.label) = 1) SELECT label, count(*) AS n FROM b WHERE s >= 0.25 GROUP BY label""")
+def high_value_categories(spark, d):
+    v = vectors(spark, d)
+    return R.classify_by_anchor(v, R.anchors_of(v)).where("similarity >= 0.25").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("centroid_compression")
@@ -133,7 +152,7 @@ def centroid_compression(spark, d):
     return R.compress_centroids(vectors(spark, d), "label", 0.5)
 
 
-@query("entity_resolution", f"""WITH m AS (SELECT id, 'name' || id AS surface, v FROM {VEC} WHERE id % 20 = 0), e AS (SELECT id, v FROM {VEC} WHERE id % 20 = 1),
+@query("entity_resolution", f"""WITH m AS (SELECT id, 'name' || id AS surface, v FROM {VEC} WHERE id % 20 = 0), e AS (SELECT id, v FROM {VEC} WHERE id % 20 <> 0),
   n AS (SELECT a.id, b.id AS near, {COS} AS s FROM m a JOIN e b ON a.id % 40 <> 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {COS}, 9), b.id) = 1)
   SELECT m.id, CASE WHEN m.id % 40 = 0 THEN m.id WHEN s >= 0.2 THEN near END AS entity_id, round(CASE WHEN m.id % 40 = 0 THEN 1 WHEN s >= 0.2 THEN s ELSE 0 END::DOUBLE, 6) AS score,
     CASE WHEN m.id % 40 = 0 THEN 'alias' WHEN s >= 0.2 THEN 'embedding' ELSE 'unknown' END AS stage FROM m LEFT JOIN n ON n.id = m.id""")
@@ -141,7 +160,7 @@ def entity_resolution(spark, d):
     v = vectors(spark, d)
     mentions = v.where("id % 20 = 0").select("id", F.concat(F.lit("Name "), F.col("id").cast("string")).alias("surface"), "vector")
     aliases = v.where("id % 40 = 0").select(F.concat(F.lit("ｎame"), F.col("id").cast("string")).alias("alias"), F.col("id").alias("entity_id"))
-    out = R.resolve_entities(mentions, aliases, v.where("id % 20 = 1").select("id", "vector"), 0.2)
+    out = R.resolve_entities(mentions, aliases, v.where("id % 20 <> 0").select("id", "vector"), 0.2)
     return out.select("id", "entity_id", F.round("score", 6).alias("score"), "stage")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from engram import catalog as C
 from engram.plans.distill import MESSAGES
+from engram.operators.graph import shared_folder
 from engram.plans.registry import query
 from engram.sources import bundle, external, loaders
 from engram.streaming import jobs
@@ -80,11 +81,12 @@ def export_edges(spark, d):
     return bundle.export_edges(*C.graph(spark, d))
 
 
-@query("import_merge", f"SELECT predicate, count(*) AS n FROM (SELECT DISTINCT source_id, target_id, predicate, valid_from, valid_to FROM {C.EDGES_SQL} WHERE predicate <> 'supplies') GROUP BY predicate")
+@query("import_merge", f"""WITH i AS (SELECT object_type, name, min(id) AS id FROM {C.OBJECTS_SQL} GROUP BY ALL), h AS (SELECT * FROM {C.EDGES_SQL} WHERE (source_id + target_id) % 2 = 0),
+  m AS (SELECT a.id, b.id, predicate, valid_from, valid_to FROM ({_named}) e JOIN i a ON a.object_type = e.source_type AND a.name = e.source JOIN i b ON b.object_type = e.target_type AND b.name = e.target)
+  SELECT predicate, count(*) AS n FROM (SELECT * FROM h UNION ALL (SELECT * FROM m EXCEPT SELECT * FROM h)) GROUP BY predicate""")
 def import_merge(spark, d):
-    """Half of the edges, with the exported whole merged in: the whole again. Parts are left out, as names repeat there."""
+    """Half of the edges, with the exported whole merged in. Names that repeat go to the object of the smallest id."""
     objects, edges = C.graph(spark, d)
-    objects, edges = objects.where("object_type <> 'concept'"), edges.where("predicate <> 'supplies'")
     half = edges.where("(source_id + target_id) % 2 = 0")
     _, merged = bundle.merge(objects, half, objects.select("object_type", "name"), bundle.export_edges(objects, edges))
     return merged.groupBy("predicate").agg(F.count("*").alias("n"))
@@ -101,12 +103,11 @@ def materialise_new(spark, d):
 def _run(stream, spark, mode: str):
     """All rows of a stream over what is there now, through a table in memory of a name of its own."""
     name = "s" + uuid.uuid4().hex
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where.rstrip('/')}/{name}"
+    path = f"{shared_folder(spark)}/{name}"
     if mode == "append":
         stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/cp").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(path + "/out")
-    work = lambda df, i: df.write.mode("append").parquet(path + "/out")
+    work = lambda df, i: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path + "/out")
     stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", path + "/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path + "/out")
 
@@ -117,11 +118,11 @@ def _stream(spark, d, table: str):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
-@query("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2")
+@query("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
     e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = _run(jobs.counts(e, size="1 day", late="0 seconds"), spark, "append")
-    return got.where("end <= timestamp'2024-01-29'").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    got = _run(jobs.counts(e, size="1 day", late="0 seconds"), spark, "complete")  # open windows too
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("stream_relationship", f"SELECT conv_id, round(greatest(0, least(1, sum(CASE WHEN contains(content, 'tion') OR contains(content, 'that') THEN CASE WHEN role = 'user' THEN 0.02 ELSE 0.01 END ELSE 0 END::DOUBLE - CASE WHEN contains(content, 'with') THEN CASE WHEN role = 'user' THEN 0.02 ELSE 0.01 END ELSE 0 END::DOUBLE)))::DOUBLE, 6) AS intimacy FROM {MESSAGES} GROUP BY conv_id")
