@@ -73,6 +73,12 @@ def temporal_score(intent: Column, created: Column, expires: Column, now: Column
     return F.when(F.coalesce(expires <= now, F.lit(False)), 0.0).when(intent == "past", 1.0 - fresh).otherwise(fresh)
 
 
+def temporal_score_exponential(intent: Column, created: Column, expires: Column, now: Column, rate: float = 1.157e-7) -> Column:
+    """exp(-rate * age), for the past its opposite, 0 once expired; a rate of 0 or less never fades."""
+    fresh = F.exp(-F.lit(max(rate, 0.0)) * F.greatest(F.lit(0), now - created))
+    return F.when(F.coalesce(expires <= now, F.lit(False)), 0.0).when(intent == "past", 1.0 - fresh).otherwise(fresh)
+
+
 def stage(intimacy: Column) -> Column:
     return F.when(intimacy < 0.2, "stranger").when(intimacy < 0.5, "acquaintance").when(intimacy < 0.8, "companion").otherwise("partner")
 

@@ -315,3 +315,56 @@ def test_cards_stories_and_texts(spark):
     al = spark.createDataFrame([(1, "x")], "id long, alias string")
     assert graph.vector_texts(o, al, e).where("id = 1").first()["text"] == "a a a x knows b e"
     assert graph.run_row(spark, 1, "v", "done", 1, 2, {"n": 1}).first()["statistics"] == '{"n": 1}'
+
+
+def test_embed_survives_a_failing_service(spark):
+    from engram.operators import people
+
+    def service(texts):
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t))] for t in texts]
+
+    rows = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id int, t string").coalesce(1)
+    assert [r["vector"] for r in people.embed(rows(["ab", None, ""]), "t", service).orderBy("id").collect()] == [[2.0], None, [0.0]]
+    assert [r["vector"] for r in people.embed(rows(["ab", "bad"]), "t", service).collect()] == [None, None]
+
+
+def test_first_mention_snippets(spark):
+    from engram.operators import people
+
+    chapters = spark.createDataFrame([(1, "é" * 50 + "Anna Lee went" + "x" * 100), (2, "nobody"), (3, None)], "chapter_id int, text string")
+    aliases = spark.createDataFrame([("Anna", "Anna"), ("Anna", "Anna Lee"), ("Lee", "Lee")], "name string, alias string")
+    got = {r["name"]: r for r in people.first_mentions(chapters, aliases).collect()}
+    assert (got["Anna"]["alias"], got["Anna"]["start"], got["Anna"]["end"]) == ("Anna Lee", 100, 108) and got["Lee"]["start"] == 105
+    assert got["Anna"]["snippet"] == "é" * 40 + "Anna Lee went" + "x" * 75
+
+
+def test_hybrid_search_ranks_hits_among_candidates(spark):
+    """A nearer memory that is no candidate takes no rank, and one of another tenant takes no place."""
+    from engram.operators import retrieval
+
+    rows = [(1, "a", "red fox", [0.0, 1.0]), (2, "a", "red fox runs", [1.0, 0.2]), (3, "a", "blue", [1.0, 0.0]), (4, "b", "red fox", [1.0, 0.1])]
+    m = spark.createDataFrame(rows, "id long, tenant_id string, content string, vector array<double>").selectExpr("*", "'knowledge' AS memory_type", "0.0D AS confidence", "0L AS created_at", "CAST(NULL AS BIGINT) AS expires_at")
+    got = {r["id"]: r["score"] for r in retrieval.hybrid_search(m, "red fox", [1.0, 0.0], 10**9, tenant="a").collect()}
+    assert set(got) == {"1", "2"}
+    # both have all terms once, so keyword ranks go by id; vector ranks are 0 for memory 2 and 1 for memory 1
+    assert got["1"] == pytest.approx(1 / 60 + 1 / 61, abs=1e-8) and got["2"] == pytest.approx(1 / 61 + 1 / 60, abs=1e-8)
+
+
+def test_contained_pairs_by_brute_force(spark):
+    import random
+
+    from engram.operators import distill
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(150)] + [None, "日本語の文", "日本語の文章"]
+    grams = {t: {t[i : i + 2] for i in range(len(t) - 1)} for t in set(texts) if t}
+    want = set()
+    for a in grams:
+        for b in grams:
+            x, y = grams[a], grams[b]
+            if a < b and x and y and 2 * min(len(x), len(y)) >= max(len(x), len(y)) and len(x & y) / min(len(x), len(y)) >= 0.8:
+                want.add((a, b))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {(r["a"], r["b"]) for r in distill.contained_pairs(rows, "t", 0.8).collect()} == want
