@@ -191,6 +191,42 @@ def test_lm_orders_words(spark):
     assert all(x < 0 for x in [*s.values(), *alone.values()]) and s[101] > s[103] > s[105]
 
 
+def test_lm_brute_force(spark, monkeypatch):
+    """With one table a word and every pair met once nothing is random: scores of training, held-out and unknown words are
+    those of the formulas, whether gains are in memory or joined, and probabilities after every context add up to 1."""
+    monkeypatch.setattr(lm, "seat", lambda c, *_: np.minimum(np.asarray(c, float), 1.0))
+    texts = ["a b c", "B A d", "c\ta"]
+    probes = ["a b c", "a d", "c b", "d d a", "q a", "a q q", "", None]
+    d = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(probes))], "doc_id long, text string")
+    n = Counter(w for t in texts for w in lm.tokens(t.encode()))
+    pairs = Counter(x for t in texts for x in zip([lm.END, *lm.tokens(t.encode())], lm.tokens(t.encode())))
+    assert set(pairs.values()) == {1}
+    total, v, d0, d1 = sum(n.values()), len(n), 1 / 5, 0.5  # one word met once, two met twice; no pair met twice
+    base = (1 + d0 * v) / (1 + total) / (v + 1)
+    parent = lambda w: (n[w] - d0) / (1 + total) + base if w in n else base
+    after = Counter(u for u, _ in pairs)
+
+    def chance(u, w):
+        return ((1 - d1) * pairs[u, w] + (1 + d1 * after[u]) * parent(w)) / (1 + n[u])
+
+    for u in [*n, b"q"]:
+        assert sum(chance(u, w) for w in [*n, b"unknown"]) == pytest.approx(1)
+    for r in lm.hpy_scores(d, F.col("doc_id") >= 100).collect():
+        ws = lm.tokens(((texts[r["doc_id"]] if r["doc_id"] < 100 else probes[r["doc_id"] - 100]) or "").encode())
+        assert r["score"] == pytest.approx(sum(np.log10(chance(u, w)) for u, w in zip([lm.END, *ws], ws)), abs=1e-5)
+
+
+def test_lm_joined_gains(spark, corpus):
+    """Gains joined from the table are those held in memory, and a held-out copy of a training text has its score."""
+    held = F.col("doc_id") % 7 == 2
+    read = lambda d, **k: {r["doc_id"]: r["score"] for r in lm.hpy_scores(d, held, **k).collect()}
+    id_, text = corpus.where("doc_id % 7 = 3 and length(text) > 100").select("doc_id", "text").first()
+    both = corpus.select("doc_id", "text").union(spark.createDataFrame([(7_000_002, text)], "doc_id long, text string"))
+    memory, joined = read(both), read(both, cell_share=1.0)
+    assert memory == pytest.approx(joined, abs=1e-2, rel=1e-5)
+    assert joined[7_000_002] == pytest.approx(joined[id_], abs=1e-2)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     t = lm.seat(np.array([0, 1, 2, 1000, 10**7]), 0.5, 0.5, rng)
