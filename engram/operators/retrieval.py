@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,40 +66,56 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_: str = "id",
     return distances(vectors, query, id_, vector).orderBy("distance", "id").limit(k)
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """The exact k nearest stored vectors of every query: (query_id, id, distance, rank).
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The exact k nearest stored vectors of every query: (query_id, id, distance, rank); ties by id.
 
-    queries and vectors have id and vector. Queries reach the driver `block` at a time, and each block is shown to every
-    task of vectors, which keeps its own top k of each; those are ranked together. So it takes one pass over vectors a
-    batch of queries, and never a pair a row.
+    queries and vectors have id and vector; null vectors are left out. Both sides are cut into blocks by a hash of the
+    id, and a task compares one block of queries with one of vectors as matrices: never a pair a row, nothing through
+    the driver. The work is the product of both sides, so queries should be few beside vectors.
     """
-    spark, parts = queries.sparkSession, None
-    rows = queries.select("id", "vector").orderBy("id").toLocalIterator()
-    while chunk := list(islice(rows, block)):
-        ids = np.array([r["id"] for r in chunk])
-        q = np.array([r["vector"] for r in chunk], float)
-        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)))
-        got = vectors.select("id", "vector").mapInPandas(_best_of_batches(shared, k), "query_id long, id long, distance double")
-        parts = got if parts is None else parts.unionByName(got)
-    if parts is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.lit(0).alias("cell"))
+    return _nearest_in_cells(q, vectors.select("id", "vector", F.lit(0).alias("cell")), k)
 
 
-def _best_of_batches(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        best_d, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            v = np.array(b["vector"].tolist(), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-            d = np.concatenate([best_d, np.round(1 - q @ v.T, 9)], 1)
-            i = np.concatenate([best_i, np.tile(b["id"].to_numpy(np.int64), (len(ids), 1))], 1)
+def _nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 8192, vector_block: int = 32768) -> DataFrame:
+    """The k nearest of each query (query_id, q, cell) among vectors (id, vector, cell) of its cells.
+
+    A cell is a grid of blocks of about query_block by vector_block rows, however many rows it has: each query goes to
+    every block of vectors of its cell, each vector to every block of queries.
+    """
+    queries, vectors = queries.where("q is not null"), vectors.where("vector is not null")
+    blocks = lambda n: F.ceil(F.count("*") / n).cast("int")
+    shape = queries.groupBy("cell").agg(blocks(query_block).alias("rows")).join(vectors.groupBy("cell").agg(blocks(vector_block).alias("cols")), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    q = queries.join(shape, "cell").select("cell", own("query_id", "rows").alias("r"), every("cols").alias("c"), "query_id", "q")
+    v = vectors.join(shape, "cell").select("cell", every("rows").alias("r"), own("id", "cols").alias("c"), "id", "vector")
+    grid = ("cell", "r", "c")
+    met = q.groupBy(*grid).cogroup(v.groupBy(*grid)).applyInArrow(_best_of_block(k), "query_id long, id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of a column as rows of length 1; a zero vector stays zero."""
+    flat = column.combine_chunks()
+    v = np.asarray(flat.flatten(), float).reshape(len(flat), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+
+
+def _best_of_block(k: int, step: int = 1024):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "distance"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        queries, q, ids, v = left["query_id"].to_numpy(), _unit(left["q"]), right["id"].to_numpy(), _unit(right["vector"])
+        best_d, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for at in range(0, len(v), step):
+            d = np.concatenate([best_d, np.round(1 - q @ v[at : at + step].T, 9)], 1)
+            i = np.concatenate([best_i, np.broadcast_to(ids[at : at + step], (len(q), len(v[at : at + step])))], 1)
             order = np.lexsort((i, d), axis=1)[:, :k]
             best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        n = best_d.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": best_i.ravel(), "distance": best_d.ravel()})
+        return pa.table([pa.array(np.repeat(queries, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names)
 
     return run
 
@@ -206,28 +222,60 @@ def compress_centroids(vectors: DataFrame, group: str, eps: float, samples: int
     return rows.mapInPandas(run, f"{group} {kind}, cluster int, n long, centroid array<double>, members array<long>")
 
 
-def hyperplane_codes(vectors: DataFrame, tables: int = 24, bits: int = 4, seed: int = 1) -> DataFrame:
-    """(id, vector, bucket): one row a table, bucket the signs of the vector's products with random planes."""
+def fit_cells(vectors: DataFrame, k: int = 10, recall: float = 0.95, sample: int = 20_000, most_cells: int = 4096, seed: int = 1) -> tuple[np.ndarray, int]:
+    """(centres, probes) of a cell index, fitted on at most `sample` rows, those of the smallest hash of their id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
+    There are as many cells as the root of the number of rows, most_cells at most, with centres by spherical k-means. A
+    query is to look into `probes` cells: the least number of which 500 rows of the sample find that share of their k
+    nearest in it. Vectors without structure ask for many, grouped ones for few.
+    """
+    v = vectors.where("vector is not null")
+    rows = v.select("vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow()
+    if not rows.num_rows:
+        return np.zeros((1, 0)), 1
+    x, rng = _unit(rows["vector"]), np.random.default_rng(seed)
+    cells = max(1, min(most_cells, int(v.count() ** 0.5), len(x)))
+    centres = x[np.sort(rng.choice(len(x), cells, replace=False))]
+    for _ in range(8):
+        own = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        n = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(n > 0, sums / np.maximum(n, 1e-30), centres)
+    own, asked = (x @ centres.T).argmax(1), x[:500]
+    near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.empty((len(asked), cells), np.int64)  # place of each cell in the order that a query takes them
+    np.put_along_axis(place, np.argsort(-(asked @ centres.T), axis=1, kind="stable"), np.arange(cells)[None], 1)
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return centres, int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
+
+
+def _cells_of(rows: DataFrame, vector: str, centres, probes: int) -> DataFrame:
+    """rows (id first) with the `probes` nearest cells of a vector, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.array(b["vector"].tolist(), float)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(v.shape[1], tables * bits))
-            signs = (v @ planes > 0).reshape(len(v), tables, bits)
-            code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-            yield pd.DataFrame({"id": b["id"], "vector": b["vector"], "bucket": code.tolist()})
-
-    return vectors.select("id", "vector").mapInPandas(run, "id long, vector array<float>, bucket array<long>").select("id", "vector", F.explode("bucket").alias("bucket"))
-
-
-def nearest_by_buckets(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 24, bits: int = 4, seed: int = 1) -> DataFrame:
-    """Approximate k nearest: exact cosines among vectors that share a bucket with the query: (query_id, id, distance, rank)."""
-    q = hyperplane_codes(queries, tables, bits, seed).select(F.col("id").alias("query_id"), F.col("vector").alias("q"), "bucket")
-    v = hyperplane_codes(vectors, tables, bits, seed)
-    met = q.join(v, "bucket").select("query_id", "id", F.round(1.0 - F.coalesce(cosine(F.col("q"), F.col("vector")), F.lit(0.0)), 9).alias("distance")).distinct()
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+            x = _unit(pa.chunked_array([b[vector]]))
+            for at in range(0, len(x), 2048):
+                part = b.slice(at, 2048)
+                cells = np.argsort(-(x[at : at + 2048] @ centres.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "cells"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.where(F.col(vector).isNotNull()).mapInArrow(run, f"{kinds}, cells array<int>").select(*rows.columns, F.explode("cells").alias("cell"))
+
+
+def nearest_by_cells(queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, sample: int = 20_000, most_cells: int = 4096, seed: int = 1) -> DataFrame:
+    """Approximate k nearest, by exact cosines in the cells nearest to a query: (query_id, id, distance, rank).
+
+    The index is fitted on a bounded sample (fit_cells) and holds every row; a crowded cell is cut into blocks. Empty
+    tables give no rows.
+    """
+    centres, probes = fit_cells(vectors, k, recall, sample, most_cells, seed)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # at most most_cells rows
+    q = _cells_of(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "q", shared, probes)
+    return _nearest_in_cells(q, _cells_of(vectors.select("id", "vector"), "vector", shared, 1), k)
 
 
 def resolve_entities(mentions: DataFrame, aliases: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:

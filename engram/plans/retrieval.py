@@ -88,7 +88,7 @@ def knn_exact(spark, d):
 def knn_buckets(spark, d):
     """Approximate neighbours of every twentieth vector; tests measure its recall against knn_exact."""
     v = vectors(spark, d)
-    return R.nearest_by_buckets(v.where("id % 20 = 0"), v, 5).select("query_id", "id", "distance", "rank")
+    return R.nearest_by_cells(v.where("id % 20 = 0"), v, 5).select("query_id", "id", "distance", "rank")
 
 
 #: A hit is a candidate among the nearest of all memories; hits are ranked among themselves.

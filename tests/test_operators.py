@@ -99,6 +99,33 @@ def test_nearest_buckets_recall(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 5)).round(1)
+    v[10:40] = v[0]  # copies: ties go to the smallest id
+    rows = spark.createDataFrame([(i, x.tolist(), 0 if i < 60 else 1) for i, x in enumerate(v)], "id long, vector array<float>, cell int")
+    q = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"), "cell")
+    u = np.array(v, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for query_block, vector_block in ((8192, 32768), (4, 7)):
+        got = retrieval._nearest_in_cells(q, rows, 4, query_block, vector_block).collect()
+        want = set()
+        for a in range(0, 90, 3):
+            near = sorted((round(1 - float(u[a] @ u[b]), 9), b) for b in range(90) if (a < 60) == (b < 60))[:4]
+            want |= {(a, b, r + 1) for r, (_, b) in enumerate(near)}
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, vector array<float>")
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, vector array<float>")
+    for find in (retrieval.nearest_each, retrieval.nearest_by_cells):
+        assert find(none, none, 3).count() == 0
+        assert {(r["query_id"], r["id"]) for r in find(odd, odd, 1).collect()} == {(1, 1), (2, 1)}
+
+
 def test_greedy_centroids(spark):
     v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.1]), (3, "a", [0.0, 1.0])], "id long, g string, vector array<float>")
     got = retrieval.compress_centroids(v, "g", 0.1).orderBy("cluster").collect()
