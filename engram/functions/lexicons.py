@@ -46,6 +46,10 @@ PERSONA_MARKERS = [
     ("我不要", "goal", True), ("我不肯", "goal", True), ("我要", "goal", False), ("我宁可", "goal", False), ("我是", "identity", False), ("我向来", "identity", False),
     ("我心里", "emotion", False), ("心里", "emotion", False), ("我害怕", "emotion", False), ("我难过", "emotion", False),
 ]
+IMPACT_WORDS = [
+    "kill", "attack", "strike", "murder", "cry", "laugh", "smile", "frown", "weep", "fear", "say", "ask", "reply", "shout", "whisper",
+    "go", "come", "enter", "leave", "ride", "walk",
+]
 # ---- end of fixed values ----
 
 #: Frequent letter runs of the driver's invented prose, to exercise the same operators on its tables.

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.lexicons import IMPACT_WORDS
+from engram.functions.text import any_of
+
 
 def cooccurrence(members: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n): pairs of names and the groups (group_id, name) that both are in, at least `least`.
@@ -45,6 +50,27 @@ def word_frequency(docs: DataFrame, least: int = 1) -> DataFrame:
     return w.where(F.col("n") >= least).crossJoin(F.broadcast(total)).select("word", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("share"))  # total is one row
 
 
+def elite_scores(words: DataFrame, n: int = 40, han: bool = False, impact: Sequence[str] = IMPACT_WORDS) -> DataFrame:
+    """The n most frequent of words (word, n; ties by word) with impact, domain, frequency, precision and elite score.
+
+    The score is .25 impact + .2 domain + .2 frequency + .15 precision + .08, as upkeep counts .8 and coverage nothing. Domain
+    goes by the share of all words, frequency is over the largest; Han words have one impact and one precision.
+    """
+    size, total = F.length("word"), words.agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    top = words.orderBy(F.desc("n"), "word").limit(n).crossJoin(F.broadcast(total))  # total is one row
+    by_size = F.when(any_of(F.lower("word"), impact), 0.9).when(size >= 5, 0.8).when(size >= 3, 0.6).otherwise(0.4)
+    scored = top.withColumns(
+        {
+            "impact": F.lit(0.7) if han else by_size,
+            "domain": F.when(F.col("n") > F.col("total") * 0.01, 0.9).when(F.col("n") > F.col("total") * 0.001, 0.7).otherwise(0.4),
+            "frequency": F.col("n") / F.col("largest"),
+            "precision": F.lit(0.5) if han else F.least(size / 8.0, F.lit(1.0)) * 0.8 + 0.2,
+        }
+    )
+    elite = 0.25 * F.col("impact") + 0.2 * F.col("domain") + 0.2 * F.col("frequency") + 0.15 * F.col("precision") + 0.08
+    return scored.select("word", "n", "impact", "domain", F.round("frequency", 6).alias("frequency"), F.round("precision", 6).alias("precision"), F.round(elite, 6).alias("elite"))
+
+
 def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:
     return words.join(known.select("word").distinct(), "word", "left_anti")
 
@@ -67,8 +93,6 @@ def deaths(rows: DataFrame, found: DataFrame, phrases: list[str], reach: int = 4
 
 def action_sentences(rows: DataFrame, found: DataFrame, verbs: list[str], most_bytes: int = 300) -> DataFrame:
     """(doc_id, name, sentence): the first sentence with a mention and a strong verb, cut at most_bytes whole characters."""
-    from engram.functions.text import any_of
-
     good = rows.where(any_of(F.col("sentence"), verbs) & (F.octet_length("sentence") <= most_bytes))
     j = found.join(good, ["doc_id", "pos"])
     return j.groupBy("doc_id", F.col("canonical").alias("name")).agg(F.min_by("sentence", F.struct("pos", "start")).alias("sentence"))

@@ -97,6 +97,15 @@ def over_capacity(memories: DataFrame, cap: int, kind: str = "knowledge") -> Dat
     return ranked.where(F.col("r") <= F.col("n") - cap).drop("n", "r")
 
 
+def keep_first(knowledge: DataFrame, shown: int = 40) -> DataFrame:
+    """knowledge (conv_id, turn, summary) without what repeats within a conversation: of equal keys the first turn stays. The
+    key is what comes before the first `：`, else the first 40 characters; a null summary counts as empty."""
+    s = F.coalesce("summary", F.lit(""))
+    key = F.when(s.contains("："), F.substring_index(s, "：", 1)).otherwise(F.substring(s, 1, shown))
+    w = Window.partitionBy("conv_id", "_key").orderBy("turn")
+    return knowledge.withColumn("_key", key).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_key", "_r")
+
+
 def expired(memories: DataFrame, now: int) -> DataFrame:
     return memories.where(F.col("expires_at") < F.lit(now))
 

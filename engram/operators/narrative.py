@@ -74,17 +74,39 @@ def mentions(rows: DataFrame, aliases: Sequence[tuple[str, str]]) -> DataFrame:
     return m.select("doc_id", "pos", F.element_at(table, F.col("m.alias")).alias("canonical"), F.col("m.alias").alias("alias"), (F.col("m.g") + F.col("m.f")).alias("start"))
 
 
+def _all_places(rows: DataFrame, forms: Sequence[str], name: str) -> DataFrame:
+    """(doc_id, pos, name, at): every place, in bytes, of every form in a sentence; places of one form don't overlap."""
+    hit = F.filter(F.array(*map(F.lit, forms)), lambda v: F.contains("sentence", v))
+    v = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias(name))
+    parts = F.split("sentence", F.concat(F.lit(r"\Q"), F.col(name), F.lit(r"\E")))
+    before = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.octet_length(F.array_join(F.slice("parts", F.lit(1), i), "")) + (i - 1) * F.octet_length(name))
+    return v.withColumn("parts", parts).select("doc_id", "pos", name, F.explode(before).alias("at"))
+
+
 def verb_events(found: DataFrame, rows: DataFrame, verbs: Sequence[str], reach: int = 50) -> DataFrame:
-    """Events `subject verb object`: doc_id, pos, verb, subject, object. The subject is the last name that ends at most
-    reach bytes before the verb, the object the first that starts at most reach bytes after it; both are in its sentence."""
-    hit = F.filter(F.array(*map(F.lit, verbs)), lambda v: F.contains("sentence", v))
-    v = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("verb")).withColumn("at", F.expr("octet_length(substring(sentence, 1, instr(sentence, verb) - 1))")).drop("sentence")
-    j = v.join(found, ["doc_id", "pos"])
+    """Events `subject verb object`, one for each place of a verb: doc_id, pos, verb, subject, object. The subject is the last
+    name that ends less than reach bytes before the verb, the object the first that starts less than reach bytes after it,
+    or null; both are in its sentence. Without a subject there is no event."""
+    j = _all_places(rows, verbs, "verb").join(found, ["doc_id", "pos"])
     end, after = F.col("start") + F.octet_length("alias"), F.col("at") + F.octet_length("verb")
-    before = F.when((end <= F.col("at")) & (F.col("at") - end <= reach), end)
-    behind = F.when((F.col("start") >= after) & (F.col("start") - after <= reach), F.col("start"))
+    before = F.when((end <= F.col("at")) & (F.col("at") - end < reach), end)
+    behind = F.when((F.col("start") >= after) & (F.col("start") - after < reach), F.col("start"))
     g = j.groupBy("doc_id", "pos", "verb", "at").agg(F.max_by("canonical", before).alias("subject"), F.min_by("canonical", behind).alias("object"))
-    return g.where("subject is not null or object is not null").drop("at")
+    return g.where("subject is not null").drop("at")
+
+
+def dialogue_events(found: DataFrame, rows: DataFrame, markers: Sequence[str]) -> DataFrame:
+    """Who speaks to whom: doc_id, pos, marker, speaker, addressee, title, description, importance. For the first place of a
+    marker in a sentence the speaker is the last name that ends before it, the addressee the first that starts after it,
+    or null; the description is what stands before the marker. Without a speaker there is no event."""
+    hit = F.filter(F.array(*map(F.lit, markers)), lambda v: F.contains("sentence", v))
+    m = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("marker"))
+    m = m.withColumn("description", F.expr("substring(sentence, 1, instr(sentence, marker) - 1)")).drop("sentence")
+    j = m.withColumn("at", F.octet_length("description")).join(found, ["doc_id", "pos"])
+    end, after = F.col("start") + F.octet_length("alias"), F.col("at") + F.octet_length("marker")
+    before, behind = F.when(end <= F.col("at"), end), F.when(F.col("start") >= after, F.col("start"))
+    g = j.groupBy("doc_id", "pos", "marker", "description").agg(F.max_by("canonical", before).alias("speaker"), F.min_by("canonical", behind).alias("addressee"))
+    return g.where("speaker is not null").select("doc_id", "pos", "marker", "speaker", "addressee", F.concat("speaker", F.lit("曰")).alias("title"), "description", F.lit(0.5).alias("importance"))
 
 
 def associations(events: DataFrame) -> DataFrame:

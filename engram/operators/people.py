@@ -217,6 +217,41 @@ def conversation_records(messages: DataFrame, goals: DataFrame, files: DataFrame
     return out.withColumns({c: F.coalesce(c, empty) for c in ("files", "problems", "decisions", "knowledge")})
 
 
+def prompts(messages: DataFrame, records: DataFrame, knowledge: DataFrame, decisions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(conv_id, prompt): what a model is told of a conversation, in sections: the 5 most important pieces of knowledge
+    (conv_id, turn, importance, summary), the 3 most important decisions (conv_id, turn, importance, decision, module), the
+    session state of records (conv_id, goal, module, files, problems), reasoning steps (conv_id, turn, trigger, tool_name,
+    tool_args, status, reasoning), and the last 3 messages, 200 characters of each. Sections without lines are left out, but
+    for the session's title; among equals of importance the earlier turn comes first."""
+
+    def lines(rows: DataFrame, line: Column, name: str, n: int, *order: Column) -> DataFrame:
+        w = Window.partitionBy("conv_id").orderBy(*order)
+        top = rows.select("conv_id", line.alias("line"), F.row_number().over(w).alias("r")).where(F.col("r") <= n)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda s: s["line"])
+        return top.groupBy("conv_id").agg(F.array_join(listed, "\n").alias(name))
+
+    best = F.desc("importance"), F.asc("turn")
+    known = lines(knowledge, F.format_string("- [%d%%] %s", F.floor(F.col("importance") * 100), F.col("summary")), "known", 5, *best)
+    decided = lines(decisions, F.concat(F.lit("- "), "decision", F.lit(" ("), F.coalesce("module", F.lit("")), F.lit(")")), "decided", 3, *best)
+    short = F.concat("role", F.lit(": "), F.substring("content", 1, 200), F.when(F.length("content") > 200, "…").otherwise(""))
+    last = messages.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("back <= 3")
+    recent = lines(last, short, "recent", 3, F.asc("turn"))
+    out = records.select("conv_id", "goal", "module", "files", "problems")
+    parts = [known, decided, recent]
+    if steps is not None:
+        reason = F.when(F.coalesce(F.col("reasoning"), F.lit("")) != "", F.concat(F.lit("\n  → "), "reasoning")).otherwise("")
+        call = F.concat(F.lit("- Trigger: "), "trigger", F.lit("\n  Tool: "), "tool_name", F.lit("("), F.coalesce("tool_args", F.lit("")), F.lit(")\n  Status: "), "status", reason)
+        parts.append(lines(steps, call, "steps", 1 << 30, F.asc("turn")))
+    for part in parts:
+        out = out.join(part, "conv_id", "left")
+    out = out if steps is not None else out.withColumn("steps", F.lit(None).cast("string"))
+    section = lambda title, c, gap: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"## {title}\n"), c, F.lit("\n" * gap)))
+    told = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"- {title}: "), c))
+    state = F.concat_ws("\n", F.lit("## Session State"), told("Goal", F.col("goal")), told("Module", F.col("module")), told("Files", F.array_join("files", ", ")), told("Problems", F.array_join("problems", "; ")))
+    prompt = F.concat_ws("\n", section("Knowledge", "known", 1), section("Decisions", "decided", 1), state, section("Reasoning Chain", "steps", 1), section("Recent", "recent", 0))
+    return out.select("conv_id", prompt.alias("prompt"))
+
+
 def new_decisions(decisions: DataFrame, store: DataFrame, tenant: str, noise: Callable[[Column], Column], sensitive: Callable[[Column], Column]) -> DataFrame:
     """Memories of decisions that a tenant's knowledge doesn't have yet: tenant_id, memory_type, content, confidence; noise and
     secrets are left out, and equal decisions are one, of the largest importance."""

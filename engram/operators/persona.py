@@ -104,6 +104,17 @@ def relationship(messages: DataFrame, state: DataFrame | None = None, positive:
     return moved.select("conv_id", new.alias("intimacy"), stage(new).alias("stage"), trend(new - F.round(old, 9)).alias("trend"))
 
 
+def recent_topics(messages: DataFrame, n: int = 10) -> DataFrame:
+    """(conv_id, topics): the n most repeated themes of each conversation's messages, most frequent first; a conversation
+    without any has an empty list. They replace the topics of a relationship's state."""
+    from engram.operators.cognition import themes
+
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("o"), "keyword")))
+    t = themes(messages, n).groupBy("conv_id").agg(F.transform(ordered, lambda s: s["keyword"]).alias("topics"))
+    every = messages.select("conv_id").distinct()
+    return every.join(t, "conv_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
 def decayed(facts: DataFrame, now: int, strategy: str = "hybrid", force: bool = False, ttl: float = 90 * 86400.0) -> DataFrame:
     """facts with weight and archived: below 1 is archived. Persona and relationship facts keep 1, unless forced."""
     protected = F.col("persona") | (F.col("fact_type") == "relationship")

@@ -88,8 +88,9 @@ def _nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, query_bloc
     shape = queries.groupBy("cell").agg(blocks(query_block).alias("rows")).join(vectors.groupBy("cell").agg(blocks(vector_block).alias("cols")), "cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
-    q = queries.join(shape, "cell").select("cell", own("query_id", "rows").alias("r"), every("cols").alias("c"), "query_id", "q")
-    v = vectors.join(shape, "cell").select("cell", every("rows").alias("r"), own("id", "cols").alias("c"), "id", "vector")
+    cell = F.col("cell").alias("cell")  # a column of its own, should both sides come from one table
+    q = queries.join(shape, "cell").select(cell, own("query_id", "rows").alias("r"), every("cols").alias("c"), "query_id", "q")
+    v = vectors.join(shape, "cell").select(cell, every("rows").alias("r"), own("id", "cols").alias("c"), "id", "vector")
     grid = ("cell", "r", "c")
     met = q.groupBy(*grid).cogroup(v.groupBy(*grid)).applyInArrow(_best_of_block(k), "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")

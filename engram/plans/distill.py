@@ -184,6 +184,14 @@ def open_problems(spark, d):
     return D.open_problems(C.messages(spark, d))
 
 
+@query("knowledge_keep_first", f"""WITH k AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN substr(content, 1, 1) || '：' || content WHEN 1 THEN substr(content, 1, 1) ELSE content END AS summary FROM {MESSAGES})
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, CASE WHEN contains(summary, '：') THEN split_part(summary, '：', 1) ELSE substr(summary, 1, 40) END ORDER BY turn) = 1""")
+def knowledge_keep_first(spark, d):
+    first, c = F.substring("content", 1, 1), F.col("content")
+    summary = F.when(F.col("turn") % 3 == 0, F.concat(first, F.lit("："), c)).when(F.col("turn") % 3 == 1, first).otherwise(c)
+    return D.keep_first(C.messages(spark, d).select("conv_id", "turn", summary.alias("summary")))
+
+
 @query("decisions", f"WITH RECURSIVE {PAIRS_SQL} SELECT conv_id, turn, problem AS decision, solution AS rationale, CASE WHEN contains(lower(solution), 'done') THEN 0.9 ELSE 0.7 END::DOUBLE AS importance FROM pairs WHERE contains(lower(solution), 'done') OR contains(lower(problem), 'tion')")
 def decisions(spark, d):
     return D.decisions(driver_pairs(spark, d), ["done"], ["tion"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engram import catalog as C
+from engram.functions.lexicons import IMPACT_WORDS
 from engram.operators import corpus as K
 from engram.operators import narrative as N
 from engram.plans.registry import contains_sql, query
@@ -113,6 +114,17 @@ def verb_frequency(spark, d):
     return K.word_frequency(docs(spark, d), 3)
 
 
+_impact = contains_sql("lower(word)", IMPACT_WORDS)
+
+
+@query("elite_scores", f"""WITH t AS (SELECT word, n, sum(n) OVER () AS total, n / (max(n) OVER ())::DOUBLE AS f FROM {WORDS} ORDER BY n DESC, word LIMIT 40),
+  s AS (SELECT *, CASE WHEN {_impact} THEN 0.9 WHEN length(word) >= 5 THEN 0.8 WHEN length(word) >= 3 THEN 0.6 ELSE 0.4 END::DOUBLE AS impact,
+    CASE WHEN n > total * 0.01 THEN 0.9 WHEN n > total * 0.001 THEN 0.7 ELSE 0.4 END::DOUBLE AS domain, least(length(word) / 8.0::DOUBLE, 1) * 0.8 + 0.2 AS p FROM t)
+  SELECT word, n, impact, domain, round(f, 6) AS frequency, round(p, 6) AS precision, round(0.25 * impact + 0.2 * domain + 0.2 * f + 0.15 * p + 0.08, 6) AS elite FROM s""")
+def elite_scores(spark, d):
+    return K.elite_scores(K.word_frequency(docs(spark, d)))
+
+
 @query("unknown_words", f"SELECT word, n FROM {WORDS} WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) FROM benchmark)")
 def unknown_words(spark, d):
     known = C.Catalog(spark, d).table("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))

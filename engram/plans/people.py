@@ -11,6 +11,7 @@ from engram.operators import distill as D
 from engram.operators import narrative as N
 from engram.operators import people as P
 from engram.operators import retrieval as R
+from engram.operators.persona import recent_topics
 from engram.plans import distill as PD
 from engram.plans.narrative import LEX, SENT, docs
 from engram.plans.registry import contains_sql, query, quoted
@@ -211,6 +212,57 @@ def conversation_records(spark, d):
     return r.select("conv_id", "n_messages", "goal", size("problems"), size("decisions"), size("knowledge"), F.when(F.size("decisions") > 0, F.md5(F.array_join("decisions", " "))).otherwise("").alias("decisions"))
 
 
+_problems = _oracle("open_problems").replace("WITH m AS", "WITH om AS").replace("FROM m WHERE", "FROM om WHERE").replace("FROM m x", "FROM om x").replace("m.con", "om.con")
+
+
+@query("conversation_prompts", f"""WITH RECURSIVE {_pairs}, goal AS ({_oracle("conversation_goal")}), prob AS ({_problems}),
+  k AS (SELECT conv_id, turn, '- [' || CAST(floor(importance * 100) AS INT) || '%] ' || problem AS line, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, turn) AS r FROM s WHERE memory_type = 'knowledge' QUALIFY r <= 5),
+  dec AS (SELECT conv_id, '- ' || problem || ' (' || CASE WHEN turn % 2 = 0 THEN 'core' ELSE '' END || ')' AS line, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN contains(lower(solution), 'done') THEN 0 ELSE 1 END, turn) AS r
+    FROM pairs WHERE contains(lower(solution), 'done') OR contains(lower(problem), 'tion') QUALIFY r <= 3),
+  last AS (SELECT conv_id, turn, role || ': ' || substr(content, 1, 200) || CASE WHEN length(content) > 200 THEN '…' ELSE '' END AS line FROM {MESSAGES} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3),
+  kk AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY r) AS t FROM k GROUP BY conv_id), dd AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY r) AS t FROM dec GROUP BY conv_id),
+  ll AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS t FROM last GROUP BY conv_id), pp AS (SELECT conv_id, string_agg(content, '; ' ORDER BY turn) AS t FROM prob GROUP BY conv_id)
+  SELECT c.conv_id, md5(concat_ws(chr(10), '## Knowledge' || chr(10) || kk.t || chr(10), '## Decisions' || chr(10) || dd.t || chr(10), '## Session State', '- Goal: ' || goal, CASE WHEN c.conv_id % 2 = 0 THEN '- Module: api' END,
+    '- Problems: ' || pp.t, '## Recent' || chr(10) || ll.t)) AS prompt FROM (SELECT DISTINCT conv_id FROM {MESSAGES}) c LEFT JOIN kk ON kk.conv_id = c.conv_id LEFT JOIN dd ON dd.conv_id = c.conv_id
+    LEFT JOIN ll ON ll.conv_id = c.conv_id LEFT JOIN pp ON pp.conv_id = c.conv_id LEFT JOIN goal ON goal.conv_id = c.conv_id""")
+def conversation_prompts(spark, d):
+    m, pairs, scored = C.messages(spark, d), PD.driver_pairs(spark, d), PD.driver_candidates(spark, d)
+    decided = D.decisions(pairs, ["done"], ["tion"])
+    records = P.conversation_records(m, D.goals(m), D.files(m), D.open_problems(m), decided, scored)
+    records = records.withColumn("module", F.when(F.col("conv_id") % 2 == 0, "api"))
+    known = scored.where("memory_type = 'knowledge'").select("conv_id", "turn", "importance", F.col("problem").alias("summary"))
+    p = P.prompts(m, records, known, decided.withColumn("module", F.when(F.col("turn") % 2 == 0, "core")))
+    return p.select("conv_id", F.md5("prompt").alias("prompt"))
+
+
+_topics = _oracle("repeated_themes").replace("<= 20", "<= 10")
+
+
+@query("relationship_topics", f"""SELECT c.conv_id, coalesce(t, '') AS topics FROM (SELECT DISTINCT conv_id FROM {MESSAGES}) c LEFT JOIN (SELECT conv_id, string_agg(keyword, ',' ORDER BY occurrences DESC, keyword) AS t FROM ({_topics}) GROUP BY conv_id) x ON x.conv_id = c.conv_id""")
+def relationship_topics(spark, d):
+    return recent_topics(C.messages(spark, d)).select("conv_id", F.array_join("topics", ",").alias("topics"))
+
+
+SCENES = [(1, 0, "Anna asked Boris, then said to Clara: go"), (1, 1, "asked Anna"), (1, 2, "Boris met Clara and Clara met Anna"), (1, 3, "关羽曰：曹操何在"), (2, 0, "Clara" + " " * 60 + "met Boris"), (2, 1, "nobody met")]
+CAST = [("Anna", "Anna"), ("Boris", "Boris"), ("Clara", "Clara"), ("关羽", "关羽"), ("曹操", "曹操")]
+SPOKEN = [(1, 0, "asked", "Anna", "Boris", "Anna "), (1, 0, "said to", "Boris", "Clara", "Anna asked Boris, then "), (1, 3, "曰", "关羽", "曹操", "关羽")]
+
+
+@query("dialogue_events", f"SELECT doc_id, pos, marker, speaker, addressee, speaker || '曰' AS title, description, 0.5::DOUBLE AS importance FROM {values_sql(SPOKEN, 'doc_id, pos, marker, speaker, addressee, description')}")
+def dialogue_events(spark, d):
+    rows = fixture(spark, SCENES, "doc_id int, pos int, sentence string")
+    return N.dialogue_events(N.mentions(rows, CAST), rows, ["asked", "said to", "曰"])
+
+
+ACTED = [(1, 2, "met", "Boris", "Clara"), (1, 2, "met", "Clara", "Anna"), (1, 0, "asked", "Anna", "Boris")]
+
+
+@query("action_events", f"SELECT * FROM {values_sql(ACTED, 'doc_id, pos, verb, subject, object')}")
+def action_events(spark, d):
+    rows = fixture(spark, SCENES, "doc_id int, pos int, sentence string")
+    return N.verb_events(N.mentions(rows, CAST), rows, ["met", "asked"])
+
+
 _decided = f"SELECT 'Decision: ' || problem || ' — Rationale: ' || solution AS content, max(CASE WHEN contains(lower(solution), 'done') THEN 0.9 ELSE 0.7 END)::DOUBLE AS confidence FROM pairs WHERE contains(lower(solution), 'done') OR contains(lower(problem), 'tion') GROUP BY content"
 
 
