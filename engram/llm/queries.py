@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import exact_dedup, langid, lm, mixing, neardup, quality, toxicity, token_binary, token_count
+from engram.llm import bpe, divergence, exact_dedup, langid, lm, mixing, neardup, prefix_trie, quality, toxicity, token_binary, token_count
 from engram.llm import pieces as pieces_
-from engram.llm.common import folded, shared_path
+from engram.llm.common import folded, materialise, shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_lm_scoring, op4_quality, op5_language_id, op6_near_dedup, op7_sentencepiece, op8_token_counts, op9_token_binary, op10_mixing)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialise(prefix_trie.turns_in_order(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "trie-turns")
+    return prefix_trie.prefix_trie(prefix_trie.rebuild(turns)).drop("digest")
 
-ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_quality": quality.ORACLE, "op6_near_dedup": neardup.ORACLE, "op10_mixing": mixing.oracle()}
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_lm_scoring, op4_quality, op5_language_id, op6_near_dedup, op7_sentencepiece, op8_token_counts, op9_token_binary, op10_mixing, op11_prefix_trie, op12_divergence, op13_bpe)}
+
+ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_quality": quality.ORACLE, "op6_near_dedup": neardup.ORACLE, "op10_mixing": mixing.oracle(), "op11_prefix_trie": prefix_trie.ORACLE, "op12_divergence": divergence.ORACLE}
