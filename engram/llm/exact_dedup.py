@@ -30,9 +30,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     group of any size reaches its reducer as one row per map task. Documents find their group again by MD5
     and SHA-256 together; should two different texts ever share both, the query fails instead of merging them.
 
-    Null texts count as empty, and all empty texts are one group. Rows that repeat an id and a text are counted
-    each, and are all kept where that id stays. A group without any id has keep_id null, and all its rows stay.
-    An empty table gives no rows. Other columns of docs are not read.
+    Null texts count as empty, and all empty texts are one group. A row without an id comes after those of its length that
+    have one; where it stays, keep_id is null. `kept` marks the row that stays and those that tie with it, in id and length:
+    repeated rows, which are counted each, are so marked all. An empty table gives no rows. Other columns of docs are not
+    read.
     """
     norm = normalised(docs[text])
     rows = docs.select(
@@ -61,7 +62,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce((F.col("doc_id") == F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")), F.col("keep_id").isNull()).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
         "text_sha256",
     )
 
@@ -69,12 +70,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns.
 
-    One shuffle: keys are the MD5 and the normalised bytes, and copies combine before it.
+    The row is one that exact_groups() marks as kept; of several that tie there, the one of the least hash of all columns
+    but maps. One shuffle: keys are the MD5 and the normalised bytes, and copies combine before it.
     """
     norm = normalised(docs[text])
     chars = F.coalesce(F.length(docs[text]), F.lit(0))
     whole = F.struct(*[docs[c] for c in docs.columns])
-    best = docs.select(F.md5(norm).alias("h"), norm.alias("norm"), whole.alias("r"), _order(chars, docs[doc_id]).alias("o"))
+    tie = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    best = docs.select(F.md5(norm).alias("h"), norm.alias("norm"), whole.alias("r"), F.struct(_order(chars, docs[doc_id]).alias("o"), tie.alias("t")).alias("o"))
     return best.groupBy("h", "norm").agg(F.min_by("r", "o").alias("r")).select("r.*")
 
 

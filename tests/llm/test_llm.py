@@ -1,12 +1,14 @@
 """The operators of engram.llm on small documents: edge cases, brute force, round trips, held-out accuracy."""
 
 import hashlib
+import numbers
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -45,10 +47,12 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(name, spark, sf):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLE[name]).df()
     c = sorted(want.columns)
-    plain = lambda df: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df[c].itertuples(index=False))
+    say = lambda x: "" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, numbers.Number) else str(x)
+    plain = lambda df: sorted(tuple(map(say, r)) for r in df[c].itertuples(index=False))
     assert sorted(got.columns) == c and plain(got) == plain(want)
 
 
@@ -66,6 +70,27 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_one_rule_for_kept_rows(spark):
+    """drop_copies keeps one of the rows that exact_groups marks, whatever ids are null or repeated."""
+    rows = [(None, "a b"), (None, "ab"), (1, "x y"), (1, "x y"), (1, "xy"), (None, "q  r"), (2, "qr"), (3, "s\x0b\x0ct"), (4, "s t"), (None, None), (5, "")]
+    d = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    marked = [(r["doc_id"], r["group_size"]) for r in exact_dedup.exact_groups(d).where("kept").collect()]
+    assert sorted(marked, key=str) == sorted([(None, 2), (1, 3), (1, 3), (None, 2), (3, 2), (5, 2)], key=str)
+    for k in (1, 3):
+        assert sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(d.repartition(k)).collect()), key=str) == sorted([(None, "a b"), (1, "x y"), (None, "q  r"), (3, "s\x0b\x0ct"), (5, "")], key=str)
+
+
+def test_quality_sql_takes_all_white_space(spark):
+    """The SQL's classes are those of the contract, vertical tabs, form feeds and returns included."""
+    texts = ["one\x0btwo\x0cthree\rfour\tfive six\nseven", "a\x0ba\x0ba a a a", "\x0b\x0c\r\n\x0b\x0c\r\nx", "", None, "é\x0bé " * 60]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed FROM ({ORACLE['op4_quality']})").fetchall()}
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in quality.quality(d).collect()}
+    assert got == want and [got[i][:5] for i in range(len(texts))] == [brute_quality(t) for t in texts]
+
+
 def test_drop_copies_keeps_columns(docs, none):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [-3, 2, 3, 6, 7, 8, 9]
