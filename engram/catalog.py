@@ -36,8 +36,12 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def memories(spark: SparkSession, folder: str) -> DataFrame:
     """documents as memories: tenant = source, six types by doc_id, created an hour apart, expiring by type."""
+    return memories_of(Catalog(spark, folder).table("documents"))
+
+
+def memories_of(d: DataFrame) -> DataFrame:
+    """memories() of a table or stream of documents."""
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = Catalog(spark, folder).table("documents")
     d = d.select(F.col("doc_id").alias("id"), F.col("source").alias("tenant_id"), kind.alias("memory_type"), F.col("text").alias("content"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"), (F.lit(BASE) + F.col("doc_id") % 960 * 3600).alias("created_at"))
     return d.withColumn("expires_at", F.col("created_at") + ttl_seconds(F.col("memory_type")))
 

@@ -50,6 +50,20 @@ IMPACT_WORDS = [
     "kill", "attack", "strike", "murder", "cry", "laugh", "smile", "frown", "weep", "fear", "say", "ask", "reply", "shout", "whisper",
     "go", "come", "enter", "leave", "ride", "walk",
 ]
+ARC_POSITIVE = ["仁", "义", "善", "宽", "厚", "谦", "智勇", "英雄", "忠", "慈"]
+ARC_NEGATIVE = ["奸", "狡", "诈", "狠", "毒", "多疑", "善妒", "刚愎", "傲慢", "躁", "急", "残", "有勇无谋"]
+EVENT_DEATHS = ["战死", "去世", "身亡", "阵亡", "死亡", "病逝", "病故", "殒命", "毙命", "驾崩", "圆寂", "陨落"]
+DIALOG_MARKERS = ["曰：", "道："]
+DIALOG_TO_WORDS = ["谓", "对"]
+POEM_WORDS = ["诗", "词"]
+DIALOG_ADDRESS = [
+    (["主公", "陛下", "大王", "王上", "皇上", "天子"], "君臣"), (["丞相", "军师", "都督", "将军"], "君臣"), (["哥哥", "大哥", "义兄", "贤弟", "兄弟", "义弟"], "结义"),
+    (["师父", "师傅", "师尊", "恩师"], "师徒"), (["夫人", "娘子", "贤妻", "拙荆"], "夫妻"), (["父亲", "父王", "爹爹", "岳父"], "父子"), (["母亲", "娘亲"], "母女"),
+]
+VERB_SETS = {
+    "strong": ["attack", "rescue", "creation"], "action": ["speech", "movement", "emotion", "cognition", "transfer", "state", "intention", "preference"],
+    "hostile": ["attack"], "friendly": ["rescue"],
+}
 # ---- end of fixed values ----
 
 #: Frequent letter runs of the driver's invented prose, to exercise the same operators on its tables.

@@ -52,13 +52,20 @@ def facts_of(obs: DataFrame, subject: Column) -> DataFrame:
     return out.where("entity_id <> 0")
 
 
+def with_user_message(messages: DataFrame) -> DataFrame:
+    """messages with user_message, the nearest earlier user message of the conversation, by turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return messages.withColumn("user_message", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w))
+
+
 def restatements(messages: DataFrame, markers: Sequence[tuple[str, str]] = RESTATEMENTS) -> DataFrame:
     """Assistant messages that restate the user: conv_id, turn, marker, fact_type, confidence, content, user_message.
 
-    One row for each marker in the lower-case text; user_message is the nearest earlier user message.
+    One row for each marker in the lower-case text; user_message is the nearest earlier user message, looked up here
+    unless the messages have it already.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    m = messages.withColumn("user_message", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w)).where("role = 'assistant'")
+    m = messages if "user_message" in messages.columns else with_user_message(messages)
+    m = m.where("role = 'assistant'")
     hits = F.filter(F.array(*[F.struct(F.lit(k).alias("marker"), F.lit(t).alias("fact_type")) for k, t in markers]), lambda s: F.contains(F.lower("content"), s["marker"]))
     return m.select("conv_id", "turn", F.explode(hits).alias("h"), F.lit(0.5).alias("confidence"), "content", "user_message").select("conv_id", "turn", "h.marker", "h.fact_type", "confidence", "content", "user_message")
 
@@ -153,7 +160,29 @@ def resolve_or_create(new: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select(*new.columns, F.coalesce(found, fresh).alias("entity_id"), found.isNull().alias("created"))
 
 
-def uncovered(messages: DataFrame, facts: DataFrame) -> DataFrame:
-    """Messages that no fact has as its evidence text."""
-    seen = facts.select(F.get_json_object("payload", "$.content").alias("content")).distinct()
+def uncovered(messages: DataFrame, facts: DataFrame, evidence: str = "$.content") -> DataFrame:
+    """Messages whose text is of no fact the evidence, which is found in its payload under that path."""
+    seen = facts.select(F.get_json_object("payload", evidence).alias("content")).distinct()
     return messages.join(seen, "content", "left_anti")
+
+
+def fuse(messages: DataFrame, valuable: DataFrame, markers: Sequence[tuple[str, str]], negations: Sequence[str] = (), subject: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of all messages, the high-value messages that no fact covers, and what each conversation gives.
+
+    valuable has conv_id, turn, category of the messages worth keeping (retrieval.classify_by_anchor finds them). Facts are
+    conv_id, turn, fact_type, payload. Items are conv_id, turn, category, content: kept as they are, unless their whole
+    text is the content a fact of the same conversation stands on. The summary has a row for each conversation: conv_id,
+    messages, high_value, facts, raw_items, by_category (category to count, of all high-value ones). Null texts are no
+    evidence and aren't covered; messages that repeat a conversation and turn count each.
+    """
+    facts = facts_of(observations(messages, markers, negations), F.lit(1) if subject is None else subject).select("conv_id", "turn", "fact_type", "payload")
+    high = messages.join(valuable.select("conv_id", "turn", "category"), ["conv_id", "turn"]).select("conv_id", "turn", "category", "content")
+    seen = facts.select("conv_id", F.get_json_object("payload", "$.content").alias("content")).distinct()
+    items = high.join(seen, ["conv_id", "content"], "left_anti").select("conv_id", "turn", "category", "content")
+    n = lambda df, name: df.groupBy("conv_id").agg(F.count("*").alias(name))
+    kinds = high.groupBy("conv_id", "category").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"))
+    out = n(messages, "messages")
+    for part in (n(high, "high_value"), n(facts, "facts"), n(items, "raw_items")):
+        out = out.join(part, "conv_id", "left")
+    out = out.join(kinds, "conv_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("high_value", "facts", "raw_items")})
+    return facts, items, out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.lexicons import IMPACT_WORDS
 from engram.functions.text import any_of
+from engram.operators.lexicon import lexicon_places
 
 
 def cooccurrence(members: DataFrame, least: int = 3) -> DataFrame:
@@ -82,12 +83,11 @@ def faction_members(names: DataFrame, factions: DataFrame, unknown: str = "未
 
 
 def deaths(rows: DataFrame, found: DataFrame, phrases: list[str], reach: int = 40) -> DataFrame:
-    """(doc_id, name, chapter): the first chapter in which a death phrase follows a mention within `reach` characters.
-
-    rows has doc_id, pos, chapter, sentence; found is mentions() of them.
-    """
-    pattern = "|".join(phrases)
-    j = found.join(rows, ["doc_id", "pos"]).where(F.expr("substring(sentence, instr(sentence, alias) + length(alias), %d)" % reach).rlike(pattern))
+    """(doc_id, name, chapter): the first chapter in which a death phrase follows one of a name's places within `reach`
+    characters. rows has doc_id, pos, chapter, sentence; found is mentions() of them, every place of a sentence."""
+    before = F.expr("octet_length(alias)") + F.col("start")
+    after = F.decode(F.substring(F.encode("sentence", "utf-8"), before + 1, F.lit(1 << 30)), "utf-8")
+    j = found.join(rows, ["doc_id", "pos"]).where(any_of(F.substring(after, 1, reach), phrases))
     return j.groupBy("doc_id", F.col("canonical").alias("name")).agg(F.min("chapter").alias("chapter"))
 
 
@@ -99,15 +99,18 @@ def action_sentences(rows: DataFrame, found: DataFrame, verbs: list[str], most_b
 
 
 def relation_types(rows: DataFrame, found: DataFrame, rules: list[tuple[str, str]], reach: int = 40) -> DataFrame:
-    """(doc_id, a, b, relation): of rules (keyword, relation) the first whose keyword is within reach bytes of mentions of
-    both names in one sentence. A sentence's mentions are few, so its pairs are bounded by its length."""
-    hit = F.filter(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(r).alias("relation")) for i, (k, r) in enumerate(rules)]), lambda s: F.contains("sentence", s["keyword"]))
-    k = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("h")).select("doc_id", "pos", "sentence", "h.*")
-    k = k.withColumn("at", F.expr("octet_length(substring(sentence, 1, instr(sentence, keyword) - 1))")).withColumn("until", F.col("at") + F.octet_length("keyword")).drop("sentence")
-    m = k.join(found, ["doc_id", "pos"]).withColumn("end", F.col("start") + F.octet_length("alias"))
-    gap = F.when(F.col("end") <= F.col("at"), F.col("at") - F.col("end")).when(F.col("start") >= F.col("until"), F.col("start") - F.col("until")).otherwise(0)
-    near = m.where(gap <= reach).select("doc_id", "pos", "rule", "relation", F.col("canonical").alias("name")).distinct()
-    pairs = near.withColumnRenamed("name", "a").join(near.select("doc_id", "pos", "rule", F.col("name").alias("b")), ["doc_id", "pos", "rule"]).where("a < b")
+    """(doc_id, a, b, relation): of rules (keyword, relation) the first with a place of its keyword that begins less than
+    reach bytes from where mentions of both names begin, in one row (doc_id, pos, sentence: a sentence or a chapter).
+
+    All places of keywords and names count. Names near one place of a keyword are few, as reach bounds them.
+    """
+    forms = rows.sparkSession.createDataFrame([(i, k, r) for i, (k, r) in enumerate(rules)], "rule int, form string, relation string")
+    owners = forms.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("rule", "relation"))).alias("says"))
+    k = lexicon_places(rows, owners, "all").select("doc_id", "pos", F.col("start").alias("at"), F.inline("says"))
+    near = k.join(found.select("doc_id", "pos", "canonical", "start"), ["doc_id", "pos"]).where(F.abs(F.col("start") - F.col("at")) < reach)
+    near = near.groupBy("doc_id", "pos", "at", "rule", "relation").agg(F.collect_set("canonical").alias("names"))
+    pairs = near.select("doc_id", "rule", "relation", "names", F.explode("names").alias("a"))
+    pairs = pairs.select("doc_id", "rule", "relation", "a", F.explode("names").alias("b")).where("a < b")
     return pairs.groupBy("doc_id", "a", "b").agg(F.min_by("relation", "rule").alias("relation"))
 
 

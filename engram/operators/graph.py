@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.functions.lexicons import EVENT_DEATHS
 from engram.functions.scores import event_importance
+from engram.functions.text import any_of
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -182,12 +185,68 @@ def inspect(objects: DataFrame, edges: DataFrame, evidence_links: DataFrame) ->
     return j.select(*objects.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("relations", "events", "evidence")], "first_time", "last_time")
 
 
+#: Properties that an entity's profile shows, in this order.
+PROFILE_KEYS = ("description", "personality", "clothing", "aliases")
+
+
+def inspect_all(objects: DataFrame, edges: DataFrame, object_links: DataFrame, edge_links: DataFrame, mentions: DataFrame, deaths: Sequence[str] = EVENT_DEATHS) -> DataFrame:
+    """One row an object (id, object_type, name, properties as JSON): id, name, relations, events, evidence, mentions,
+    first_seen, last_seen, death_chapter, profile.
+
+    Relations are the other edges than participated_in that touch it, an edge with itself once; events the different other
+    ends of the rest that are objects. Evidence is the different ids linked to it (id, evidence_id) or to edges that touch it
+    (source_id, target_id, predicate, evidence_id). First and last seen are chapters of its mentions (id, chapter_no). It
+    dies in the least chapter (property chapter) of an event whose name, or property description, has a death phrase.
+    The profile has key and value of what PROFILE_KEYS find, without empty ones; lists are shown as JSON.
+    """
+    from engram.operators.people import evidence_of
+
+    way = both_ways(edges)
+    event = F.col("predicate") == "participated_in"
+    text = F.concat_ws("\n", "name", F.get_json_object("properties", "$.description"))
+    dead = objects.select(F.col("id").alias("other"), F.when(any_of(text, list(deaths)), F.get_json_object("properties", "$.chapter").cast("int")).alias("chapter"))
+    took = way.where(event).select("node", "other").distinct().join(dead, "other").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("events"), F.min("chapter").alias("death_chapter"))
+    related = way.where(~event).groupBy(F.col("node").alias("id")).agg(F.count("*").alias("relations"))
+    known = evidence_of(objects, edges, object_links, edge_links).groupBy("id").agg(F.count("*").alias("evidence"))
+    seen = mentions.groupBy("id").agg(F.count("*").alias("mentions"), F.min("chapter_no").alias("first_seen"), F.max("chapter_no").alias("last_seen"))
+    entry = lambda k: F.struct(F.lit(k).alias("key"), F.get_json_object("properties", f"$.{k}").alias("value"))
+    profile = F.filter(F.array(*map(entry, PROFILE_KEYS)), lambda x: F.coalesce(x["value"] != "", F.lit(False)))
+    j = objects.withColumn("profile", profile)
+    for part in (related, took, known, seen):
+        j = j.join(part, "id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return j.select("id", "name", *map(count, ("relations", "events", "evidence", "mentions")), "first_seen", "last_seen", "death_chapter", "profile")
+
+
 def correct(edges: DataFrame, fixes: DataFrame) -> DataFrame:
     """edges with the targets of fixes (source_id, predicate, target_id, new_target) replaced."""
     j = edges.join(fixes, ["source_id", "predicate", "target_id"], "left")
     return j.withColumn("target_id", F.coalesce("new_target", "target_id")).select(edges.columns)
 
 
+def correct_by_name(objects: DataFrame, edges: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, report) of corrections by name: fixes has source, predicate, old_target, new_target, each correction once.
+
+    A name is the object of the smallest id that has it. Only edges that go out from the source with that predicate to the old
+    target get the new one, and keep what they were before as evidence: corrected_from, the old target's id (null for all
+    others). The report has a row for each correction: its names, from_id, to_id, changed (edges) and problem, which says
+    what was not found, or is null. A correction with a problem changes nothing; of two of one edge the least new id counts.
+    """
+    ids = objects.groupBy("name").agg(F.min("id").alias("id"))
+    named = fixes.select("source", "predicate", "old_target", "new_target").distinct()
+    for name, column in (("source", "source_id"), ("old_target", "from_id"), ("new_target", "to_id")):
+        named = named.join(ids.select(F.col("name").alias(name), F.col("id").alias(column)), name, "left")
+    n = edges.groupBy("source_id", "predicate", F.col("target_id").alias("from_id")).agg(F.count("*").alias("changed"))
+    said = lambda c: F.when(F.col({"source": "source_id", "old_target": "from_id", "new_target": "to_id"}[c]).isNull(), F.concat(F.lit(f"{c} `"), c, F.lit("` not found")))
+    report = named.join(n, ["source_id", "predicate", "from_id"], "left")
+    report = report.withColumn("problem", F.coalesce(said("source"), said("old_target"), said("new_target"), F.when(F.col("changed").isNull(), F.concat(F.lit("no `"), "predicate", F.lit("` edge from `"), "source", F.lit("` to `"), "old_target", F.lit("` found")))))
+    report = report.withColumn("changed", F.when(F.col("problem").isNull(), F.col("changed")).otherwise(0))
+    good = report.where("problem is null").groupBy("source_id", "predicate", F.col("from_id").alias("target_id")).agg(F.min("to_id").alias("new_target"))
+    j = edges.join(good, ["source_id", "predicate", "target_id"], "left").withColumn("corrected_from", F.when(F.col("new_target").isNotNull(), F.col("target_id")))
+    out = j.withColumn("target_id", F.coalesce("new_target", "target_id")).select(*edges.columns, "corrected_from")
+    return out, report.select("source", "predicate", "old_target", "new_target", "from_id", "to_id", "changed", "problem")
+
+
 def upsert(store: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """store with new rows put in: of rows with equal keys the one of the largest order stays, new ones before old."""
     both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -204,7 +263,7 @@ def merge_properties(old: Column, new: Column) -> Column:
 
 def purge(tables: dict[str, DataFrame], docs: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows of the documents (doc_id)."""
-    return {k: t.join(docs.select("doc_id").distinct(), "doc_id", "left_anti") for k, t in tables.items()}
+    return {k: t.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").select(t.columns) for k, t in tables.items()}
 
 
 def vector_texts(objects: DataFrame, aliases: DataFrame, edges: DataFrame, repeat: int = 3, most_events: int = 5) -> DataFrame:

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions.lexicons import ARC_NEGATIVE, ARC_POSITIVE
 from engram.functions.text import any_of, chapter_number, chunks, sentences, year
+from engram.operators.lexicon import lexicon_places, with_places
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
@@ -59,19 +61,26 @@ def speakers(docs: DataFrame, verbs: Sequence[str], least: int = 2, gap: int = 1
     return at.withColumn("fresh", F.coalesce(F.col("at") - last >= gap, F.lit(True))).where("fresh").groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def mentions(rows: DataFrame, aliases: Sequence[tuple[str, str]]) -> DataFrame:
+def mentions(rows: DataFrame, aliases: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """Names in sentences, leftmost and longest first, without overlap: doc_id, pos, canonical, alias, start (bytes).
 
-    aliases is a list of (alias, canonical); a pattern of all of them, longest first, cuts each sentence once.
+    aliases is a table (alias, canonical), or a list of such pairs, of any length: see operators.lexicon. An alias that
+    occurs twice stands for its last canonical name in a list, for its least in a table.
     """
-    names = dict(aliases)
-    pattern = "|".join(re.escape(a) for a in sorted(names, key=lambda a: (-len(a), a)))
-    found = F.regexp_extract_all("sentence", F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split("sentence", pattern)
-    each = F.transform(found, lambda a, i: F.struct(a.alias("alias"), F.octet_length(F.array_join(F.slice(gaps, 1, i + 1), "")).alias("g"), F.octet_length(F.array_join(F.slice(found, F.lit(1), i), "")).alias("f")))
-    m = rows.select("doc_id", "pos", F.explode(each).alias("m"))
-    table = F.create_map(*[F.lit(x) for pair in aliases for x in pair])
-    return m.select("doc_id", "pos", F.element_at(table, F.col("m.alias")).alias("canonical"), F.col("m.alias").alias("alias"), (F.col("m.g") + F.col("m.f")).alias("start"))
+    if not isinstance(aliases, DataFrame):
+        aliases = rows.sparkSession.createDataFrame(list(dict(aliases).items()), "alias string, canonical string")
+    forms = aliases.select(F.col("alias").alias("form"), "canonical")
+    return lexicon_places(rows, forms, "longest").select("doc_id", "pos", "canonical", F.col("matched").alias("alias"), "start")
+
+
+def short_mentions(rows: DataFrame, shorts: Sequence[tuple[str, str]], verbs: Sequence[str]) -> DataFrame:
+    """Names of one character: doc_id, pos, canonical, alias, start (bytes). A character (form, canonical) is a name where no
+    Han character is before it and one of the verbs follows at once."""
+    forms = rows.sparkSession.createDataFrame(list(dict(shorts).items()), "form string, canonical string")
+    found = with_places(rows.select("doc_id", "pos", "sentence"), forms, rule="all").select("doc_id", "pos", "sentence", F.inline("found"))
+    alone = (F.col("at") == 0) | ~F.col("sentence").substr(F.col("at"), F.lit(1)).rlike(r"[\x{4e00}-\x{9fff}]")
+    behind = F.col("sentence").substr(F.col("at") + F.length("matched") + 1, F.lit(max(map(len, verbs))))
+    return found.where(alone & behind.rlike("^(?:" + "|".join(map(re.escape, verbs)) + ")")).select("doc_id", "pos", "canonical", F.col("matched").alias("alias"), "start")
 
 
 def _all_places(rows: DataFrame, forms: Sequence[str], name: str) -> DataFrame:
@@ -130,22 +139,73 @@ def relation_type(verb: Column, hostile: Sequence[str], friendly: Sequence[str],
     return F.when(has_subject & verb.isin(list(hostile)), "enemy").when(has_subject & verb.isin(list(friendly)), "ally").otherwise("associated")
 
 
-def relation_timeline(observed: DataFrame) -> DataFrame:
+def relation_timeline(observed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Intervals of one relation type for each ordered pair: doc_id, a, b, relation, valid_from, valid_to (null: open).
 
-    observed has doc_id, a, b, time, relation; runs of one type are one interval, ending where the next type begins.
+    observed has doc_id, a, b, time, relation; runs of one type are one interval, ending where the next type begins. known
+    has doc_id, a, b, relation, valid_from: relations from before, which hold until the first other type is observed. They
+    come before every observation of their pair, whatever their time, and of several the first by time and type counts.
     """
-    o = observed.groupBy("doc_id", "a", "b", "time").agg(F.min("relation").alias("relation"))
-    w = Window.partitionBy("doc_id", "a", "b").orderBy("time")
+    o = observed.groupBy("doc_id", "a", "b", "time").agg(F.min("relation").alias("relation")).withColumn("seen", F.lit(1))
+    if known is not None:
+        old = known.groupBy("doc_id", "a", "b").agg(F.min(F.struct(F.col("valid_from").alias("time"), "relation")).alias("k"))
+        o = o.unionByName(old.select("doc_id", "a", "b", "k.time", "k.relation", F.lit(0).alias("seen")))
+    w = Window.partitionBy("doc_id", "a", "b").orderBy("seen", "time")
     starts = o.withColumn("old", F.lag("relation").over(w)).where("old is null or old <> relation")
     return starts.withColumn("valid_to", F.lead("time").over(w)).select("doc_id", "a", "b", "relation", F.col("time").alias("valid_from"), "valid_to")
 
 
-def arcs(traits: DataFrame) -> DataFrame:
-    """(doc_id, name, arc) from traits (doc_id, name, pos, polarity of -1, 0, 1): by the first and last polarity."""
-    g = traits.groupBy("doc_id", "name").agg(F.min_by("polarity", "pos").alias("x"), F.max_by("polarity", "pos").alias("y"), F.count("*").alias("n"))
-    arc = F.when((F.col("n") < 2) | (F.col("x") == F.col("y")), "stable").when((F.col("x") < 0) & (F.col("y") > 0), "transformation").when(F.col("y") > F.col("x"), "growth").otherwise("decline")
-    return g.select("doc_id", "name", arc.alias("arc"))
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) and the same with a and b exchanged: relations observed or known of one direction hold for both."""
+    return pairs.unionByName(pairs.withColumns({"a": F.col("b"), "b": F.col("a")})).where("a <> b")
+
+
+def timeline_of_pairs(observed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """relation_timeline() of both directions of every pair, its open intervals once only, from the smaller name: closed ones
+    are of one direction each. confidence is 0.8."""
+    t = relation_timeline(both_ways(observed), None if known is None else both_ways(known))
+    return t.where("valid_to is not null or a <= b").withColumn("confidence", F.lit(0.8))
+
+
+def personality_markers(lines: DataFrame, names: Sequence[str] | DataFrame, keywords: Sequence[str], stops: str = "，。；", reach: int = 25, least_bytes: int = 10, context: int = 120) -> DataFrame:
+    """Traits that a text tells of a name: doc_id, pos, name, keyword, trait, context, confidence.
+
+    In a line (doc_id, pos, line) of least_bytes or more, trimmed, each keyword that it holds speaks of the first of names
+    (a list, or a table of rank and name) that it holds too, if the first places of both are less than reach bytes apart.
+    The trait is what follows the keyword up to a stop; an empty one is none.
+
+    One pass of an automaton for the names and one for the keywords; a line's places are compared inside its row.
+    """
+    spark = lines.sparkSession
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame(list(enumerate(dict.fromkeys(names))), "rank int, name string")
+    marks = spark.createDataFrame(list(enumerate(dict.fromkeys(keywords))), "rank int, form string")
+    rows = lines.select("doc_id", "pos", F.regexp_replace("line", r"^\s+|\s+$", "").alias("sentence")).where(F.octet_length("sentence") >= least_bytes)
+    rows = with_places(rows, names.select("rank", F.col("name").alias("form")), rule="all", name="who")
+    rows = with_places(rows.where("size(who) > 0"), marks, rule="all", name="what")
+    rows = rows.withColumn("who", F.array_min(F.transform("who", lambda m: F.struct(m["rank"], m["start"], m["matched"]))))
+    ranks = F.transform("what", lambda m: m["rank"])
+    first = F.filter("what", lambda m, i: F.array_position(ranks, m["rank"]) == i + 1)
+    each = rows.select("doc_id", "pos", "sentence", "who", F.explode(first).alias("m")).where(F.abs(F.col("m.start") - F.col("who.start")) < reach)
+    after = F.col("sentence").substr(F.col("m.at") + F.length("m.matched") + 1, F.length("sentence"))
+    trait = F.regexp_extract(after, f"^([^{re.escape(stops)}]*)", 1)
+    return each.select("doc_id", "pos", F.col("who.matched").alias("name"), F.col("m.matched").alias("keyword"), trait.alias("trait"), F.substring("sentence", 1, context).alias("context"), F.lit(0.7).alias("confidence")).where("trait <> ''")
+
+
+def polarity(trait: Column, positive: Sequence[str] = ARC_POSITIVE, negative: Sequence[str] = ARC_NEGATIVE) -> Column:
+    """1 if the trait holds a positive word, else -1 if it holds a negative one, else 0."""
+    return F.when(any_of(trait, positive), 1).when(any_of(trait, negative), -1).otherwise(0)
+
+
+def arcs(traits: DataFrame, positive: Sequence[str] = ARC_POSITIVE, negative: Sequence[str] = ARC_NEGATIVE) -> DataFrame:
+    """(doc_id, name, arc, n) from traits (doc_id, name, pos, trait): stable if the first and the last are the same text, else
+    decline from a positive to a negative one, growth the other way, transformation otherwise. At one pos the least trait
+    is first and the largest last."""
+    at = F.struct("pos", "trait")
+    g = traits.groupBy("doc_id", "name").agg(F.min(at)["trait"].alias("x"), F.max(at)["trait"].alias("y"), F.count("*").alias("n"))
+    x, y = polarity(F.col("x"), positive, negative), polarity(F.col("y"), positive, negative)
+    arc = F.when(F.col("x") == F.col("y"), "stable").when((x > 0) & (y < 0), "decline").when((x < 0) & (y > 0), "growth").otherwise("transformation")
+    return g.select("doc_id", "name", arc.alias("arc"), "n")
 
 
 def factions(events: DataFrame, start: DataFrame, surrender: Sequence[str], betray: Sequence[str], unknown: str = "未知") -> DataFrame:
@@ -177,28 +237,6 @@ def factions(events: DataFrame, start: DataFrame, surrender: Sequence[str], betr
     return rows.mapInPandas(run, "doc_id long, pos int, name string, old string, new string, kind string")
 
 
-def lexicon_matches(rows: DataFrame, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
-    """Lexicon forms in sentences: doc_id, pos, id, form. lexicon has id, form, word_boundary.
-
-    Up to `most` forms go to every task as one array, and a sentence gives a row only for a form that it holds. Beyond that
-    sentences, without their texts, meet forms by their first pair of characters, and texts are joined to those that do.
-    """
-    from engram.functions.text import bigram_set
-
-    forms = lexicon.select("id", "form", "word_boundary")
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "form", F.lit(r"\E(?![\p{L}\p{N}])"))
-    if len(known := forms.limit(most + 1).collect()) <= most:
-        kinds = ", ".join(f"{x.name}:{x.dataType.simpleString()}" for x in forms.schema)
-        table = rows.sparkSession.createDataFrame([([tuple(r) for r in known],)], f"forms array<struct<{kinds}>>")
-        held = F.filter("forms", lambda f: F.contains("sentence", f["form"]))
-        j = rows.join(F.broadcast(table)).select("doc_id", "pos", "sentence", F.inline(held))  # one row
-    else:
-        keyed = rows.select("doc_id", "pos", F.explode(F.concat(bigram_set(F.col("sentence")), F.array_distinct(F.split("sentence", "")))).alias("k"))
-        met = keyed.join(forms.withColumn("k", F.substring("form", 1, 2)), "k").drop("k").distinct()
-        j = met.join(rows.select("doc_id", "pos", "sentence"), ["doc_id", "pos"]).where(F.contains("sentence", "form"))
-    return j.where(~F.col("word_boundary") | F.regexp_like("sentence", whole)).select("doc_id", "pos", "id", "form")
-
-
 def check_lexicon(lexicon: DataFrame) -> DataFrame:
     """Faults of a lexicon (id, language, form): ids or forms of a language that occur twice: kind, value, n."""
     ids = lexicon.select("id", "language").distinct().groupBy(F.col("id").alias("value")).agg(F.count("*").alias("n")).select(F.lit("id").alias("kind"), "value", "n")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import any_of
+from engram.operators.lexicon import with_places
 from engram.operators.narrative import value_after, value_before, value_between
 from engram.operators.persona import keyword_signals
 from engram.operators.retrieval import classify_by_anchor
@@ -81,24 +82,18 @@ def dictionary(entries: DataFrame) -> DataFrame:
     return each.groupBy("alias").agg(F.max_by("canonical", F.struct("provider", "no")).alias("canonical"))
 
 
-def _short_list(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """One row with all rows as an array `all`, to broadcast; more than `most` are an error."""
-    got = rows.limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} rows")
-    kinds = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema)
-    return F.broadcast(rows.sparkSession.createDataFrame([([tuple(r) for r in got],)], f"all array<struct<{kinds}>>"))
-
-
 def profiles(lines: DataFrame, names: DataFrame, patterns: Sequence[tuple[str, str, str, str | None]], titles: Sequence[str] = (), stop: Sequence[str] = (), least_bytes: int = 6) -> DataFrame:
     """(name, key, value, confidence) from lines (doc_id, pos, line): the first value of each name and key, in text order.
 
-    A line of least_bytes or more is about its longest alias of the dictionary `names` (alias, canonical), else the name after
-    a title. patterns: (key, mark, mode, other), mode after, before, between (other: the end) or before-or (other: a mark
-    instead). A value loses the name it begins with.
+    A line of least_bytes or more is about its longest alias of the dictionary `names` (alias, canonical; the least of equal
+    length), else the name after a title. patterns: (key, mark, mode, other), mode after, before, between (other: the end)
+    or before-or (other: a mark instead). A value loses the name it begins with. The dictionary may have any size: see
+    operators.lexicon.
     """
-    best = F.array_max(F.transform(F.filter("all", lambda a: F.contains("line", a["alias"])), lambda a: F.struct(F.octet_length(a["alias"]).alias("n"), a["alias"].alias("alias"), a["canonical"].alias("canonical"))))
-    rows = lines.where(F.octet_length(F.trim("line")) >= least_bytes).join(_short_list(names.select("alias", "canonical"))).withColumn("known", best["canonical"])  # one row
+    rows = lines.where(F.octet_length(F.trim("line")) >= least_bytes).select("doc_id", "pos", "line")
+    rows = with_places(rows, names.select(F.col("alias").alias("form"), "canonical"), "line", "all")
+    best = F.array_max(F.transform("found", lambda m: F.struct((m["end"] - m["start"]).alias("n"), m["matched"].alias("alias"), m["canonical"].alias("canonical"))))
+    rows = rows.withColumn("known", best["canonical"]).drop("found")
     found = title_name(F.col("line"), titles, stop) if titles else F.lit(None).cast("string")
     rows = rows.withColumn("name", F.coalesce("known", found)).where("name is not null")
     line, each = F.col("line"), []
@@ -117,16 +112,16 @@ def profiles(lines: DataFrame, names: DataFrame, patterns: Sequence[tuple[str, s
 
 def first_mentions(chapters: DataFrame, aliases: DataFrame) -> DataFrame:
     """(chapter_id, name, alias, start, end, snippet): a name's first alias in each chapter (chapter_id, text), the longer one
-    at the same place; start and end in bytes, the snippet 40 characters before to 80 after. aliases: (name, alias)."""
-    before = lambda alias: F.position(alias, F.col("text")) - 1
-    at = lambda a: F.octet_length(F.col("text").substr(F.lit(1), before(a["alias"])))
-    hits = F.transform(F.filter("all", lambda a: F.contains("text", a["alias"])), lambda a: F.struct(at(a).alias("start"), (-F.octet_length(a["alias"])).alias("o"), a["name"].alias("name"), a["alias"].alias("alias")))
-    each = chapters.join(_short_list(aliases.select("name", "alias"))).select("chapter_id", "text", F.inline(hits))  # one row
-    place = before(F.col("alias"))
-    low = F.greatest(place - 40, F.lit(0))
-    each = each.select("chapter_id", "name", "alias", "start", (F.col("start") - F.col("o")).alias("end"), "o", F.col("text").substr(low + 1, place - low + F.length("alias") + 80).alias("snippet"))
-    first = F.min_by(F.struct("alias", "start", "end", "snippet"), F.struct("start", "o"))
-    return each.groupBy("chapter_id", "name").agg(first.alias("f")).select("chapter_id", "name", "f.*")
+    at the same place; start and end in bytes, the snippet 40 characters before to 80 after. aliases: (name, alias), an
+    alias of several names counts for each; chapters' ids are their own."""
+    owners = aliases.groupBy(F.col("alias").alias("form")).agg(F.collect_set("name").alias("names"))
+    rows = with_places(chapters.select("chapter_id", "text"), owners, "text", "all", by=["chapter_id"])
+    owned = F.flatten(F.transform("found", lambda m: F.transform(m["names"], lambda n: F.struct(n.alias("name"), m["start"].alias("start"), (-m["end"]).alias("o"), m["at"].alias("at"), m["matched"].alias("alias")))))
+    firsts = F.transform(F.array_distinct(F.transform(owned, lambda m: m["name"])), lambda n: F.array_min(F.filter(owned, lambda m: m["name"] == n)))
+    each = rows.select("chapter_id", "text", F.inline(firsts))
+    low = F.greatest(F.col("at") - 40, F.lit(0))
+    snippet = F.col("text").substr(low + 1, F.col("at") - low + F.length("alias") + 80)
+    return each.select("chapter_id", "name", "alias", "start", (-F.col("o")).alias("end"), snippet.alias("snippet"))
 
 
 def traits(evidence: DataFrame, patterns: Sequence[tuple[str, str, float]]) -> DataFrame:
@@ -166,13 +161,6 @@ def prototype_signals(vectors: DataFrame, prototypes: DataFrame, threshold: floa
     return near.where(F.col("confidence") >= threshold).join(F.broadcast(prototypes.drop("centroid")), "label").select("id", "fact_type", "negated", "confidence")  # 10 000 rows at most
 
 
-def lexicon_metrics(hits: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(kind, key, n): hits (id, class) by id, by class and in all, and how many candidates were rejected."""
-    one = lambda d, kind, key: d.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
-    whole = lambda d, kind: d.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("key"), "n")
-    return one(hits, "id", F.col("id")).unionByName(one(hits, "class", F.col("class"))).unionByName(whole(hits, "hits")).unionByName(whole(rejected, "rejections"))
-
-
 def resolver_rates(resolved: DataFrame) -> DataFrame:
     """One row: mentions, and the percentages found by alias, found by embedding and unknown; 0 without mentions."""
     n = F.count("*")
@@ -196,6 +184,11 @@ def embed(rows: DataFrame, text: str, service: Callable[[list[str]], list[list[f
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` array<double>")
 
 
+def text_lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding service: bytes and spaces of a text."""
+    return [[float(len(t.encode())), float(t.count(" "))] for t in texts]
+
+
 def evidence_of(objects: DataFrame, edges: DataFrame, object_links: DataFrame, edge_links: DataFrame) -> DataFrame:
     """(id, evidence_id): the different evidence of each object and of the edges that touch it. object_links: id, evidence_id;
     edge_links: source_id, target_id, predicate, evidence_id."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("distill", "retrieval", "cognition", "graph", "narrative", "sources", "people")
+FAMILIES = ("distill", "retrieval", "cognition", "graph", "narrative", "matching", "compiling", "sources", "people", "stores")
 
 
 def _load():

@@ -46,7 +46,29 @@ def derived_restatements(spark, d):
 @query("facts_three_channel", f"""SELECT 'user' AS channel, conv_id, turn, {TYPE} AS fact_type, content FROM {OBS} UNION ALL
   SELECT 'agent', conv_id, turn, 'event', content FROM {MESSAGES} WHERE role = 'assistant' AND contains(lower(content), 'done') UNION ALL SELECT 'derived', conv_id, turn, fact_type, content FROM ({_derived})""")
 def facts_three_channel(spark, d):
-    return K.channels(C.messages(spark, d), L.DRIVER_MARKERS, RESTATE, ["done"])
+    return three_channels(C.messages(spark, d))
+
+
+def three_channels(messages):
+    return K.channels(messages, L.DRIVER_MARKERS, RESTATE, ["done"])
+
+
+#: Every third turn counts as valuable, in one of two categories.
+_VALUABLE = f"(SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM {MESSAGES} WHERE (conv_id + turn) % 3 = 0)"
+
+
+@query("value_fusion", f"""WITH f AS (SELECT conv_id, turn, content FROM {OBS} WHERE NOT contains(content, 'onti')), h AS (SELECT m.conv_id, m.turn, category, content FROM {MESSAGES} m JOIN {_VALUABLE} v ON v.conv_id = m.conv_id AND v.turn = m.turn),
+  i AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = h.conv_id AND f.content = h.content))
+  SELECT c.conv_id, c.n AS messages, (SELECT count(*) FROM h WHERE h.conv_id = c.conv_id) AS high_value, (SELECT count(*) FROM f WHERE f.conv_id = c.conv_id) AS facts, (SELECT count(*) FROM i WHERE i.conv_id = c.conv_id) AS raw_items,
+    (SELECT count(*) FROM h WHERE h.conv_id = c.conv_id AND category = 'even') AS even, coalesce((SELECT md5(string_agg(content, '|' ORDER BY turn)) FROM i WHERE i.conv_id = c.conv_id), '') AS items FROM (SELECT conv_id, count(*) AS n FROM {MESSAGES} GROUP BY conv_id) c""")
+def value_fusion(spark, d):
+    m = C.messages(spark, d)
+    valuable = m.where("(conv_id + turn) % 3 = 0").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("category"))
+    _, items, summary = K.fuse(m, valuable, L.DRIVER_MARKERS, ["onti"])
+    texts = items.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "content"))).alias("t"))
+    texts = texts.select("conv_id", F.md5(F.array_join(F.transform("t", lambda s: s["content"]), "|")).alias("items"))
+    out = summary.join(texts, "conv_id", "left").withColumn("even", F.coalesce(F.try_element_at("by_category", F.lit("even")), F.lit(0).cast("long")))
+    return out.select("conv_id", "messages", "high_value", "facts", "raw_items", "even", F.coalesce("items", F.lit("")).alias("items"))
 
 
 LATEST = "time DESC, id DESC"

@@ -139,23 +139,6 @@ def faction_membership(spark, d):
     return K.faction_members(s, f).select("faction", "n")
 
 
-LEX = [("l1", "tion", False), ("l2", "the", True), ("l3", "with", True), ("l4", "ing", False)]
-
-
-_whole = "(^|[^\\p{L}\\p{N}])%s([^\\p{L}\\p{N}]|$)"
-
-
-def _forms_sql() -> str:
-    each = [("l1", "contains(sentence, 'tion')"), ("l2", f"regexp_matches(sentence, '{_whole % 'the'}')"), ("l3", f"regexp_matches(sentence, '{_whole % 'with'}')"), ("l4", "contains(sentence, 'ing')")]
-    return " UNION ALL ".join(f"SELECT '{i}' AS id, count(*) AS n FROM s WHERE {where} HAVING count(*) > 0" for i, where in each)
-
-
-@query("lexicon_matches", f"WITH s AS (SELECT sentence FROM {SENT}) {_forms_sql()}")
-def lexicon_matches(spark, d):
-    lex = spark.createDataFrame(LEX, "id string, form string, word_boundary boolean")
-    return N.lexicon_matches(N.sentence_rows(docs(spark, d)), lex).groupBy("id").agg(F.count("*").alias("n"))
-
-
 @query("prefix_forms", "SELECT p_partkey AS id, p_name AS form FROM part WHERE starts_with(lower(p_name), 'sm') ORDER BY form, id LIMIT 20")
 def prefix_forms(spark, d):
     lex = C.Catalog(spark, d).table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("form"))

@@ -8,13 +8,13 @@ from engram import catalog as C
 from engram.functions import lexicons as L
 from engram.functions import scores as S
 from engram.operators import distill as D
-from engram.operators import narrative as N
 from engram.operators import people as P
 from engram.operators import retrieval as R
 from engram.operators.persona import recent_topics
+from engram.plans import cognition  # noqa: F401  its SQL is read below
 from engram.plans import distill as PD
-from engram.plans.narrative import LEX, SENT, docs
-from engram.plans.registry import contains_sql, query, quoted
+from engram.plans.matching import values_sql
+from engram.plans.registry import ORACLE, contains_sql, query
 from engram.plans.retrieval import MEANS, VEC, COS, entity_resolution, vectors
 
 MESSAGES = PD.MESSAGES
@@ -24,12 +24,6 @@ def fixture(spark, rows, schema: str):
     return spark.createDataFrame(rows, schema)
 
 
-def values_sql(rows, names: str) -> str:
-    """Rows of strings and numbers as a VALUES table for DuckDB."""
-    say = lambda x: "NULL" if x is None else f"'{quoted(x)}'" if isinstance(x, str) else "[" + ", ".join(map(say, x)) + "]::VARCHAR[]" if isinstance(x, list) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows) + f") v({names})"
-
-
 ODD_NAMES = [("林黛玉",), ("王",), ("东方不败教主们",), ("Mr. Smith",), ("elizabeth",), ("Ann Mary Lou Smith",), (" Jane ",), ("McCoy",), ("",), (None,)]
 _names = f"SELECT c_name AS name FROM customer UNION SELECT n_name FROM nation UNION SELECT p_name FROM part UNION SELECT regexp_extract(html, '[A-Z][a-z]+') FROM pages UNION SELECT name FROM {values_sql(ODD_NAMES, 'name')}"
 
@@ -42,66 +36,70 @@ def person_like_names(spark, d):
     return names.union(fixture(spark, ODD_NAMES, "name string")).distinct().select("name", P.person_like(F.col("name")).alias("person"))
 
 
-HAN_NAMES = [("刘备", 1), ("诸葛亮", 1), ("司马", 1), ("不刘备", 0), ("刘备军", 0), ("赵", 0), ("张三李四王", 0), ("Liu Bei", 0), ("天下", 0), (None, 0)]
+#: Digits as Han characters, so that keys of the tables give names, good and bad ones.
+HAN_DIGITS = "刘诸葛司马张赵不军飞"
 SURNAMES, FUNCTION_WORDS, TAILS = ["刘", "诸葛", "司马", "张", "赵"], ["不是", "之"], ["军"]
+_han = f"translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{HAN_DIGITS}')"
+_valid = lambda c: f"(regexp_matches({c}, '^[一-鿿]{{2,4}}$') AND (substr({c}, 1, 2) IN ('诸葛', '司马') OR substr({c}, 1, 1) IN ('刘', '张', '赵')) AND NOT regexp_matches({c}, '[不之]') AND NOT ends_with({c}, '军'))"
+
 
+def han(key: str):
+    return F.translate(F.col(key).cast("string"), "0123456789", HAN_DIGITS)
 
-@query("valid_han_names", f"SELECT name, ok = 1 AS valid FROM {values_sql(HAN_NAMES, 'name, ok')}")
+
+@query("valid_han_names", f"WITH n AS (SELECT o_orderkey, {_han} AS name FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders) SELECT o_orderkey, name, coalesce({_valid('name')}, false) AS valid FROM n")
 def valid_han_names(spark, d):
-    rows = fixture(spark, [(n,) for n, _ in HAN_NAMES], "name string")
-    return rows.select("name", P.valid_han_name(F.col("name"), SURNAMES, FUNCTION_WORDS, TAILS).alias("valid"))
+    o = C.Catalog(spark, d).table("orders")
+    rows = o.select("o_orderkey", han("o_orderkey").alias("name")).union(o.select("o_orderkey", "o_orderpriority"))
+    return rows.select("o_orderkey", "name", P.valid_han_name(F.col("name"), SURNAMES, FUNCTION_WORDS, TAILS).alias("valid"))
+
 
+TITLES, STOP_NAMES = ["Mr.", "Mr", "Mrs.", "Dr.", "Miss"], ["The", "Bolt"]
+#: A line about each part: a title or none, its name with capitals or without, and what follows.
+_pick = lambda xs, k: "[" + ", ".join(f"'{x}'" for x in xs) + f"][CAST({k} AS INT) + 1]"
+LINE_TITLES, LINE_ENDS = ["Mr. ", "Mr ", "Mrs. ", "“Dr. ", "Miss ", "no ", "Missing "], [" replied.", ", well” said he", " The end", "—and Anne", " Anne Mary Sue", " (Project Gutenberg)"]
+_line = f"'Then ' || {_pick(LINE_TITLES, 'p_partkey % 7')} || CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END || {_pick(LINE_ENDS, 'p_partkey % 6')}"
+_clean = r"CASE WHEN w IN ('Mr', 'Mrs', 'Dr') THEN w || '.' ELSE regexp_extract(w, '^([\p{L}.]*)', 1) END"
 
-TITLES, STOP_NAMES = ["Mr.", "Mr", "Mrs.", "Dr.", "Miss"], ["The", "But"]
-LINES = [
-    (0, "Then Mr. Bennet replied.", "Mr. Bennet"), (1, "“Miss Jane Bennet, well,” said he", "Miss Jane Bennet"), (2, "Dr. smith and Mrs. Hill", "Mrs. Hill"), (3, "Mr The end", None),
-    (4, "a Missing Person", None), (5, "Project Gutenberg, by Mr. Hart", None), (6, "Mr Darcy—and Anne", "Mr. Darcy Anne"), (7, "nobody", None), (8, "Mrs. Long Anne Mary Sue Fox", "Mrs. Long Anne Mary"),
-]
 
+def part_lines(spark, d):
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.initcap("p_name"))
+    return C.Catalog(spark, d).table("part").select("p_partkey", F.concat(F.lit("Then "), pick(LINE_TITLES, 7), name, pick(LINE_ENDS, 6)).alias("line"))
 
-@query("title_names", f"SELECT id, name FROM {values_sql(LINES, 'id, line, name')}")
+
+@query("title_names", rf"""WITH l AS (SELECT p_partkey, {_line} AS line FROM part), t AS (SELECT p_partkey, line, regexp_extract(line, '(?:^|[^\p{{L}}])((?:Mrs\.|Miss|Mr\.|Dr\.|Mr)(?:[^\p{{L}}].*)?)$', 1) AS tail FROM l),
+  w AS (SELECT p_partkey, line, list_transform(list_transform(string_split_regex(tail, '\s+')[1:4], lambda x: regexp_replace(x, '^\P{{L}}+|\P{{L}}+$', '', 'g')), lambda w: {_clean}) AS ws FROM t WHERE tail <> ''),
+  k AS (SELECT *, coalesce(list_position(list_transform(ws, lambda w: NOT regexp_matches(w, '^\p{{Lu}}') OR w IN ('The', 'Bolt')), true), 0) AS bad FROM w),
+  n AS (SELECT p_partkey, line, CASE WHEN bad = 0 THEN ws ELSE ws[1:bad - 1] END AS ws FROM k)
+  SELECT l.p_partkey, CASE WHEN len(ws) >= 2 AND NOT contains(l.line, 'Project Gutenberg') THEN array_to_string(ws, ' ') END AS name FROM l LEFT JOIN n ON n.p_partkey = l.p_partkey""")
 def title_names(spark, d):
-    rows = fixture(spark, [x[:2] for x in LINES], "id int, line string")
-    return rows.select("id", P.title_name(F.col("line"), TITLES, STOP_NAMES, ["Project Gutenberg"]).alias("name"))
+    return part_lines(spark, d).select("p_partkey", P.title_name(F.col("line"), TITLES, STOP_NAMES, ["Project Gutenberg"]).alias("name"))
 
 
-HAN_LINES = [(0, "姓刘名诸葛，字玄德", "诸葛"), (1, "说话。刘备字玄德", "刘备"), (2, "有一人张 飞字翼德", None), (3, "赵云，常山人也，字子龙", None), (4, "刘备", None), (5, "司马、懿，字仲达", "司马懿")]
+HAN_LINES = ["姓{}字玄德", "有人，{}，字翼德", "{}", "说话。{}、飞号云长", "名{}号子龙"]
+_han_line = "[" + ", ".join("replace('" + x + "', '{}', h)" for x in HAN_LINES) + "][CAST(o_orderkey % 5 AS INT) + 1]"
+_before = lambda m: f"CASE WHEN contains(line, '{m}') THEN regexp_replace(regexp_extract(split_part(line, '{m}', 1), '((?:[一-同后-姒委-鿿][，,、 ]*){{0,4}})$', 1), '[，,、 ]', '', 'g') END"
+_good = lambda c: f"CASE WHEN length({c}) >= 2 AND {_valid(c)} THEN {c} END"
 
 
-@query("han_names", f"SELECT id, name FROM {values_sql(HAN_LINES, 'id, line, name')}")
+@query("han_names", f"WITH h AS (SELECT o_orderkey, {_han} AS h FROM orders), l AS (SELECT o_orderkey, {_han_line} AS line FROM h), b AS (SELECT o_orderkey, {_before('字')} AS x, {_before('号')} AS y FROM l) SELECT o_orderkey, coalesce({_good('x')}, {_good('y')}) AS name FROM b")
 def han_names(spark, d):
     valid = lambda c: P.valid_han_name(c, SURNAMES, FUNCTION_WORDS, TAILS)
-    return fixture(spark, [x[:2] for x in HAN_LINES], "id int, line string").select("id", P.han_name(F.col("line"), ["字", "号"], valid).alias("name"))
-
+    o = C.Catalog(spark, d).table("orders").select("o_orderkey", han("o_orderkey").alias("h"))
+    line = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), F.col("h")) for x in HAN_LINES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select("o_orderkey", P.han_name(line, ["字", "号"], valid).alias("name"))
 
-ENTRIES = [(0, 0, "刘备", ["玄德", "先主"], "备"), (0, 1, "张飞", ["翼德"], None), (1, 0, "刘禅", ["先主", "后主"], None), (1, 1, "Elizabeth", [], "E")]
 
-
-@query("alias_dictionary", f"""WITH e AS (SELECT * FROM {values_sql(ENTRIES, 'provider, no, canonical, aliases, single')}), f AS (SELECT provider, no, canonical, unnest(list_concat([canonical, single], aliases)) AS alias FROM e)
-  SELECT alias, arg_max(canonical, provider * 1000 + no) AS canonical FROM f WHERE alias IS NOT NULL GROUP BY alias""")
+@query("alias_dictionary", """WITH e AS (SELECT 0 AS provider, s_suppkey AS no, s_name AS canonical, ['N' || s_nationkey, 'S' || (s_suppkey % 50)] AS aliases, NULL AS single FROM supplier
+    UNION ALL SELECT 1, n_nationkey, n_name, ['N' || n_nationkey, '', NULL], right(n_name, 1) FROM nation), f AS (SELECT provider, no, canonical, unnest(list_concat([canonical, single], aliases)) AS alias FROM e)
+  SELECT alias, arg_max(canonical, (provider, no)) AS canonical FROM f WHERE alias <> '' GROUP BY alias""")
 def alias_dictionary(spark, d):
-    return P.dictionary(fixture(spark, ENTRIES, "provider int, no int, canonical string, aliases array<string>, single string"))
-
-
-PROFILE_LINES = [(0, 0, "刘备字玄德，涿郡人也"), (0, 1, "玄德字某某"), (0, 2, "张飞使丈八蛇矛。"), (0, 3, "Mr. Bennet lives in Longbourn, quietly"), (0, 4, "无名之人字子龙")]
-PROFILES = [("刘备", "courtesy", "玄德"), ("刘备", "home", "涿郡"), ("张飞", "weapon", "丈八蛇矛"), ("Mr. Bennet", "home", "Longbourn")]
-PROFILE_PATTERNS = [("courtesy", "字", "after", None), ("home", "人也", "before", None), ("weapon", "使", "between", "。"), ("home", "lives in ", "after", None)]
-
-
-@query("profiles", f"SELECT name, key, value, 0.9::DOUBLE AS confidence FROM {values_sql(PROFILES, 'name, key, value')}")
-def profiles(spark, d):
-    names = P.dictionary(fixture(spark, ENTRIES, "provider int, no int, canonical string, aliases array<string>, single string"))
-    return P.profiles(fixture(spark, PROFILE_LINES, "doc_id int, pos int, line string"), names, PROFILE_PATTERNS, TITLES)
-
-
-ALIASES = [("A", "tion"), ("A", "tions"), ("B", "with"), ("B", "th"), ("C", "zzzz")]
-
-
-@query("first_mentions", f"""WITH h AS (SELECT doc_id AS chapter_id, name, alias, CAST(strlen(split_part(text, alias, 1)) AS INT) AS start FROM documents JOIN {values_sql(ALIASES, 'name, alias')} ON contains(text, alias))
-  SELECT chapter_id, name, alias, start, CAST(start + strlen(alias) AS INT) AS "end" FROM h QUALIFY row_number() OVER (PARTITION BY chapter_id, name ORDER BY start, strlen(alias) DESC) = 1""")
-def first_mentions(spark, d):
-    chapters = C.Catalog(spark, d).table("documents").select(F.col("doc_id").alias("chapter_id"), "text")
-    return P.first_mentions(chapters, fixture(spark, ALIASES, "name string, alias string")).drop("snippet")
+    t = C.Catalog(spark, d).table
+    tag = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    s = t("supplier").select(F.lit(0).alias("provider"), F.col("s_suppkey").alias("no"), F.col("s_name").alias("canonical"), F.array(tag("N", F.col("s_nationkey")), tag("S", F.col("s_suppkey") % 50)).alias("aliases"), F.lit(None).cast("string").alias("single"))
+    n = t("nation").select(F.lit(1).alias("provider"), F.col("n_nationkey").alias("no"), F.col("n_name").alias("canonical"), F.array(tag("N", F.col("n_nationkey")), F.lit(""), F.lit(None).cast("string")).alias("aliases"), F.right("n_name", F.lit(1)).alias("single"))
+    return P.dictionary(s.union(n))
 
 
 TRAITS = [("tion", "formal", 0.5), ("with", "social", 0.7), ("the", "formal", 0.3), ("ing", "active", 0.6)]
@@ -148,25 +146,7 @@ def prototype_signals(spark, d):
     return P.prototype_signals(v, protos, 0.25).withColumn("confidence", F.round("confidence", 6))
 
 
-_hits = {"l1": "contains(sentence, 'tion')", "l2": r"regexp_matches(sentence, '(^|[^\p{L}\p{N}])the([^\p{L}\p{N}]|$)')", "l3": r"regexp_matches(sentence, '(^|[^\p{L}\p{N}])with([^\p{L}\p{N}]|$)')", "l4": "contains(sentence, 'ing')"}
-_classes = {"l1": "end", "l2": "word", "l3": "word", "l4": "end"}
-
-
-@query("lexicon_metrics", f"""WITH s AS (SELECT sentence FROM {SENT}), h AS ({' UNION ALL '.join(f"SELECT '{i}' AS id, '{_classes[i]}' AS class FROM s WHERE {w}" for i, w in _hits.items())}),
-  c AS (SELECT count(*) FILTER (contains(sentence, 'the')) + count(*) FILTER (contains(sentence, 'with')) AS n FROM s)
-  SELECT 'id' AS kind, id AS key, count(*) AS n FROM h GROUP BY id UNION ALL SELECT 'class', class, count(*) FROM h GROUP BY class UNION ALL SELECT 'hits', '', count(*) FROM h
-  UNION ALL SELECT 'rejections', '', (SELECT n FROM c) - (SELECT count(*) FROM h WHERE class = 'word')""")
-def lexicon_metrics(spark, d):
-    rows, lex = N.sentence_rows(docs(spark, d)), fixture(spark, LEX, "id string, form string, word_boundary boolean")
-    hits = N.lexicon_matches(rows, lex)
-    loose = N.lexicon_matches(rows, lex.withColumn("word_boundary", F.lit(False)))
-    rejected = loose.join(hits, ["doc_id", "pos", "id", "form"], "left_anti")
-    return P.lexicon_metrics(hits.withColumn("class", F.when(F.col("id").isin("l2", "l3"), "word").otherwise("end")), rejected)
-
-
 def _oracle(name: str) -> str:
-    from engram.plans.registry import ORACLE
-
     return ORACLE[name]
 
 
@@ -176,14 +156,9 @@ def resolver_rates(spark, d):
     return P.resolver_rates(entity_resolution(spark, d))
 
 
-def lengths(texts: list[str]) -> list[list[float]]:
-    """A stand-in for an embedding service: bytes and spaces of a text."""
-    return [[float(len(t.encode())), float(t.count(" "))] for t in texts]
-
-
 @query("embed_hook", "SELECT doc_id, strlen(text)::DOUBLE AS x, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS y FROM documents")
 def embed_hook(spark, d):
-    e = P.embed(C.Catalog(spark, d).table("documents").select("doc_id", "text"), "text", lengths)
+    e = P.embed(C.Catalog(spark, d).table("documents").select("doc_id", "text"), "text", P.text_lengths)
     return e.select("doc_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
 
 
@@ -243,26 +218,6 @@ def relationship_topics(spark, d):
     return recent_topics(C.messages(spark, d)).select("conv_id", F.array_join("topics", ",").alias("topics"))
 
 
-SCENES = [(1, 0, "Anna asked Boris, then said to Clara: go"), (1, 1, "asked Anna"), (1, 2, "Boris met Clara and Clara met Anna"), (1, 3, "关羽曰：曹操何在"), (2, 0, "Clara" + " " * 60 + "met Boris"), (2, 1, "nobody met")]
-CAST = [("Anna", "Anna"), ("Boris", "Boris"), ("Clara", "Clara"), ("关羽", "关羽"), ("曹操", "曹操")]
-SPOKEN = [(1, 0, "asked", "Anna", "Boris", "Anna "), (1, 0, "said to", "Boris", "Clara", "Anna asked Boris, then "), (1, 3, "曰", "关羽", "曹操", "关羽")]
-
-
-@query("dialogue_events", f"SELECT doc_id, pos, marker, speaker, addressee, speaker || '曰' AS title, description, 0.5::DOUBLE AS importance FROM {values_sql(SPOKEN, 'doc_id, pos, marker, speaker, addressee, description')}")
-def dialogue_events(spark, d):
-    rows = fixture(spark, SCENES, "doc_id int, pos int, sentence string")
-    return N.dialogue_events(N.mentions(rows, CAST), rows, ["asked", "said to", "曰"])
-
-
-ACTED = [(1, 2, "met", "Boris", "Clara"), (1, 2, "met", "Clara", "Anna"), (1, 0, "asked", "Anna", "Boris")]
-
-
-@query("action_events", f"SELECT * FROM {values_sql(ACTED, 'doc_id, pos, verb, subject, object')}")
-def action_events(spark, d):
-    rows = fixture(spark, SCENES, "doc_id int, pos int, sentence string")
-    return N.verb_events(N.mentions(rows, CAST), rows, ["met", "asked"])
-
-
 _decided = f"SELECT 'Decision: ' || problem || ' — Rationale: ' || solution AS content, max(CASE WHEN contains(lower(solution), 'done') THEN 0.9 ELSE 0.7 END)::DOUBLE AS confidence FROM pairs WHERE contains(lower(solution), 'done') OR contains(lower(problem), 'tion') GROUP BY content"
 
 
@@ -281,16 +236,16 @@ def context_check(spark, d):
     return P.context_check(55, run, facts).unionByName(P.context_check(12, run, facts))
 
 
-SCORES = [("a", "b", 0.5, "same"), ("a", "c", 0.5, "same"), ("a", "c", 0.4, "different"), ("b", "a", 0.9, "different"), ("a", "x", 0.7, "same"), ("a", "x", 0.6, "different"), ("c", "x", 0.3, "any")]
-FACTIONS = [("a", "wei"), ("b", "wei"), ("c", "shu")]
-
-
-@query("faction_constraint", f"""WITH s AS (SELECT * FROM {values_sql(SCORES, 'a, b, score, rule')}), f AS (SELECT * FROM {values_sql(FACTIONS, 'name, faction')}),
-  j AS (SELECT s.*, coalesce(x.faction = y.faction, true) AS same FROM s LEFT JOIN f x ON x.name = s.a LEFT JOIN f y ON y.name = s.b)
+@query("faction_constraint", """WITH s AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey + l_partkey) % 97 AS b, (l_partkey % 10) / 10.0::DOUBLE AS score, ['same', 'different', 'any'][CAST(l_partkey % 3 AS INT) + 1] AS rule FROM lineitem),
+  f AS (SELECT s_suppkey AS name, n_regionkey AS faction FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 > 0), j AS (SELECT s.*, coalesce(x.faction = y.faction, true) AS same FROM s LEFT JOIN f x ON x.name = s.a LEFT JOIN f y ON y.name = s.b)
   SELECT a, b, rule, round(CASE WHEN rule = 'same' AND NOT same OR rule = 'different' AND same THEN 0.2 * score ELSE score END::DOUBLE, 6) AS score FROM j""")
 def faction_constraint(spark, d):
-    s = fixture(spark, SCORES, "a string, b string, score double, rule string")
-    return P.constrained(s, fixture(spark, FACTIONS, "name string, faction string"), F.col("rule")).select("a", "b", "rule", "score")
+    t = C.Catalog(spark, d).table
+    part = F.col("l_partkey")
+    rule = F.element_at(F.array(F.lit("same"), F.lit("different"), F.lit("any")), (part % 3 + 1).cast("int"))
+    s = t("lineitem").select(F.col("l_suppkey").alias("a"), ((F.col("l_suppkey") + part) % 97).alias("b"), ((part % 10) / 10.0).alias("score"), rule.alias("rule")).distinct()
+    f = t("supplier").where("s_suppkey % 4 > 0").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("name"), F.col("n_regionkey").alias("faction"))
+    return P.constrained(s, f, F.col("rule")).select("a", "b", "rule", "score")
 
 
 @query("temporal_exponential", f"SELECT id, round(CASE WHEN expires_at <= {C.NOW} THEN 0 ELSE exp(-1.157e-7 * greatest(0, {C.NOW} - created_at)) END::DOUBLE, 9) AS fresh FROM {C.MEMORIES_SQL}")

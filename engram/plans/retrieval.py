@@ -9,6 +9,7 @@ from engram.functions import lexicons as L
 from engram.functions import scores as S
 from engram.functions.text import bigram_set, bm25, jaccard, raw_tokens, tokenize
 from engram.functions.vectors import clamped_cosine
+from engram.operators import proximity as X
 from engram.operators import retrieval as R
 from engram.plans.registry import contains_sql, query
 
@@ -91,6 +92,13 @@ def knn_buckets(spark, d):
     return R.nearest_by_cells(v.where("id % 20 = 0"), v, 5).select("query_id", "id", "distance", "rank")
 
 
+@query("knn_graph")
+def knn_graph(spark, d):
+    """Approximate neighbours of every twentieth vector by proximity graphs, with the number of vectors compared."""
+    v = vectors(spark, d)
+    return X.nearest_by_graph(v.where("id % 20 = 0"), X.graph_index(v, 5), 5)
+
+
 #: A hit is a candidate among the nearest of all memories; hits are ranked among themselves.
 FUSED = f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY bm DESC, id) - 1 AS r FROM ({_cand('id IN (SELECT vec_id FROM embeddings)')})),
   near AS (SELECT b.id, round(1 - {COS}, 9) AS distance FROM {VEC} a JOIN (SELECT v.* FROM {VEC} v JOIN documents ON doc_id = v.id) b ON a.id = 0

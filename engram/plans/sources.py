@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from engram import catalog as C
 from engram.plans.distill import MESSAGES
 from engram.operators.graph import shared_folder
-from engram.plans.registry import query
+from engram.plans.cognition import three_channels
+from engram.plans.registry import ORACLE, query
 from engram.sources import bundle, external, loaders
 from engram.streaming import jobs
 
@@ -142,3 +143,23 @@ def stream_new_documents(spark, d):
 def session_counts(spark, d):
     e = C.Catalog(spark, d).table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jobs.sessions(e, gap="12 hours").select("user_id", F.unix_seconds("start").alias("start"), "n")
+
+
+@query("stream_forget", f"SELECT tenant_id, id, expires_at AS expired FROM {C.MEMORIES_SQL} WHERE expires_at <= (SELECT max(created_at) FROM {C.MEMORIES_SQL})")
+def stream_forget(spark, d):
+    """Memories that had expired when the last document was written."""
+    docs = _stream(spark, d, "documents")
+    m = C.memories_of(docs).select("tenant_id", "id", F.timestamp_seconds("created_at").alias("at"), F.timestamp_seconds("expires_at").alias("expires_at"))
+    with jobs.timers_and_lists(spark):
+        out = _run(jobs.forget(m), spark, "append")
+    return out.select("tenant_id", "id", F.unix_seconds("expired_at").alias("expired"))
+
+
+@query("stream_compile", ORACLE["facts_three_channel"])
+def stream_compile(spark, d):
+    """facts_three_channel by the stream: the facts that a conversation's turns have given once all have arrived."""
+    m = _stream(spark, d, "conversations").withColumnRenamed("text", "content")
+    path = f"{shared_folder(spark)}/s{uuid.uuid4().hex}"
+    with jobs.timers_and_lists(spark):
+        jobs.compile_turns(m, three_channels, path, path + "/cp").start().awaitTermination()
+    return jobs.compiled_turns(spark, path)

@@ -178,8 +178,8 @@ def test_events_and_factions(spark):
 def test_relation_timeline_and_arcs(spark):
     o = spark.createDataFrame([(1, "a", "b", 1, "ally"), (1, "a", "b", 2, "ally"), (1, "a", "b", 5, "enemy")], "doc_id long, a string, b string, time int, relation string")
     assert [tuple(r)[3:] for r in narrative.relation_timeline(o).orderBy("valid_from").collect()] == [("ally", 1, 5), ("enemy", 5, None)]
-    t = spark.createDataFrame([(1, "a", 0, -1), (1, "a", 5, 1), (1, "b", 0, 0)], "doc_id long, name string, pos int, polarity int")
-    assert dict(narrative.arcs(t).select("name", "arc").collect()) == {"a": "transformation", "b": "stable"}
+    t = spark.createDataFrame([(1, "a", 0, "狡诈"), (1, "a", 5, "仁义"), (1, "b", 0, "x")], "doc_id long, name string, pos int, trait string")
+    assert dict(narrative.arcs(t).select("name", "arc").collect()) == {"a": "growth", "b": "stable"}  # from a negative to a positive trait
 
 
 def facts(spark, *rows):
