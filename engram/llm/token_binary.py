@@ -124,6 +124,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     Null texts are empty; a document without tokens still has the end id. Null ids come first; rows that repeat an
     id are written each, ordered by text. A block closes at block_ids ids, a longer document has a block of its own.
+    An id that very many rows have is dealt by the beginnings of their texts, so only equal beginnings share a task.
     """
     shared = share_encoder(docs.sparkSession, tokenizer)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
@@ -152,12 +153,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if docs_:
             yield close()
 
-    rows = ids_and_texts(docs, doc_id, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = ids_and_texts(docs, doc_id, text).repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, "shard int, block long, ids_before long, n_ids long, image binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, and ids (array) if asked for."""
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32, and ids (array) if asked for.
+
+    Null and repeated ids come back as they were written, an empty file set gives no rows. `start` counts the ids of all
+    documents before it: in its block, in the blocks before, and in the files before, of which there is one a task.
+    """
     blocks = spark.read.parquet(path)
     schema = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
