@@ -217,7 +217,7 @@ def factions(events: DataFrame, start: DataFrame, surrender: Sequence[str], betr
     """
     members = start.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "faction"))).alias("members"))
     acts = events.where(F.col("verb").isin([*surrender, *betray]) & F.col("subject").isNotNull() & F.col("object").isNotNull())
-    rows = acts.join(members, "doc_id", "left").select("doc_id", "pos", "verb", "subject", "object", "members").repartition("doc_id").sortWithinPartitions("doc_id", "pos", "verb")
+    rows = acts.join(members, "doc_id", "left").select("doc_id", "pos", "verb", "subject", "object", "members").repartition("doc_id").sortWithinPartitions("doc_id", "pos", "verb", "subject", "object")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, now = None, {}

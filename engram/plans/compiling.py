@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engram import catalog as C
 from engram.operators import dialogue as T
+from engram.operators import migration as M
 from engram.operators import network as W
 from engram.operators.compile import Profile, compile_documents, recompile, statistics
 from engram.plans.matching import names
@@ -27,7 +28,7 @@ SAID = f"""(SELECT doc_id, pos, sentence, list_filter({_attributes}, lambda a: a
   list_filter(regexp_extract_all(sentence, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{1,19}}') AND x <> 'And') AS names FROM {SENT})"""
 #: Documents begin with a line that calls someone by a title, as their own words never do.
 TITLED = rf"""(SELECT doc_id, array_to_string(ws[1:bad - 1], ' ') AS name FROM (SELECT doc_id, ws, coalesce(nullif(coalesce(list_position(list_transform(ws, lambda w: NOT regexp_matches(w, '^\p{{Lu}}') OR w = 'And'), true), 0), 0), 5) AS bad FROM
-  (SELECT doc_id, list_transform(list_transform(string_split_regex('Mr. ' || regexp_extract(text, '[A-Z][a-z]+') || ' Und came. ' || text, '\s+')[1:4], lambda x: regexp_replace(x, '^\P{{L}}+|\P{{L}}+$', '', 'g')), lambda w: CASE WHEN w = 'Mr' THEN 'Mr.' ELSE regexp_extract(w, '^([\p{{L}}.]*)', 1) END) AS ws FROM documents)))"""
+  (SELECT doc_id, list_transform(list_transform(string_split_regex('Mr. ' || regexp_extract(text, '[A-Z][a-z]+') || ' Und came. ' || text, '\s+')[1:4], lambda x: regexp_replace(x, '^\P{{L}}+|\P{{L}}+$', '', 'g')), lambda w: CASE WHEN w = 'Mr' THEN 'Mr.' ELSE regexp_extract(w, '^([\p{{L}}.]*)', 1) END) AS ws FROM documents)) WHERE len(ws[1:bad - 1]) >= 2)"""
 
 
 @query("compile_documents", f"""WITH h AS {HEADS}, s AS {SAID}, subj AS (SELECT doc_id, title FROM h WHERE named AND NOT dialog),
@@ -129,3 +130,51 @@ def network_nodes(spark, d):
   UNION ALL SELECT 'event', CAST(e AS VARCHAR), CAST(name AS VARCHAR) FROM {_took} WHERE e IN (SELECT e FROM {_took} WHERE name IN (SELECT name FROM n WHERE level < 2))""")
 def network_edges(spark, d):
     return W.network(*bonds(spark, d), 1)[1].drop("json")
+
+
+CAST = [("The", ["Than", "tion"], 0.9), ("De", ["Des"], 0.5), ("Nobody", [], 0.1)]
+_names = "(VALUES ('The', 'The'), ('The', 'Than'), ('The', 'tion'), ('De', 'De'), ('De', 'Des'), ('Nobody', 'Nobody')) v(name, alias)"
+_chapters = "(SELECT doc_id, 1 AS chapter_no, substr(text, 1, 400) AS text FROM documents UNION ALL SELECT doc_id, 2, substr(text, 401) FROM documents WHERE length(text) > 400)"
+_first = f"(SELECT doc_id, chapter_no, name, alias, text, length(split_part(text, alias, 1)) AS p FROM {_chapters} JOIN {_names} ON contains(text, alias) QUALIFY row_number() OVER (PARTITION BY doc_id, chapter_no, name ORDER BY p, length(alias) DESC) = 1)"
+#: The window in whole characters: the fewest before that have 40 bytes, the most behind that have 80.
+_window = "substr(text, p - back + 1, back + length(alias) + fore)"
+_sized = f"(SELECT *, coalesce(list_min(list_filter(range(0, p + 1), lambda k: strlen(substr(text, p - k + 1, k)) >= 40)), p) AS back, list_max(list_filter(range(0, 81), lambda k: strlen(substr(text, p + length(alias) + 1, k)) <= 80)) AS fore FROM {_first})"
+
+
+@query("migrate_characters", f"""WITH m AS {_sized}, d AS (SELECT doc_id FROM documents WHERE length(text) > 0),
+  ev AS (SELECT doc_id, 'The' AS name, 'start' AS title, 1 AS chapter, 'they met' AS description FROM d UNION ALL SELECT doc_id, 'De', 'start', 1, 'he came' FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Nobody', 'end', 9, 'gone' FROM d UNION ALL SELECT doc_id, 'Stranger', 'x', 1, 'y' FROM d),
+  told AS (SELECT * FROM ev WHERE name <> 'Stranger')
+  SELECT 'mention' AS kind, doc_id, CAST(chapter_no AS INT) AS chapter, name AS a, alias || '@' || strlen(substr(text, 1, p)) AS b FROM m UNION ALL SELECT 'seen', doc_id, CAST(chapter_no AS INT), name, md5({_window}) FROM m
+  UNION ALL SELECT 'event', doc_id, CAST(chapter AS INT), title, '' FROM (SELECT DISTINCT doc_id, chapter, title FROM told) UNION ALL SELECT 'took part', doc_id, CAST(chapter AS INT), name, title FROM told
+  UNION ALL SELECT 'relation', doc_id, 2, 'The', 'De' FROM d UNION ALL SELECT 'told', t.doc_id, CAST(chapter AS INT), name, description FROM told t WHERE chapter = 1
+  UNION ALL SELECT 'told', doc_id, 2, '', 'they fell out' FROM d JOIN documents USING (doc_id) WHERE length(text) > 400
+  UNION ALL SELECT 'chapter', doc_id, CAST(chapter_no AS INT), CAST(coalesce(lag(strlen(text)) OVER (PARTITION BY doc_id ORDER BY chapter_no), 0) AS VARCHAR), CAST(strlen(text) AS VARCHAR) FROM {_chapters} WHERE text <> ''""")
+def migrate_characters(spark, d):
+    """Documents in two chapters, three characters in each, and what they do: the rows of the tables that come of it."""
+    t = docs(spark, d).where("text <> ''")
+    one = t.select("doc_id", F.lit(1).alias("chapter_no"), F.substring("text", 1, 400).alias("text"))
+    two = t.where("length(text) > 400").select("doc_id", F.lit(2), F.expr("substring(text, 401)"))
+    cast = t.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, a)).cast("array<string>").alias("aliases"), F.lit(x).alias("importance")) for n, a, x in CAST])).alias("c")).select("doc_id", "c.*", F.lit("{}").alias("properties"))
+    does = [("The", "start", 1, "they met"), ("De", "start", 1, "he came"), ("Nobody", "end", 9, "gone"), ("Stranger", "x", 1, "y")]
+    happened = t.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("title"), F.lit(c).alias("chapter"), F.lit(s).alias("description")) for n, e, c, s in does])).alias("e")).select("doc_id", "e.*", F.array(F.lit("De")).alias("related")).where("name <> 'De' or doc_id % 2 = 0")
+    related = t.select("doc_id", F.lit("The").alias("a"), F.lit("De").alias("b"), F.lit("foe").alias("relation"), F.lit(2).alias("chapter"), F.lit("they fell out").alias("description"), F.lit(0.6).alias("confidence"))
+    m = M.migrate(t.select("doc_id", F.md5("text").alias("title")), one.union(two), cast, happened, related)
+    c = F.col
+    chapters = m["chapters"].select(c("id").alias("chapter_id"), c("chapter_no").alias("chapter"))
+    named = m["objects"].select(c("id").alias("object_id"), c("name").alias("a"), "object_type")
+    row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), "doc_id", c("chapter").cast("int").alias("chapter"), a.alias("a"), b.alias("b"))
+    evidence = m["evidence"].join(chapters, "chapter_id")
+    persons = m["links"].where("kind = 'object'").select(c("source_id").alias("object_id"), c("evidence_id").alias("id")).join(named.where("object_type = 'person'"), "object_id").select("id", "a")
+    whose = evidence.join(persons, "id", "left")
+    edges = m["edges"].withColumn("chapter", c("valid_from")).join(named.select(c("object_id").alias("source_id"), "a"), "source_id").join(named.select(c("object_id").alias("target_id"), c("a").alias("b")), "target_id")
+    out = row(m["mentions"].join(chapters, "chapter_id").join(named, "object_id"), "mention", c("a"), F.concat("alias_used", F.lit("@"), c("start_offset").cast("string")))
+    for part in (
+        row(whose.where("start_offset is not null"), "seen", c("a"), F.md5("content")),
+        row(m["objects"].where("object_type = 'event'").withColumn("chapter", F.get_json_object("properties", "$.chapter")), "event", c("name"), F.lit("")),
+        row(edges.where("predicate = 'participated_in'"), "took part", c("a"), c("b")),
+        row(edges.where("predicate = 'foe'"), "relation", c("a"), c("b")),
+        row(whose.where("start_offset is null"), "told", F.coalesce("a", F.lit("")), c("content")),
+        row(m["chapters"].withColumn("chapter", c("chapter_no")), "chapter", c("start_offset").cast("string"), F.octet_length("content").cast("string")),
+    ):
+        out = out.unionByName(part)
+    return out
