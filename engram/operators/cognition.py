@@ -10,20 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions.lexicons import DONE, KEYS, RESTATEMENTS
+
 ORDER = ("time", "created_at", "id")
 
-#: Payload keys by which the newest fact of a type is found; the first that holds a string counts. Fixed values.
-KEYS = {
-    "goal": ["goal", "content"],
-    "preference": ["topic", "preference", "content"],
-    "relationship": ["target", "with", "object", "content"],
-    "identity": ["attribute", "identity", "key", "content"],
-}
-RESTATEMENTS = [
-    ("你喜欢", "preference"), ("你偏好", "preference"), ("你想要", "goal"), ("你计划", "goal"), ("你打算", "goal"), ("你感到", "emotion"), ("你觉得", "emotion"), ("you like", "preference"),
-    ("you prefer", "preference"), ("you want", "goal"), ("you plan", "goal"), ("you feel", "emotion"), ("the user likes", "preference"), ("the user prefers", "preference"), ("the user wants", "goal"),
-]
-DONE = ["done", "implemented", "replaced", "completed", "fixed", "完成", "替换", "修复"]
 THEME_LIMIT = 20
 
 

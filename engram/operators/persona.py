@@ -58,6 +58,43 @@ def reconcile(pairs: DataFrame, conflict: float = 0.75, dedup: float = 0.95) ->
     return g.select("candidate_id", decision.alias("decision"), (-F.col("flip.x")).alias("transition_from"), F.coalesce("flip.similarity", "dup", F.lit(0.0)).alias("similarity"))
 
 
+def nearest_facts(signals: DataFrame, facts: DataFrame) -> DataFrame:
+    """(signal_id, same, same_id, other, other_id): the similarity and id of the nearest fact of a signal's polarity and of the
+    nearest of the other, among those of its entity and type; null where there is none, the smallest id of equals.
+
+    signals has signal_id, entity_id, fact_type, vector, negated (null counts as false), facts the same with id. Signals meet
+    the facts of their entity, type and polarity in blocks, of which a task compares one pair as matrices: no pair is a row.
+    """
+    from engram.operators.retrieval import nearest_in_cells
+
+    cell = lambda negated: F.concat_ws("\x01", F.col("entity_id").cast("string"), "fact_type", negated.cast("string"))
+    own = F.coalesce("negated", F.lit(False))
+    ways = signals.select("signal_id", "entity_id", "fact_type", "vector", own.alias("negated"), F.explode(F.array(F.lit(False), F.lit(True))).alias("flipped"))
+    q = ways.select((F.col("signal_id") * 2 + F.col("flipped").cast("long")).alias("query_id"), F.col("vector").alias("q"), cell(F.col("negated") != F.col("flipped")).alias("cell"))
+    near = nearest_in_cells(q, facts.select("id", "vector", cell(own).alias("cell")), 1)
+    clamped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("distance"))), 9)
+    flipped = F.pmod("query_id", F.lit(2)) == 1
+    pick = lambda c, where: F.max(F.when(where, c))
+    met = near.groupBy(F.floor(F.col("query_id") / 2).alias("signal_id")).agg(pick(clamped, ~flipped).alias("same"), pick(F.col("id"), ~flipped).alias("same_id"), pick(clamped, flipped).alias("other"), pick(F.col("id"), flipped).alias("other_id"))
+    return signals.select("signal_id").join(met, "signal_id", "left")
+
+
+def check_semantic(signals: DataFrame, facts: DataFrame, match: float = 0.75, conflict: float = 0.75) -> DataFrame:
+    """check() by vectors: signal_id, verdict, fact_id (of a conflict). See nearest_facts."""
+    near = nearest_facts(signals, facts)
+    verdict = F.when(F.col("same") >= match, "consistent").when(F.col("other") >= conflict, "conflict").otherwise("drift")
+    return near.select("signal_id", verdict.alias("verdict"), F.when(verdict == "conflict", F.col("other_id")).alias("fact_id"))
+
+
+def reconcile_semantic(candidates: DataFrame, facts: DataFrame, conflict: float = 0.75, dedup: float = 0.95) -> DataFrame:
+    """reconcile() of candidates by their nearest facts only: candidate_id, decision, transition_from, similarity. Both tables
+    are as in nearest_facts."""
+    near = nearest_facts(candidates, facts)
+    flips, known = F.coalesce(F.col("other") >= conflict, F.lit(False)), F.coalesce(F.col("same") >= dedup, F.lit(False))
+    decision = F.when(flips, "add_with_transition").when(known, "noop").otherwise("add")
+    return near.select(F.col("signal_id").alias("candidate_id"), decision.alias("decision"), F.when(flips, F.col("other_id")).alias("transition_from"), F.when(flips, F.col("other")).when(known, F.col("same")).otherwise(0.0).alias("similarity"))
+
+
 def milestones(facts: DataFrame, gap: int = 1_000_000) -> DataFrame:
     """Stance flips, new themes and large gaps of an entity's facts in order: entity_id, id, time, milestone."""
     w = Window.partitionBy("entity_id").orderBy(*ORDER)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.graph import checkpointed
+from engram.operators.retrieval import nearest_by_cells, nearest_each
 
 WIDTHS = (1.0, 1.2, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0)
 
@@ -164,3 +165,18 @@ def nearest_by_graph(queries: DataFrame, index: DataFrame, k: int = 10, query_bl
     w = Window.partitionBy("query_id")
     met = met.withColumns({"rank": F.row_number().over(w.orderBy("distance", "id")), "compared": F.sum("compared").over(w)})
     return met.where(F.col("rank") <= k).select("query_id", "id", "distance", "rank", "compared")
+
+
+#: Ways to find the k nearest of each query among vectors, both id and vector: query_id, id, distance, rank. Others can be added.
+INDEXES = {
+    "exact": lambda queries, vectors, k: nearest_each(queries, vectors, k),
+    "cells": lambda queries, vectors, k: nearest_by_cells(queries, vectors, k),
+    "graph": lambda queries, vectors, k: nearest_by_graph(queries, graph_index(vectors, k), k).drop("compared"),
+}
+
+
+def nearest_by(kind: str, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query by an index of INDEXES. ValueError: there is none of that name."""
+    if kind not in INDEXES:
+        raise ValueError(f"no such index: {kind}; there are {', '.join(INDEXES)}")
+    return INDEXES[kind](queries, vectors, k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -74,10 +74,10 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     the driver. The work is the product of both sides, so queries should be few beside vectors.
     """
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.lit(0).alias("cell"))
-    return _nearest_in_cells(q, vectors.select("id", "vector", F.lit(0).alias("cell")), k)
+    return nearest_in_cells(q, vectors.select("id", "vector", F.lit(0).alias("cell")), k)
 
 
-def _nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 8192, vector_block: int = 32768) -> DataFrame:
+def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 8192, vector_block: int = 32768) -> DataFrame:
     """The k nearest of each query (query_id, q, cell) among vectors (id, vector, cell) of its cells.
 
     A cell is a grid of blocks of about query_block by vector_block rows, however many rows it has: each query goes to
@@ -121,6 +121,39 @@ def _best_of_block(k: int, step: int = 1024):
     return run
 
 
+def most_similar(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, other, similarity): the row of the same group whose text has the most letter pairs in common with a row's, by the
+    Jaccard similarity of their sets, if that is over the threshold (0 to 1, not included); the smallest id of equals.
+
+    rows has id, kind (the group) and text; ids are different. Rows of one text are one in the search, so many copies of a
+    text cost no more than one. Texts of a group are compared if they share one of their rarest pairs: with a similarity over
+    the threshold, at most (1 - threshold) of a set can be missing in the other, so the rest of it holds a common one.
+    Texts without pairs are alike among themselves, null texts like nothing.
+    """
+    from engram.functions.text import bigram_set, jaccard
+
+    rows = rows.where("text is not null").select("id", "kind", "text")
+    own = ["kind", "text"]
+    first = rows.groupBy(*own).agg(F.min("id").alias("first"))
+    second = rows.join(first, own).where("id <> first").groupBy(*own).agg(F.min("id").alias("second"))
+    texts = checkpointed(first.join(second, own, "left").withColumn("g", bigram_set(F.col("text"))))
+    keys = texts.select("kind", "first", F.size("g").alias("n"), F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit("")))).alias("k"))
+    rare = keys.groupBy("kind", "k").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("kind", "first").orderBy("c", "k")
+    most = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    heads = checkpointed(keys.join(rare, ["kind", "k"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("kind", "k", "first"))
+    met = heads.join(heads.withColumnRenamed("first", "b"), ["kind", "k"]).where("first < b").select("kind", "first", "b").distinct()
+    sets = texts.select("kind", "first", "g")
+    pairs = met.join(sets, ["kind", "first"]).join(sets.withColumnsRenamed({"first": "b", "g": "h"}), ["kind", "b"])
+    pairs = pairs.select("kind", F.col("first").alias("a"), "b", F.round(jaccard(F.col("g"), F.col("h")), 9).alias("s")).where(F.col("s") > threshold)
+    both = pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    best = both.groupBy("kind", F.col("a").alias("first")).agg(F.min(F.struct((-F.col("s")).alias("o"), F.col("b").alias("other"))).alias("best"))
+    j = rows.join(texts.select("kind", "text", "first", "second"), own).join(best, ["kind", "first"], "left")
+    twin = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    out = F.least(F.col("best"), F.when(twin.isNotNull() & (threshold < 1), F.struct(F.lit(-1.0).alias("o"), twin.alias("other"))))
+    return j.select("id", out.alias("m")).where("m is not null").select("id", "m.other", (-F.col("m.o")).alias("similarity"))
+
+
 def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with each row's place in the whole order, from 0, in a column of that name; ties must not be left to chance.
 
@@ -168,15 +201,23 @@ def hybrid_search(memories: DataFrame, query: str, vector: Sequence[float], now:
     return out.orderBy(F.desc("score"), "id").limit(k)
 
 
-def classify_by_anchor(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each vector's best anchor (label, centroid): id, label, similarity; ties to the smallest label.
+def classify_by_anchor(vectors: DataFrame, anchors: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each vector's best anchor (label, centroid): id, label, similarity; ties to the smallest label; a vector without a
+    direction has the smallest label, with similarity -2.
 
-    Anchors are few by nature and their number is checked: at most 10 000 are collected into one literal array.
+    Up to `most` anchors are one literal array, in which each row looks; more are compared in blocks, with the same result.
     """
-    rows = anchors.select("label", "centroid").orderBy("label").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 anchors")
-    table = anchors.sparkSession.createDataFrame([([(r["label"], r["centroid"]) for r in rows],)], "anchors array<struct<label:int,centroid:array<double>>>")
+    rows = anchors.select("label", "centroid").orderBy("label").limit(most + 1).collect()
+    kind = anchors.schema["label"].dataType.simpleString()
+    if len(rows) > most:
+        cell = F.lit(0).alias("cell")
+        near = nearest_in_cells(vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), cell), anchors.select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("vector"), cell), 1)
+        near = near.select(F.col("query_id").alias("id"), F.col("id").cast(kind).alias("near"), F.round(1.0 - F.col("distance"), 9).alias("s"))
+        no_way = F.coalesce(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda x, y: x + y * y) == 0, F.lit(True))
+        j = vectors.select("id", no_way.alias("no_way")).join(near, "id", "left")
+        lost = F.col("no_way") | F.col("s").isNull()
+        return j.select("id", F.when(lost, F.lit(rows[0]["label"])).otherwise(F.col("near")).cast(kind).alias("label"), F.when(lost, -2.0).otherwise(F.col("s")).alias("similarity"))
+    table = anchors.sparkSession.createDataFrame([([(r["label"], r["centroid"]) for r in rows],)], f"anchors array<struct<label:{kind},centroid:array<double>>>")
     each = F.transform("anchors", lambda a: F.struct((-F.round(F.coalesce(cosine(F.col("vector"), a["centroid"]), F.lit(-2.0)), 9)).alias("d"), a["label"].alias("label")))
     best = vectors.join(F.broadcast(table)).withColumn("best", F.array_min(each))  # one row
     return best.select("id", F.col("best.label").alias("label"), (-F.col("best.d")).alias("similarity"))
@@ -276,7 +317,7 @@ def nearest_by_cells(queries: DataFrame, vectors: DataFrame, k: int, recall: flo
     centres, probes = fit_cells(vectors, k, recall, sample, most_cells, seed)
     shared = vectors.sparkSession.sparkContext.broadcast(centres)  # at most most_cells rows
     q = _cells_of(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "q", shared, probes)
-    return _nearest_in_cells(q, _cells_of(vectors.select("id", "vector"), "vector", shared, 1), k)
+    return nearest_in_cells(q, _cells_of(vectors.select("id", "vector"), "vector", shared, 1), k)
 
 
 def resolve_entities(mentions: DataFrame, aliases: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
@@ -295,3 +336,45 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame, vectors: DataFrame
     j = rest.select("id").join(near, "id", "left")
     hit = F.coalesce(F.col("similar") >= threshold, F.lit(False))
     return known.unionByName(j.select("id", F.when(hit, F.col("near")).alias("entity_id"), F.when(hit, F.round("similar", 9)).otherwise(0.0).alias("score"), F.when(hit, "embedding").otherwise("unknown").alias("stage")))
+
+
+#: A stage of resolving: of mentions (id, surface, ...) it gives those it decides, as id, entity_id (null: it knows that there
+#: is none) and score; mentions it says nothing of go to the next stage.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def alias_stage(aliases: DataFrame) -> Stage:
+    """Mentions whose surface, normalised, is an alias (alias, entity_id), with score 1; the least entity of equals."""
+    from engram.functions.text import half_width
+
+    norm = lambda c: F.lower(half_width(F.col(c)))
+    table = aliases.select(norm("alias").alias("key"), "entity_id").groupBy("key").agg(F.min("entity_id").alias("entity_id"))
+    return lambda m: m.select("id", norm("surface").alias("key")).join(table, "key").select("id", "entity_id", F.lit(1.0).alias("score"))
+
+
+def stop_stage(words: Sequence[str]) -> Stage:
+    """Mentions that are no names: words of a list, which no later stage is asked about."""
+    return lambda m: m.where(F.col("surface").isin(list(words))).select("id", F.lit(None).cast("long").alias("entity_id"), F.lit(0.0).alias("score"))
+
+
+def vector_stage(vectors: DataFrame, threshold: float = 0.85) -> Stage:
+    """Mentions with a vector, by the nearest entity vector (id, vector) if its cosine reaches the threshold."""
+
+    def find(m: DataFrame) -> DataFrame:
+        near = nearest_each(m.where("vector is not null").select("id", "vector"), vectors, 1)
+        return near.select(F.col("query_id").alias("id"), F.col("id").alias("entity_id"), F.round(1.0 - F.col("distance"), 9).alias("score")).where(F.col("score") >= threshold)
+
+    return find
+
+
+def resolve_by_stages(mentions: DataFrame, stages: Sequence[tuple[str, Stage]]) -> DataFrame:
+    """(id, entity_id, score, stage): each mention by the first stage, in order, that decides it; unknown by the stage
+    `unknown`, with score 0, if none does. Mentions have different ids, not null. What a stage leaves is written before the
+    next one reads it, so plans stay short and no stage works on what is decided."""
+    left, out = mentions, None
+    for name, stage in stages:
+        found = checkpointed(stage(left).select("id", F.col("entity_id").cast("long").alias("entity_id"), F.col("score").cast("double").alias("score"), F.lit(name).alias("stage")))
+        out = found if out is None else out.unionByName(found)
+        left = checkpointed(left.join(found.select("id"), "id", "left_anti"))
+    rest = left.select("id", F.lit(None).cast("long").alias("entity_id"), F.lit(0.0).alias("score"), F.lit("unknown").alias("stage"))
+    return rest if out is None else out.unionByName(rest)

@@ -177,21 +177,22 @@ def persona_check_keyword(spark, d):
   g AS (SELECT signal_id, max(s) FILTER (NOT other) AS same, arg_max(id, (s, -id)) FILTER (other AND s >= 0.2) AS fact_id FROM j GROUP BY signal_id)
   SELECT signal_id, CASE WHEN same >= 0.3 THEN 'consistent' WHEN fact_id IS NOT NULL THEN 'conflict' ELSE 'drift' END AS verdict, CASE WHEN same >= 0.3 THEN NULL ELSE fact_id END AS fact_id FROM g""")
 def persona_check_semantic(spark, d):
-    v = vectors(spark, d).withColumns({"entity_id": F.lit(0), "fact_type": F.col("label").cast("string"), "negated": F.col("id") % 4 >= 2})
-    signals = v.where("id % 20 = 0").select(F.col("id").alias("signal_id"), "entity_id", "fact_type", F.col("vector").alias("text"), "negated")
-    stored = v.where("id % 20 <> 0").select("id", "entity_id", "fact_type", "negated", F.lit(True).alias("persona"), F.to_json("vector").alias("content"))
-    similar = F.round(clamped_cosine(F.col("text"), F.from_json("content", "array<float>")), 9)
-    return P.check(signals, stored, similar, 0.3, 0.2)
+    signals, stored = _signals(spark, d)
+    return P.check_semantic(signals, stored, 0.3, 0.2)
+
+
+def _signals(spark, d):
+    """Every twentieth vector as a signal against the others as facts of their label."""
+    v = vectors(spark, d).select("id", F.lit(0).alias("entity_id"), F.col("label").cast("string").alias("fact_type"), "vector", (F.col("id") % 4 >= 2).alias("negated"))
+    return v.where("id % 20 = 0").withColumnRenamed("id", "signal_id"), v.where("id % 20 <> 0")
 
 
 @query("reconcile", f"""WITH j AS (SELECT a.id AS candidate_id, b.id, (a.id % 4 >= 2) <> (b.id % 4 >= 2) AS other, round(greatest(0, least(1, {COS}))::DOUBLE, 9) AS s FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND b.id % 20 <> 0 WHERE a.id % 20 = 0),
   g AS (SELECT candidate_id, max(s) FILTER (other AND s >= 0.3) AS t, arg_max(id, (s, -id)) FILTER (other AND s >= 0.3) AS f, max(s) FILTER (NOT other AND s >= 0.2) AS dup FROM j GROUP BY candidate_id)
   SELECT candidate_id, CASE WHEN t IS NOT NULL THEN 'add_with_transition' WHEN dup IS NOT NULL THEN 'noop' ELSE 'add' END AS decision, f AS transition_from, round(coalesce(t, dup, 0)::DOUBLE, 6) AS similarity FROM g""")
 def reconcile(spark, d):
-    v = vectors(spark, d)
-    a, b = v.where("id % 20 = 0").toDF("candidate_id", "va", "label"), v.where("id % 20 <> 0").toDF("fact_id", "vb", "label")
-    pairs = a.join(b, "label").select("candidate_id", (F.col("candidate_id") % 4 >= 2).alias("candidate_negated"), "fact_id", (F.col("fact_id") % 4 >= 2).alias("fact_negated"), F.round(clamped_cosine(F.col("va"), F.col("vb")), 9).alias("similarity"))
-    return P.reconcile(pairs, 0.3, 0.2).withColumn("similarity", F.round("similarity", 6))
+    candidates, stored = _signals(spark, d)
+    return P.reconcile_semantic(candidates, stored, 0.3, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("evolution_milestones", f"""WITH f AS (SELECT *, lag(negated) OVER t AS old, lag(content) OVER t AS before, row_number() OVER t = 1 AS first, time - lag(time) OVER e > 50000 AS late FROM {C.FACTS_SQL}

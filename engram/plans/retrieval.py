@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from engram import catalog as C
 from engram.functions import lexicons as L
 from engram.functions import scores as S
-from engram.functions.text import bigram_set, bm25, jaccard, raw_tokens, tokenize
+from engram.functions.text import bm25, raw_tokens, tokenize
 from engram.functions.vectors import clamped_cosine
 from engram.operators import proximity as X
 from engram.operators import retrieval as R
-from engram.plans.registry import contains_sql, query
+from engram.plans.registry import ORACLE, contains_sql, query
 
 Q = "thing that"
 TERMS = ["thing", "that"]
@@ -206,10 +206,15 @@ _big = "list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i,
   j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE AS s FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
   SELECT a, b, round(s, 6) AS similarity FROM j WHERE round(s, 9) > 0.45 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) = 1""")
 def bigram_jaccard_match(spark, d):
-    from pyspark.sql import Window
+    p = C.Catalog(spark, d).table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.col("p_name").alias("text"))
+    return R.most_similar(p, 0.45).select(F.col("id").alias("a"), F.col("other").alias("b"), F.round("similarity", 6).alias("similarity"))
 
-    p = C.Catalog(spark, d).table("part").select("p_partkey", "p_brand", bigram_set(F.col("p_name")).alias("g"))
-    j = p.toDF("a", "brand", "ga").join(p.toDF("b", "brand", "gb"), "brand").where("a <> b")
-    j = j.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 9).alias("s")).where("s > 0.45")
-    best = j.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("r = 1")
-    return best.select("a", "b", F.round("s", 6).alias("similarity"))
+
+@query("entity_stages", ORACLE["entity_resolution"])
+def entity_stages(spark, d):
+    """entity_resolution as a list of stages: words that are no names, aliases, vectors."""
+    v = vectors(spark, d)
+    mentions = v.where("id % 20 = 0").select("id", F.concat(F.lit("Name "), F.col("id").cast("string")).alias("surface"), "vector")
+    aliases = v.where("id % 40 = 0").select(F.concat(F.lit("ｎame"), F.col("id").cast("string")).alias("alias"), F.col("id").alias("entity_id"))
+    stages = [("stop", R.stop_stage(["he", "she"])), ("alias", R.alias_stage(aliases)), ("embedding", R.vector_stage(v.where("id % 20 <> 0").select("id", "vector"), 0.2))]
+    return R.resolve_by_stages(mentions, stages).withColumn("score", F.round("score", 6))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import lexicons as L
 from engram.operators import compile as compile_
-from engram.operators import corpus, dialogue, lexicon, narrative, network, people, proximity, retrieval
+from engram.operators import corpus, dialogue, lexicon, narrative, network, people, persona, proximity, retrieval
 from engram.plans import FAMILIES, compiling
 
 
@@ -306,3 +306,30 @@ def test_graph_neighbours_of_odd_tables(spark):
     a, b = far(got), far(exact)
     assert set(a) == set(b) and sum(abs(a[k] - b[k]) < 1e-6 for k in b) >= 0.9 * len(b)
     assert index.count() == 341 and proximity.nearest_by_graph(v.where("false"), index, 5).count() == proximity.nearest_by_graph(v, proximity.graph_index(v.where("false")), 5).count() == 0
+
+
+def test_most_similar_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("xy"), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 9)))) for i in range(120)] + [(200, "x", None), (201, "z", "lonely"), (202, "w", "twin"), (203, "w", "twin"), (204, "w", "twin")]
+    grams = {i: {t[k : k + 2] for k in range(len(t) - 1)} for i, _, t in rows if t is not None}
+    for threshold in (0.45, 0.7, 0.0):
+        want = {}
+        for i, k, t in rows:
+            for j, m, u in rows:
+                if i != j and k == m and t is not None and u is not None:
+                    s = len(grams[i] & grams[j]) / len(grams[i] | grams[j]) if grams[i] | grams[j] else 1.0
+                    if round(s, 9) > threshold:
+                        want[i] = min(want.get(i, (0, 0)), (-round(s, 9), j))
+        got = {r["id"]: (-r["similarity"], r["other"]) for r in retrieval.most_similar(spark.createDataFrame(rows, "id long, kind string, text string"), threshold).collect()}
+        assert got == want
+
+
+def test_nearest_facts_of_both_polarities(spark):
+    facts = [(1, 7, "likes", [1.0, 0.0], False), (2, 7, "likes", [0.0, 1.0], True), (3, 7, "likes", [0.0, 1.0], True), (4, 8, "likes", [1.0, 0.0], None), (5, 7, "other", [1.0, 0.0], False)]
+    signals = [(10, 7, "likes", [1.0, 0.0], False), (11, 7, "likes", [0.0, 2.0], None), (12, 8, "likes", [1.0, 0.0], True), (13, 9, "likes", [1.0, 0.0], False), (14, 7, "likes", None, False)]
+    f = spark.createDataFrame(facts, "id long, entity_id long, fact_type string, vector array<double>, negated boolean")
+    s = spark.createDataFrame(signals, "signal_id long, entity_id long, fact_type string, vector array<double>, negated boolean")
+    got = {r["signal_id"]: tuple(r)[1:] for r in persona.check_semantic(s, f).collect()}
+    assert got == {10: ("consistent", None), 11: ("conflict", 2), 12: ("conflict", 4), 13: ("drift", None), 14: ("drift", None)}
+    made = {r["candidate_id"]: tuple(r)[1:] for r in persona.reconcile_semantic(s, f).collect()}
+    assert made == {10: ("noop", None, 1.0), 11: ("add_with_transition", 2, 1.0), 12: ("add_with_transition", 4, 1.0), 13: ("add", None, 0.0), 14: ("add", None, 0.0)}

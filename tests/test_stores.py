@@ -7,7 +7,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import graph, lexicon, narrative
+from engram.functions import languages
+from engram.operators import graph, lexicon, narrative, proximity, retrieval
 from engram.plans import matching, stores
 from engram.sources.store import Store, append_facts, evidence_tables
 
@@ -138,3 +139,36 @@ def test_faction_moves_by_a_plain_loop(spark, sf):
     by = lambda rows: sorted((r for r in rows), key=lambda r: (r[0], r[1]))
     assert len(got) == len(want) and [r[:2] for r in by(got)] == [r[:2] for r in by(want)]
     assert narrative.factions(matching.events(spark, sf).where("false"), spark.createDataFrame([(1, "a", "wei")], "doc_id long, name string, faction string"), ["ing"], []).count() == 0
+
+
+def test_languages_take_their_verbs_from_a_lexicon(spark):
+    rows = [("k", "Kill", ["kills"], "en", "attack", False), ("t", "Mr.", [""], "en", "title", True), ("z", "救", None, "zh", "rescue", False), ("s", "say", None, "en", "speech", False)]
+    lex = lexicon.registry(spark.createDataFrame(rows, LEX))
+    en = languages.with_lexicon(languages.Language("en", titles=["Dr."], verbs={"hostile": ["hit"]}), lex)
+    assert (en.of("hostile"), en.of("action"), en.of("friendly"), en.titles) == (["hit", "kill", "kills"], ["say"], [], ["Dr.", "Mr."])
+    assert languages.register(en) is languages.LANGUAGES["en"]
+    with pytest.raises(ValueError):
+        languages.with_lexicon(en, lex, most=2)
+
+
+def test_stages_of_resolving(spark):
+    m = spark.createDataFrame([(1, "Ann", None), (2, "she", [1.0, 0.0]), (3, "Bob", [0.0, 1.0]), (4, "Cy", [1.0, 1.0]), (5, None, None)], "id long, surface string, vector array<double>")
+    aliases = spark.createDataFrame([("ＡＮＮ", 7), ("ann", 9)], "alias string, entity_id long")
+    v = spark.createDataFrame([(20, [0.0, 2.0])], "id long, vector array<double>")
+    stages = [("stop", retrieval.stop_stage(["she"])), ("alias", retrieval.alias_stage(aliases)), ("vector", retrieval.vector_stage(v, 0.9))]
+    got = {r["id"]: tuple(r)[1:] for r in retrieval.resolve_by_stages(m, stages).collect()}
+    assert got == {1: (7, 1.0, "alias"), 2: (None, 0.0, "stop"), 3: (20, 1.0, "vector"), 4: (None, 0.0, "unknown"), 5: (None, 0.0, "unknown")}
+    assert {r["stage"] for r in retrieval.resolve_by_stages(m, []).collect()} == {"unknown"}
+    for kind in proximity.INDEXES:
+        assert [r["id"] for r in proximity.nearest_by(kind, m.where("id = 3"), v, 1).collect()] == [20]
+    with pytest.raises(ValueError):
+        proximity.nearest_by("tree", m, v, 1)
+
+
+def test_anchors_of_any_number(spark):
+    """Beyond the limit of the literal array anchors are compared in blocks, with the same result."""
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(100, None), (101, [0.0] * 4)], "id long, vector array<double>")
+    a = spark.createDataFrame([(i % 30, [float((i * k) % 5 - 2) for k in range(1, 5)]) for i in range(30)], "label int, centroid array<double>")
+    read = lambda **k: sorted((r["id"], r["label"], round(r["similarity"], 6)) for r in retrieval.classify_by_anchor(v, a, **k).collect())
+    assert read() == read(most=5) and len(read()) == 62
