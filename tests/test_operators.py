@@ -110,7 +110,7 @@ def test_nearest_in_blocks(spark):
     u = np.array(v, np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     for query_block, vector_block in ((8192, 32768), (4, 7)):
-        got = retrieval._nearest_in_cells(q, rows, 4, query_block, vector_block).collect()
+        got = retrieval.nearest_in_cells(q, rows, 4, query_block, vector_block).collect()
         want = set()
         for a in range(0, 90, 3):
             near = sorted((round(1 - float(u[a] @ u[b]), 9), b) for b in range(90) if (a < 60) == (b < 60))[:4]
