@@ -259,8 +259,9 @@ def value_after(text: Column, mark: str) -> Column:
 
 
 def value_before(text: Column, mark: str) -> Column:
-    """What stands before the first mark, from the stop before it."""
-    return _value(text, f"([^{STOPS}]*?)" + re.escape(mark))
+    """What stands before the first mark, from the stop before it; in time that is linear in the text."""
+    head = F.regexp_replace(F.substring_index(text, mark, 1), f"(?s)^.*[{STOPS}]", "")
+    return F.when(F.contains(text, F.lit(mark)), F.nullif(F.trim(head), F.lit("")))
 
 
 def value_between(text: Column, start: str, end: str) -> Column:

@@ -11,7 +11,7 @@ from engram.operators import network as W
 from engram.operators.compile import Profile, compile_documents, recompile, statistics
 from engram.plans.matching import names
 from engram.plans.narrative import SENT, docs
-from engram.plans.registry import contains_sql, query
+from engram.plans.registry import ORACLE, contains_sql, query
 
 PROFILE = Profile(hints={"size": ["tion", "ing"], "kind": ["with", "que"]}, predicates=["ment", "that"], verbs=["the ", "une"], story=["tion", "ing"], titles=["Mr."], stop_names=["And"])
 
@@ -91,7 +91,10 @@ def recompile_document(spark, d):
     return tables["evidence"].groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(listed, lambda s: s["m"]), "")).alias("contents"))
 
 
-@query("compile_statistics")
+_KINDS = {"document": "documents", "person": "persons", "event": "events", "took part": "edges", "evidence": "evidence"}
+
+
+@query("compile_statistics", f"SELECT CASE kind {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in _KINDS.items())} END AS kind, count(*) AS n FROM ({ORACLE['compile_documents']}) WHERE kind IN ({', '.join(f'{chr(39)}{a}{chr(39)}' for a in _KINDS)}) GROUP BY 1")
 def compile_statistics(spark, d):
     return statistics(compile_documents(titled(spark, d), PROFILE))
 
