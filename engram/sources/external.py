@@ -42,7 +42,8 @@ def materialise(docs: DataFrame, stored: DataFrame, evidence: DataFrame) -> tupl
 
 
 def links_once(links: DataFrame) -> DataFrame:
-    """Links (seq, source, external_name, canonical_name), the first of equals."""
+    """Links (seq, source, external_name, canonical_name), the first of equals: where a name comes from. resolve() takes all links,
+    as one that is registered again counts as the last of its name."""
     w = Window.partitionBy("source", "external_name", "canonical_name").orderBy("seq")
     return links.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
