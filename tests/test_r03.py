@@ -25,3 +25,7 @@ def same(spark, name, a, b):
 
 def test_stream_compile_of_a_table_in_a_folder(spark, parted, sf):
     same(spark, "stream_compile", parted, sf)
+
+
+def test_stream_relationship_of_a_table_in_a_folder(spark, parted, sf):
+    same(spark, "stream_relationship", parted, sf)
