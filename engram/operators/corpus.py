@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engram.functions.lexicons import IMPACT_WORDS
 from engram.functions.text import any_of
 from engram.operators.lexicon import lexicon_places
+from engram.operators.narrative import gathered
 
 
 def cooccurrence(members: DataFrame, least: int = 3) -> DataFrame:
@@ -83,12 +84,16 @@ def faction_members(names: DataFrame, factions: DataFrame, unknown: str = "未
 
 
 def deaths(rows: DataFrame, found: DataFrame, phrases: list[str], reach: int = 40) -> DataFrame:
+    """deaths_of() with names that were found elsewhere: found is mentions() of rows (doc_id, pos, chapter, sentence)."""
+    return deaths_of(gathered(rows, found), phrases, reach)
+
+
+def deaths_of(rows: DataFrame, phrases: list[str], reach: int = 40) -> DataFrame:
     """(doc_id, name, chapter): the first chapter in which a death phrase follows one of a name's places within `reach`
-    characters. rows has doc_id, pos, chapter, sentence; found is mentions() of them, every place of a sentence."""
-    before = F.expr("octet_length(alias)") + F.col("start")
-    after = F.decode(F.substring(F.encode("sentence", "utf-8"), before + 1, F.lit(1 << 30)), "utf-8")
-    j = found.join(rows, ["doc_id", "pos"]).where(any_of(F.substring(after, 1, reach), phrases))
-    return j.groupBy("doc_id", F.col("canonical").alias("name")).agg(F.min("chapter").alias("chapter"))
+    characters. rows are those of narrative.with_mentions(), with chapter."""
+    behind = lambda m: F.col("sentence").substr(m["at"] + F.length(m["matched"]) + 1, F.lit(reach))
+    dead = F.array_distinct(F.transform(F.filter("named", lambda m: any_of(behind(m), phrases)), lambda m: m["canonical"]))
+    return rows.where(any_of(F.col("sentence"), phrases)).select("doc_id", "chapter", F.explode(dead).alias("name")).groupBy("doc_id", "name").agg(F.min("chapter").alias("chapter"))
 
 
 def action_sentences(rows: DataFrame, found: DataFrame, verbs: list[str], most_bytes: int = 300) -> DataFrame:

@@ -83,38 +83,71 @@ def short_mentions(rows: DataFrame, shorts: Sequence[tuple[str, str]], verbs: Se
     return found.where(alone & behind.rlike("^(?:" + "|".join(map(re.escape, verbs)) + ")")).select("doc_id", "pos", "canonical", F.col("matched").alias("alias"), "start")
 
 
+def with_mentions(rows: DataFrame, aliases: DataFrame, found: str = "named") -> DataFrame:
+    """rows (doc_id, pos, sentence and what else they have) with an array of their names as mentions() reads them: canonical,
+    matched, start, end (bytes) and at (characters). Nothing is shuffled, so what is read off the array costs each task what
+    its own sentences cost. Rows without a doc_id or pos go, and those without a name; doc_id and pos are a row's own."""
+    forms = aliases.select(F.col("alias").alias("form"), "canonical")
+    return with_places(rows.where("doc_id is not null and pos is not null"), forms, rule="longest", name=found).where(F.size(found) > 0)
+
+
+def gathered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """with_mentions() of rows from mentions that were found elsewhere (doc_id, pos, canonical, alias, start)."""
+    one = F.struct("canonical", F.col("alias").alias("matched"), "start", (F.col("start") + F.octet_length("alias")).alias("end"))
+    j = rows.join(found.groupBy("doc_id", "pos").agg(F.collect_set(one).alias("named")), ["doc_id", "pos"])
+    at = lambda m: F.length(F.decode(F.substring(F.encode("sentence", "utf-8"), F.lit(1), m["start"]), "utf-8"))
+    return j.withColumn("named", F.transform("named", lambda m: F.struct(m["canonical"].alias("canonical"), m["matched"].alias("matched"), m["start"].alias("start"), m["end"].alias("end"), at(m).alias("at"))))
+
+
 def _all_places(rows: DataFrame, forms: Sequence[str], name: str) -> DataFrame:
-    """(doc_id, pos, name, at): every place, in bytes, of every form in a sentence; places of one form don't overlap."""
+    """(doc_id, pos, named, name, at): every place, in bytes, of every form in a sentence; places of one form don't overlap."""
     hit = F.filter(F.array(*map(F.lit, forms)), lambda v: F.contains("sentence", v))
-    v = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias(name))
+    v = rows.select("doc_id", "pos", "named", "sentence", F.explode(hit).alias(name))
     parts = F.split("sentence", F.concat(F.lit(r"\Q"), F.col(name), F.lit(r"\E")))
     before = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.octet_length(F.array_join(F.slice("parts", F.lit(1), i), "")) + (i - 1) * F.octet_length(name))
-    return v.withColumn("parts", parts).select("doc_id", "pos", name, F.explode(before).alias("at"))
+    return v.withColumn("parts", parts).select("doc_id", "pos", "named", name, F.explode(before).alias("at"))
+
+
+def _last_before(at: Column, reach: int | None = None) -> Column:
+    """The canonical name of the last of the array `named` that ends at `at` at most, and less than reach bytes before."""
+    good = F.filter("named", lambda m: (m["end"] <= at) & (F.lit(True) if reach is None else at - m["end"] < reach))
+    return F.array_max(F.transform(good, lambda m: F.struct(m["end"].alias("end"), m["canonical"].alias("canonical"))))["canonical"]
+
+
+def _first_behind(at: Column, reach: int | None = None) -> Column:
+    """The canonical name of the first of the array `named` that starts at `at` at least, and less than reach bytes after."""
+    good = F.filter("named", lambda m: (m["start"] >= at) & (F.lit(True) if reach is None else m["start"] - at < reach))
+    return F.array_min(F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["canonical"].alias("canonical"))))["canonical"]
 
 
 def verb_events(found: DataFrame, rows: DataFrame, verbs: Sequence[str], reach: int = 50) -> DataFrame:
+    """verb_events_of() with names that were found elsewhere: found is mentions() of rows."""
+    return verb_events_of(gathered(rows, found), verbs, reach)
+
+
+def verb_events_of(rows: DataFrame, verbs: Sequence[str], reach: int = 50) -> DataFrame:
     """Events `subject verb object`, one for each place of a verb: doc_id, pos, verb, subject, object. The subject is the last
     name that ends less than reach bytes before the verb, the object the first that starts less than reach bytes after it,
-    or null; both are in its sentence. Without a subject there is no event."""
-    j = _all_places(rows, verbs, "verb").join(found, ["doc_id", "pos"])
-    end, after = F.col("start") + F.octet_length("alias"), F.col("at") + F.octet_length("verb")
-    before = F.when((end <= F.col("at")) & (F.col("at") - end < reach), end)
-    behind = F.when((F.col("start") >= after) & (F.col("start") - after < reach), F.col("start"))
-    g = j.groupBy("doc_id", "pos", "verb", "at").agg(F.max_by("canonical", before).alias("subject"), F.min_by("canonical", behind).alias("object"))
-    return g.where("subject is not null").drop("at")
+    or null; both are in its sentence. Without a subject there is no event. rows are those of with_mentions()."""
+    j = _all_places(rows, verbs, "verb")
+    who, whom = _last_before(F.col("at"), reach), _first_behind(F.col("at") + F.octet_length("verb"), reach)
+    return j.select("doc_id", "pos", "verb", who.alias("subject"), whom.alias("object")).where("subject is not null")
 
 
 def dialogue_events(found: DataFrame, rows: DataFrame, markers: Sequence[str]) -> DataFrame:
+    """dialogue_events_of() with names that were found elsewhere: found is mentions() of rows."""
+    return dialogue_events_of(gathered(rows, found), markers)
+
+
+def dialogue_events_of(rows: DataFrame, markers: Sequence[str]) -> DataFrame:
     """Who speaks to whom: doc_id, pos, marker, speaker, addressee, title, description, importance. For the first place of a
     marker in a sentence the speaker is the last name that ends before it, the addressee the first that starts after it,
-    or null; the description is what stands before the marker. Without a speaker there is no event."""
+    or null; the description is what stands before the marker. Without a speaker there is no event. rows are those of
+    with_mentions()."""
     hit = F.filter(F.array(*map(F.lit, markers)), lambda v: F.contains("sentence", v))
-    m = rows.select("doc_id", "pos", "sentence", F.explode(hit).alias("marker"))
-    m = m.withColumn("description", F.expr("substring(sentence, 1, instr(sentence, marker) - 1)")).drop("sentence")
-    j = m.withColumn("at", F.octet_length("description")).join(found, ["doc_id", "pos"])
-    end, after = F.col("start") + F.octet_length("alias"), F.col("at") + F.octet_length("marker")
-    before, behind = F.when(end <= F.col("at"), end), F.when(F.col("start") >= after, F.col("start"))
-    g = j.groupBy("doc_id", "pos", "marker", "description").agg(F.max_by("canonical", before).alias("speaker"), F.min_by("canonical", behind).alias("addressee"))
+    m = rows.select("doc_id", "pos", "named", "sentence", F.explode(hit).alias("marker"))
+    m = m.withColumn("description", F.expr("substring(sentence, 1, instr(sentence, marker) - 1)")).withColumn("at", F.octet_length("description"))
+    g = m.select("doc_id", "pos", "marker", "description", _last_before(F.col("at")).alias("speaker"), _first_behind(F.col("at") + F.octet_length("marker")).alias("addressee"))
     return g.where("speaker is not null").select("doc_id", "pos", "marker", "speaker", "addressee", F.concat("speaker", F.lit("曰")).alias("title"), "description", F.lit(0.5).alias("importance"))
 
 
@@ -215,23 +248,28 @@ def factions(events: DataFrame, start: DataFrame, surrender: Sequence[str], betr
     move depends on all before it, so a document's events are read in order in one task, as a stream that keeps the
     current faction of each name.
     """
-    members = start.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "faction"))).alias("members"))
     acts = events.where(F.col("verb").isin([*surrender, *betray]) & F.col("subject").isNotNull() & F.col("object").isNotNull())
-    rows = acts.join(members, "doc_id", "left").select("doc_id", "pos", "verb", "subject", "object", "members").repartition("doc_id").sortWithinPartitions("doc_id", "pos", "verb", "subject", "object")
+    # members come before the acts of their document, a row each, so that no act carries all of them
+    rows = acts.select("doc_id", F.lit(1).alias("act"), "pos", "verb", "subject", "object")
+    rows = rows.unionByName(start.where("doc_id is not null").select("doc_id", F.lit(0).alias("act"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("verb"), F.col("name").alias("subject"), F.col("faction").alias("object")))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "act", "pos", "verb", "subject", "object")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, now = None, {}
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if r.doc_id != doc:
-                    doc, now = r.doc_id, dict(r.members or {})
-                old, other = now.get(r.subject, unknown), now.get(r.object, unknown)
-                if r.verb in surrender and old != other and other != unknown:
-                    now[r.subject] = other
-                    out.append((doc, r.pos, r.subject, old, other, "surrender"))
-                elif r.verb in betray:
-                    out.append((doc, r.pos, r.subject, old, old, "betrayal"))
+            for i, act, pos, verb, subject, object_ in zip(*(b[c].tolist() for c in ("doc_id", "act", "pos", "verb", "subject", "object"))):
+                if i != doc:
+                    doc, now = i, {}
+                if not act:
+                    now[subject] = object_
+                    continue
+                old, other = now.get(subject, unknown), now.get(object_, unknown)
+                if verb in surrender and old != other and other != unknown:
+                    now[subject] = other
+                    out.append((doc, int(pos), subject, old, other, "surrender"))
+                elif verb in betray:
+                    out.append((doc, int(pos), subject, old, old, "betrayal"))
             yield pd.DataFrame(out, columns=["doc_id", "pos", "name", "old", "new", "kind"])
 
     return rows.mapInPandas(run, "doc_id long, pos int, name string, old string, new string, kind string")

@@ -118,7 +118,7 @@ DEATHS = ["ight", "ness"]
 @query("deaths", f"SELECT doc_id, canonical AS name, CAST(min(pos // 10) AS INT) AS chapter FROM {SAID} WHERE contains(substr(sentence, s + n, 40), 'ight') OR contains(substr(sentence, s + n, 40), 'ness') GROUP BY doc_id, canonical")
 def deaths(spark, d):
     rows = sentence_rows(spark, d).withColumn("chapter", F.floor(F.col("pos") / 10).cast("int"))
-    return K.deaths(rows, N.mentions(rows, names(spark)), DEATHS)
+    return K.deaths_of(N.with_mentions(rows, names(spark)), DEATHS)
 
 
 @query("action_sentences", f"SELECT doc_id, canonical AS name, md5(arg_min(sentence, (pos, start))) AS sentence FROM {SAID} WHERE (contains(sentence, 'ing') OR contains(sentence, 'ment')) AND strlen(sentence) <= 300 GROUP BY doc_id, canonical")
@@ -177,8 +177,7 @@ SPOKEN = ["ing", "with"]
     FROM m JOIN {SAID} a ON a.doc_id = m.doc_id AND a.pos = m.pos GROUP BY ALL)
   SELECT doc_id, CAST(pos AS INT) AS pos, marker, speaker, addressee, speaker || '曰' AS title, md5(description) AS description, 0.5::DOUBLE AS importance FROM j WHERE speaker IS NOT NULL""")
 def dialogue_events(spark, d):
-    rows = sentence_rows(spark, d)
-    return N.dialogue_events(N.mentions(rows, names(spark)), rows, SPOKEN).withColumn("description", F.md5("description"))
+    return N.dialogue_events_of(N.with_mentions(sentence_rows(spark, d), names(spark)), SPOKEN).withColumn("description", F.md5("description"))
 
 
 ACTS = ["ing", "ment"]
@@ -188,8 +187,7 @@ EVENTS = f"""(SELECT k.doc_id, CAST(k.pos AS INT) AS pos, form AS verb, arg_max(
 
 
 def events(spark, d):
-    rows = sentence_rows(spark, d)
-    return N.verb_events(N.mentions(rows, names(spark)), rows, ACTS)
+    return N.verb_events_of(N.with_mentions(sentence_rows(spark, d), names(spark)), ACTS)
 
 
 @query("action_events", f"SELECT * FROM {EVENTS}")

@@ -2,8 +2,11 @@
 
 import tempfile
 
+import pyarrow as pa
 import pytest
 
+from engram.operators import corpus, narrative
+from engram.operators.lexicon import small
 from engram.plans import all_queries
 from engram.sources import external
 
@@ -46,3 +49,26 @@ def test_entity_linker_takes_the_last_link(spark):
     spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     got = {(r["surface"], r["canonical"]) for r in all_queries()["entity_linker"](spark, d).collect()}
     assert got == {("n0", None), ("n1", "c1")}
+
+
+@pytest.mark.parametrize("name", ["action_events", "observed_relations", "dialogue_events"])
+def test_events_are_read_off_a_sentence_without_a_shuffle(spark, sf, name):
+    plan = all_queries()[name](spark, sf)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_events_of_names_in_the_row_and_found_elsewhere(spark):
+    rows = spark.createDataFrame([(1, 0, "Éva met Anna, Anna met Éva met Bo", 3), (1, 1, "met Bo", 4), (None, 0, "Bo met Bo", 5)], "doc_id long, pos int, sentence string, chapter int")
+    aliases = spark.createDataFrame([(n, n) for n in ("Éva", "Anna", "Bo")], "alias string, canonical string")
+    got = sorted(map(tuple, narrative.verb_events_of(narrative.with_mentions(rows, aliases), ["met"], 6).collect()))
+    assert got == [(1, 0, "met", "Anna", "Éva"), (1, 0, "met", "Éva", "Anna"), (1, 0, "met", "Éva", "Bo")]
+    assert sorted(map(tuple, narrative.verb_events(narrative.mentions(rows, aliases), rows, ["met"], 6).collect())) == got
+    dead = corpus.deaths_of(narrative.with_mentions(rows, aliases), ["met B"], 5).collect()
+    assert {tuple(r) for r in dead} == set() and {tuple(r) for r in corpus.deaths_of(narrative.with_mentions(rows, aliases), ["met B"], 6).collect()} == {(1, "Éva", 3)}
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    batch = pa.record_batch([pa.array(["x" * 1000] * 2000)], ["text"])
+    cut = list(small([batch], rows=512, size=100_000))
+    assert sum(b.num_rows for b in cut) == 2000 and max(b.num_rows for b in cut) <= 100
+    assert [b.num_rows for b in small([pa.record_batch([pa.array(["x"] * 1200)], ["text"])])] == [512, 512, 176]
