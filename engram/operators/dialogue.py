@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import lexicons as L
-from engram.operators.lexicon import with_places
+from engram.operators.lexicon import small, with_places
 
 #: In bytes: how far a name may end before a mark, the window it has to lie in, where a poem is announced, a speech's most.
 NEAR, WINDOW, POEM, SPEECH = 6, 50, 20, 300
@@ -100,7 +100,7 @@ def dialogue_relations(texts: DataFrame, names: DataFrame, marks: Sequence[str]
     lists = b(marks), b(to_words), b(poems), [(b(words), r) for words, r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             each = [said(t.encode(), [(m["start"], m["end"], m["canonical"]) for m in found], *lists) for t, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist())]
             at = pa.array([i for i, rs in enumerate(each) for _ in rs], pa.int64())
             flat = [r for rs in each for r in rs]

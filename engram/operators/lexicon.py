@@ -60,6 +60,14 @@ def without_overlap(found: list[tuple], rule: str) -> list[tuple]:
     return out
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about `size` bytes and `rows` rows at most, so that what is made of one stays small."""
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * size / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def _offsets(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Starts and ends in UTF-8 bytes; the text is encoded once, up to the furthest place."""
     if text.isascii():
@@ -95,7 +103,7 @@ def _tagged(rows: DataFrame, lexicon: DataFrame, text: str, rule: str, name: str
             _BUILT.clear()  # one lexicon at a time
             _BUILT[key] = build(forms)
         a = _BUILT[key]
-        for b in batches:
+        for b in small(batches):
             sizes, nos, matched, bytes_, at, whole = [0], [], [], [], [], []
             for t in b[text].to_pylist():
                 got = places(a, t or "", rule)
