@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import clamped_cosine
-from engram.operators import corpus, narrative, retrieval
+from engram.operators import corpus, graph, narrative, retrieval
 from engram.operators.lexicon import small
 from engram.plans import all_queries
 from engram.sources import external
@@ -118,3 +118,24 @@ def test_cosines_of_pairs_in_blocks(spark):
 def test_a_block_of_neighbours_is_bounded():
     most = {k: p.default for k, p in inspect.signature(retrieval.nearest_in_cells).parameters.items() if k.endswith("block")}
     assert most["query_block"] * (1024 + 64) * 8 * 3 <= 64 << 20 and most["vector_block"] <= 16384
+
+
+def test_edges_are_made_once_whatever_the_depth(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "source_id long, target_id long")
+    got = graph.neighbourhood(edges.mapInArrow(count, edges.schema), spark.createDataFrame([(1,)], "id long"), 3)
+    assert {(r["id"], r["hops"]) for r in got.collect()} == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)}
+    assert seen.value == 7
+
+
+def test_cooccurrence_takes_more_tasks_for_more_members(spark):
+    m = spark.createDataFrame([(g, n) for g in range(40) for n in (g % 3, 7, 8, 7)], "group_id long, name long")
+    few, many = (corpus.cooccurrence(m, 13, rows) for rows in (1 << 20, 10))
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == {(0, 7, 14), (0, 8, 14), (1, 7, 13), (1, 8, 13), (2, 7, 13), (2, 8, 13), (7, 8, 40)}
+    assert many.rdd.getNumPartitions() >= 16
