@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from engram.functions.lexicons import IMPACT_WORDS
 from engram.functions.text import any_of
+from engram.operators.graph import checkpointed
 from engram.operators.lexicon import lexicon_places
 from engram.operators.narrative import gathered
 
 
-def cooccurrence(members: DataFrame, least: int = 3) -> DataFrame:
+def cooccurrence(members: DataFrame, least: int = 3, rows: int = 500_000) -> DataFrame:
     """(a, b, n): pairs of names and the groups (group_id, name) that both are in, at least `least`.
 
-    Groups are chapters or the like, with a bounded cast; a pair is counted once for each group.
+    Groups are chapters or the like, with a bounded cast; a pair is counted once for each group. Groups and pairs are dealt to
+    as many tasks as the members ask for, so no task's share grows with them.
     """
-    m = members.select("group_id", "name").distinct()
+    m = checkpointed(members.select("group_id", "name"))
+    parts = max(m.sparkSession.sparkContext.defaultParallelism, -(-m.count() // rows))
+    m = m.repartition(parts, "group_id").distinct()
     pairs = m.toDF("group_id", "a").join(m.toDF("group_id", "b"), "group_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.repartition(2 * parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def relation_scores(pairs: DataFrame, events: DataFrame, generic: Column, factions: DataFrame | None = None) -> DataFrame:
