@@ -131,7 +131,8 @@ def verb_events_of(rows: DataFrame, verbs: Sequence[str], reach: int = 50) -> Da
     or null; both are in its sentence. Without a subject there is no event. rows are those of with_mentions()."""
     j = _all_places(rows, verbs, "verb")
     who, whom = _last_before(F.col("at"), reach), _first_behind(F.col("at") + F.octet_length("verb"), reach)
-    return j.select("doc_id", "pos", "verb", who.alias("subject"), whom.alias("object")).where("subject is not null")
+    # rows that repeat give their events once
+    return j.select("doc_id", "pos", "verb", "at", who.alias("subject"), whom.alias("object")).where("subject is not null").distinct().drop("at")
 
 
 def dialogue_events(found: DataFrame, rows: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -148,7 +149,7 @@ def dialogue_events_of(rows: DataFrame, markers: Sequence[str]) -> DataFrame:
     m = rows.select("doc_id", "pos", "named", "sentence", F.explode(hit).alias("marker"))
     m = m.withColumn("description", F.expr("substring(sentence, 1, instr(sentence, marker) - 1)")).withColumn("at", F.octet_length("description"))
     g = m.select("doc_id", "pos", "marker", "description", _last_before(F.col("at")).alias("speaker"), _first_behind(F.col("at") + F.octet_length("marker")).alias("addressee"))
-    return g.where("speaker is not null").select("doc_id", "pos", "marker", "speaker", "addressee", F.concat("speaker", F.lit("曰")).alias("title"), "description", F.lit(0.5).alias("importance"))
+    return g.where("speaker is not null").distinct().select("doc_id", "pos", "marker", "speaker", "addressee", F.concat("speaker", F.lit("曰")).alias("title"), "description", F.lit(0.5).alias("importance"))
 
 
 def associations(events: DataFrame) -> DataFrame:
