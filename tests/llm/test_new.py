@@ -174,3 +174,30 @@ def test_bpe_with_small_memory():
     for text in ("banana bananas aaaa aaaaaaa", "mississippi", ""):
         assert one.ids_and_decoded(text) == none.ids_and_decoded(text) and one.encode(text) == none.encode(text)
     assert not none.known and one.known
+
+
+def test_lm_words_below_the_share_have_cells(spark, monkeypatch):
+    """With one table a word nothing is random: scores are the same whichever words are numbered, all, some or none, and are those
+    of the formulas, for pairs met once and more often."""
+    from engram.llm import lm
+
+    monkeypatch.setattr(lm, "seat", lambda c, *_: np.minimum(np.asarray(c, float), 1.0))
+    texts = ["a b c a b c", "B A d", "c\ta e f e f", "e f a b"]
+    probes = ["a b c", "e f e f", "d d a", "q a q q", "", None]
+    d = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(probes))], "doc_id long, text string")
+    n = Counter(w for t in texts for w in lm.tokens(t.encode()))
+    pairs = Counter(x for t in texts for x in zip([lm.END, *lm.tokens(t.encode())], lm.tokens(t.encode())))
+    share = lambda c: lm._discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    v, d0, d1 = len(n), share(n), share(pairs)
+    after, before = Counter(u for u, _ in pairs), Counter(w for _, w in pairs)  # customers of the parent: one table a cell
+    total = sum(before.values())
+    base = (1 + d0 * v) / (1 + total) / (v + 1)
+    parent = lambda w: (before[w] - d0) / (1 + total) + base if w in n else base
+    chance = lambda u, w: (pairs[u, w] - d1 * ((u, w) in pairs) + (1 + d1 * after[u]) * parent(w)) / (1 + n[u])
+    want = {}
+    for i, t in [*enumerate(texts), *((100 + i, t or "") for i, t in enumerate(probes))]:
+        ws = lm.tokens(t.encode())
+        want[i] = sum(np.log10(chance(u, w)) for u, w in zip([lm.END, *ws], ws))
+    for head_share in (2.0**-19, 0.15, 0.2, 1.0):
+        got = {r["doc_id"]: r["score"] for r in lm.hpy_scores(d, F.col("doc_id") >= 100, head_share=head_share).collect()}
+        assert got == pytest.approx(want, abs=1e-5), head_share
