@@ -42,6 +42,11 @@ def _id(kind: str, *parts) -> Column:
     return F.xxhash64(F.lit(kind), *[F.col(p) if isinstance(p, str) else p for p in parts])
 
 
+def _capitalised(rest: str) -> str:
+    """Pattern of a whole run of A-Z and a-z that is a capital and so many small letters."""
+    return f"(?<![A-Za-z])[A-Z][a-z]{rest}(?![A-Za-z])"
+
+
 def tag(docs: DataFrame, profile: Profile) -> DataFrame:
     """One row a sentence of docs (doc_id, title, doc_type, text), and one with pos null for a document without any: doc_id,
     title, doc_type, pos, sentence, attributes (array of attribute and word), predicate, snippet, evidence, names. If names
@@ -58,7 +63,7 @@ def tag(docs: DataFrame, profile: Profile) -> DataFrame:
     predicate = first(profile.predicates)
     rows = rows.withColumns({"attributes": attributes, "predicate": predicate, "evidence": F.coalesce(any_of(F.col("sentence"), list(profile.verbs)), F.lit(False)) if profile.verbs else F.lit(False)})
     after = F.expr("substring(sentence, instr(sentence, predicate) + length(predicate))")
-    names = F.filter(F.regexp_extract_all("sentence", F.lit("([A-Za-z]+)"), F.lit(1)), lambda t: t.rlike("^[A-Z][a-z]{1,19}$") & ~t.isin(list(profile.stop_names)))
+    names = F.filter(F.regexp_extract_all("sentence", F.lit(f"({_capitalised('{1,19}')})"), F.lit(1)), lambda t: ~t.isin(list(profile.stop_names)))
     titled = title_name(F.col("line"), profile.titles, profile.stop_names) if profile.titles else F.lit(None).cast("string")
     return rows.withColumns({"snippet": F.substring(F.trim(after), 1, profile.snippet), "names": names, "titled": titled}).drop("line")
 
@@ -74,10 +79,14 @@ def compile_documents(docs: DataFrame, profile: Profile) -> dict[str, DataFrame]
     document and a chapter; of rows that repeat a doc_id one stays, the least by title and text.
     """
     whole = F.struct(F.col("title"), F.col("text"), F.col("doc_type"))
-    docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(whole).alias("d")).select("doc_id", "d.*")
+    docs = docs.where("doc_id is not null")
+    # ids that repeat are looked for by themselves, so that only the texts of those are shuffled
+    again = checkpointed(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("d")).select("doc_id", "d.*")
+    docs = docs.join(again, "doc_id", "left_anti").select(least.columns).unionByName(least)
     tagged = checkpointed(tag(docs, profile))
     is_dialog = any_of(F.col("doc_type"), list(profile.dialog_types))
-    heads = tagged.select("doc_id", "title", "doc_type").distinct()
+    heads = checkpointed(tagged.select("doc_id", "title", "doc_type").distinct())
     heads = heads.withColumns({"dialog": F.coalesce(is_dialog, F.lit(False)), "named": person_like(F.col("title"))})
     documents = heads.select("doc_id", "title", "doc_type")
     chapters = heads.select(_id("chapter", "doc_id", F.lit(1)).alias("id"), "doc_id", F.lit(1).alias("chapter_no"), "title")
@@ -99,7 +108,7 @@ def compile_documents(docs: DataFrame, profile: Profile) -> dict[str, DataFrame]
     people = own.unionByName(found)
     persons = people.select(_id("person", "doc_id", "name").alias("id"), "doc_id", F.lit("person").alias("object_type"), "name", "properties", "confidence")
 
-    stories = story_events(said.select("doc_id", "pos", "sentence"), people.select("doc_id", "name"), list(profile.story)) if profile.story else None
+    stories = story_events(said.select("doc_id", "pos", "sentence"), people.select("doc_id", "name"), list(profile.story), word=_capitalised("*")) if profile.story else None  # no other single word is person_like
     if stories is None:
         objects = persons
         edges = persons.select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit("").alias("predicate"), "doc_id", F.lit(0).alias("pos")).where("false")

@@ -59,7 +59,7 @@ def title_name(line: Column, titles: Sequence[str], stop: Sequence[str] = (), bo
         kept = F.when(n == 0, words).otherwise(F.slice(words, F.lit(1), F.greatest(n.cast("int") - 1, F.lit(0))))
         return F.when(F.size(kept) >= 2, F.array_join(kept, " "))
 
-    first = F.try_element_at(F.filter(F.transform(tails, name), lambda x: x.isNotNull()), F.lit(1))
+    first = F.when(line.rlike(marks), F.try_element_at(F.filter(F.transform(tails, name), lambda x: x.isNotNull()), F.lit(1)))
     return F.when(~any_of(line, list(boilerplate)), first) if boilerplate else first
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import clamped_cosine
+from engram.operators import compile as compile_
 from engram.operators import corpus, graph, narrative, retrieval
 from engram.operators.lexicon import small
 from engram.plans import all_queries
@@ -140,3 +141,23 @@ def test_cooccurrence_takes_more_tasks_for_more_members(spark):
     few, many = (corpus.cooccurrence(m, 13, rows) for rows in (1 << 20, 10))
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == {(0, 7, 14), (0, 8, 14), (1, 7, 13), (1, 8, 13), (2, 7, 13), (2, 8, 13), (7, 8, 40)}
     assert many.rdd.getNumPartitions() >= 16
+
+
+def test_compile_shuffles_texts_of_repeated_ids_only(spark, monkeypatch):
+    """What is tagged is joined with the ids that repeat and read off the documents: only theirs are grouped."""
+    written = []
+    write = compile_.checkpointed
+    monkeypatch.setattr(compile_, "checkpointed", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    rows = [(1, "Anna", "novel", "Anna met Boris."), (2, "Bo", "novel", "Bo met B."), (2, "Bo", "novel", "A b."), (None, "C", "novel", "C met C.")]
+    t = compile_.compile_documents(spark.createDataFrame(rows, "doc_id long, title string, doc_type string, text string"), compile_.Profile(verbs=["met"]))
+    tagged = next(p for p in written if "sentence" in p)
+    assert "LeftAnti" in tagged and tagged.count("Aggregate") == 1
+    assert {(r["doc_id"], r["content"]) for r in t["evidence"].collect()} == {(1, "Anna met Boris.")}
+    assert sorted(r["doc_id"] for r in t["documents"].collect()) == [1, 2]
+
+
+def test_story_words_of_a_pattern_are_those_of_the_cast(spark):
+    rows = spark.createDataFrame([(1, 0, "Anna met XAnna, annaAnna and Bo, A and B9.")], "doc_id long, pos int, sentence string")
+    cast = spark.createDataFrame([(1, n) for n in ("Anna", "Bo", "A", "B", "met")], "doc_id long, name string")
+    names = lambda **k: {r["name"] for r in narrative.story_events(rows, cast, ["met"], **k).collect()}
+    assert names() == {"Anna", "Bo", "A", "B", "met"} and names(word=compile_._capitalised("*")) == {"Anna", "Bo", "A", "B"}
