@@ -13,7 +13,7 @@ from engram.operators import compile as compile_
 from engram.operators import corpus, graph, narrative, retrieval
 from engram.operators.lexicon import small
 from engram.plans import all_queries
-from engram.sources import external
+from engram.sources import bundle, external
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +161,23 @@ def test_story_words_of_a_pattern_are_those_of_the_cast(spark):
     cast = spark.createDataFrame([(1, n) for n in ("Anna", "Bo", "A", "B", "met")], "doc_id long, name string")
     names = lambda **k: {r["name"] for r in narrative.story_events(rows, cast, ["met"], **k).collect()}
     assert names() == {"Anna", "Bo", "A", "B", "met"} and names(word=compile_._capitalised("*")) == {"Anna", "Bo", "A", "B"}
+
+
+def test_a_graph_is_merged_as_its_bundle_is(spark):
+    """Names that repeat, ends that are no objects, new objects, null times, and old edges that repeat."""
+    o = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "p", "a"), (4, "q", "a")], "id long, object_type string, name string")
+    edge = "source_id long, target_id long, predicate string, valid_from int, valid_to int"
+    old = spark.createDataFrame([(1, 2, "x", None, None), (1, 2, "x", None, None), (3, 2, "x", None, None), (9, 2, "x", 1, None)], edge)
+    other = spark.createDataFrame([(11, "p", "a"), (12, "p", "b"), (13, "p", "new"), (14, "q", "a")], o.schema)
+    edges = spark.createDataFrame([(11, 12, "x", None, None), (11, 12, "x", 5, None), (11, 12, "x", 5, None), (13, 14, "y", 1, 2), (11, 99, "x", None, None)], edge)
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    got, want = bundle.merge_graph(o, old, other, edges), bundle.merge(o, old, other.select("object_type", "name"), bundle.export_edges(other, edges))
+    assert rows(got[0], *o.columns) == rows(want[0], *o.columns) and rows(got[1], *old.columns) == rows(want[1], *old.columns)
+    new = got[0].where("name = 'new'").first()["id"]
+    assert sorted(map(str, got[1].collect())) == sorted(map(str, [*old.collect(), *spark.createDataFrame([(1, 2, "x", 5, None), (new, 4, "y", 1, 2)], edge).collect()]))
+
+
+def test_import_merge_shuffles_no_names_with_edges(spark, sf):
+    """Edges are shuffled by their ends and once to be grouped, and made twice, not three times."""
+    plan = all_queries()["import_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "l_shipdate" in x for x in plan.splitlines()) == 4  # two tables of edges are made of its rows
