@@ -181,3 +181,13 @@ def test_import_merge_shuffles_no_names_with_edges(spark, sf):
     """Edges are shuffled by their ends and once to be grouped, and made twice, not three times."""
     plan = all_queries()["import_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in x and "l_shipdate" in x for x in plan.splitlines()) == 4  # two tables of edges are made of its rows
+
+
+def test_key_events_look_at_events_only(spark, sf):
+    """Ends that are no events are left out before anything is shuffled, and results are those of all edges, also if an event's id doesn't look like one."""
+    plan = all_queries()["key_events"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 40000000000" in plan
+    e = spark.createDataFrame([(i, 50, "participated_in", 1) for i in range(9)] + [(i, 15, "participated_in", 2) for i in range(3)] + [(20, 50, "knows", None), (50, 21, "knows", None), (30, 31, "knows", None)], "source_id long, target_id long, predicate string, valid_from int")
+    links = spark.createDataFrame([(50,)] * 6 + [(15,)] * 9, "event_id long")
+    read = lambda **k: sorted(map(str, graph.key_events(e, links, 0.0, **k).collect()))
+    assert read() == read(may_be_event=lambda i: i >= 40) and len(read()) == 12
