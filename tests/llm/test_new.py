@@ -201,3 +201,26 @@ def test_lm_words_below_the_share_have_cells(spark, monkeypatch):
     for head_share in (2.0**-19, 0.15, 0.2, 1.0):
         got = {r["doc_id"]: r["score"] for r in lm.hpy_scores(d, F.col("doc_id") >= 100, head_share=head_share).collect()}
         assert got == pytest.approx(want, abs=1e-5), head_share
+
+
+def test_lm_blocks_of_cells(spark, monkeypatch):
+    """Pairs go to the shuffle as some rows of blocks, not one each; tables that are read no more are removed; the number of blocks
+    changes nothing but the draws."""
+    import os
+
+    from engram.llm import lm
+    from engram.llm.common import shared_dir
+
+    monkeypatch.setattr(lm, "seat", lambda c, *_: np.minimum(np.asarray(c, float), 1.0))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 500) for _ in range(60)]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    shared = spark.sparkContext.broadcast(("blocks", sorted({w.encode() for t in texts[:5] for w in t.split()})))
+    assert lm.count_pairs(d, shared, 4).count() <= 8
+    where = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    read = lambda **k: {r["doc_id"]: r["score"] for r in lm.hpy_scores(d, F.col("doc_id") >= 50, head_share=5e-3, **k).collect()}
+    few = read()
+    left = {x.split("-")[1] for x in set(os.listdir(where)) - before if x.startswith("lm-")}
+    assert left == {"table"}
+    assert read(block_tokens=10) == pytest.approx(few, abs=1e-5)
