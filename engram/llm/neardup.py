@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import bytes_of, ids_and_texts, kept, materialise, pieces
+from engram.llm.common import bytes_of, ids_and_texts, kept, materialise, pieces, release
 
 
 def bands(threshold: float, rows: int, miss: float) -> int:
@@ -134,6 +134,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     both = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in pieces(batches, 8192, 16 << 20):
             if not b.num_rows:
                 continue
@@ -170,6 +171,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in pieces(batches):
             ok = []
             for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
@@ -224,6 +226,7 @@ def _maybe(docs: DataFrame, ids: DataFrame, slots: int = 1 << 25) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = shared.value
         for b in batches:
             at = b["s"].to_numpy() - 1
@@ -238,6 +241,7 @@ def _rarest(sets: DataFrame, percent: int, slots: int = 1 << 21) -> DataFrame:
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         n = np.zeros(slots, np.int64)
         for b in batches:
             for x in b["shingles"].to_pylist():
@@ -251,6 +255,7 @@ def _rarest(sets: DataFrame, percent: int, slots: int = 1 << 21) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = shared.value
         for batch in batches:
             for b in pieces([batch]):
@@ -291,6 +296,7 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
         return v.field("id").to_numpy(), v.field("component").to_numpy(), [np.frombuffer(x, np.uint64) for x in v.field("shingles").to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             a, b = [], []
             for xs, ys in zip(batch["xs"], batch["ys"]):

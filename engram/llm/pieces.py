@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from engram.llm.common import ids_and_texts, kept, pieces as slices, strings_of
 
 SPACE = "▁"
+#: Characters of new segments that are filtered in one go, about: some 300 bytes each are needed for it.
+PART = 1 << 16
 _SEGMENT = re.compile(r" *[^ \n▁]+| +|\n|▁")
 
 
@@ -106,10 +108,18 @@ class Edges:
         self.keys, self.back, self.piece = np.zeros(room), np.zeros(room, np.int32), np.zeros(room, np.int32)
         self.n = self.nodes = 0
         self.number: dict[str, int] = {}
-        self.ends: list[int] = []
+        self.ends = np.zeros(0, np.int64)
 
     def add(self, segments: list[str], v: Vocabulary) -> None:
-        """Filter new segments: find all pieces in all of them, then go forward one position in all of them at a time."""
+        """Filter new segments, those of some PART characters in one go."""
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        cuts = np.unique(np.searchsorted(ends, np.arange(PART, ends[-1], PART)) + 1)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segments)]):
+            if a < b:
+                self._filter(segments[a:b], v)
+
+    def _filter(self, segments: list[str], v: Vocabulary) -> None:
+        """Find all pieces in all segments, then go forward one position in all of them at a time."""
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
@@ -143,16 +153,20 @@ class Edges:
         keys = self.nodes + into[order] + np.minimum(share[order], 1.0) * 0.999999
         for k, s in enumerate(segments, len(self.ends)):
             self.number[s] = k
-        self.ends += (self.nodes + ends + np.arange(len(segments))).tolist()
+        self.ends = np.concatenate([self.ends, self.nodes + ends + np.arange(len(segments))])
         self.nodes, m = self.nodes + len(log_forward), self.n + len(keys)
         if m > len(self.keys):
-            self.keys, self.back, self.piece = (np.concatenate([x, np.zeros(max(len(x) // 4, m - len(x)), x.dtype)]) for x in (self.keys, self.back, self.piece))
+            for name in ("keys", "back", "piece"):  # one after the other, and room that isn't used yet takes no memory
+                x = getattr(self, name)
+                y = np.zeros(max(len(x) * 5 // 4, m), x.dtype)
+                y[: self.n] = x[: self.n]
+                setattr(self, name, y)
         self.keys[self.n : m], self.back[self.n : m], self.piece[self.n : m] = keys, length[order], piece[order]
         self.n = m
 
     def walk(self, number: np.ndarray, left: np.ndarray, base: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each step from the ends: the segments that still walk, and the piece each takes."""
-        keys, at, left = self.keys[: self.n], np.array(self.ends, np.int64)[number], left.copy()
+        keys, at, left = self.keys[: self.n], self.ends[number], left.copy()
         live, step, found = np.arange(len(at)), 0, []
         while len(live):
             mixed = _mix(base[live] + np.array(step * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1, np.uint64))

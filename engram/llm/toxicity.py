@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from engram.llm.common import ids_and_texts, kept, pieces, strings_of
+from engram.llm.common import ids_and_texts, kept, pieces, release, strings_of
 
 ORDER = 6
 #: Neutral words added to every text's length, so that one odd word decides nothing in a text of a few words.
@@ -121,6 +121,7 @@ def _sum_grams(docs: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary) of documents with a column toxic; each task adds up its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
         def flush() -> pa.RecordBatch:
@@ -148,6 +149,14 @@ class Model:
 
     def __init__(self, table, contexts, margin: float, slope: float, intercept: float):
         self.table, self.contexts, self.margin, self.slope, self.intercept = table, contexts, margin, slope, intercept
+        self._shared = None
+
+    def shared(self, spark: SparkSession) -> tuple:
+        """A key and the broadcast tables: one for all passes of a session, so that no worker holds them twice."""
+        sc = spark.sparkContext
+        if self._shared is None or self._shared[0] is not sc:
+            self._shared = sc, uuid.uuid4().hex, sc.broadcast((self.table, self.contexts, self.margin))
+        return self._shared[1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 3000, strength: float = 10.0, margin: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -176,20 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class
     counts = _sum_grams(labelled.where("not check")).toArrow()
     table, contexts = kneser_ney_gap(sorted(zip(*(counts[c].to_pylist() for c in ("gram", "toxic", "ordinary")))), strength)
     del counts
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, table, contexts, margin))
-    got = _gaps(labelled.where("check").select("doc_id", "text", "toxic"), shared).select("gap", "toxic").collect()
-    slope, intercept = logistic(np.array([r["gap"] for r in got]), np.array([float(r["toxic"]) for r in got]))
-    shared.unpersist()
-    return Model(table, contexts, margin, slope, intercept) if slope > 0 else constant
+    model = Model(table, contexts, margin, 0.0, 0.0)
+    got = _gaps(labelled.where("check").select("doc_id", "text", "toxic"), model).select("gap", "toxic").collect()
+    model.slope, model.intercept = logistic(np.array([r["gap"] for r in got]), np.array([float(r["toxic"]) for r in got]))
+    return model if model.slope > 0 else constant
+
 
+def _gaps(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs and a column gap of the text; columns stay as they are."""
+    key, shared = model.shared(docs.sparkSession)
 
-def _gaps(docs: DataFrame, shared) -> DataFrame:
-    """docs and a column gap in place of the text that is read; columns stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, *tables = shared.value
-        gap = kept(key, lambda: Gap(*tables))
+        gap = kept(key, lambda: Gap(*shared.value))  # the tables are read when those kept before are gone
         for b in pieces(batches):
-            yield b.append_column("gap", pa.array(gap.texts(strings_of(b["text"])), pa.float64()))
+            yield b.append_column("gap", pa.array(gap.texts(strings_of(b[text])), pa.float64()))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("gap", DoubleType())]))
 
@@ -199,8 +208,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "
 
     Null and empty texts have gap 0; rows that repeat are scored each; a null id stays null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts, model.margin))
-    out = _gaps(ids_and_texts(docs, doc_id, text), shared).drop("text")
+    out = _gaps(ids_and_texts(docs, doc_id, text), model).drop("text")
     return _verdict(out, model, threshold)
 
 
@@ -215,8 +223,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
     Null and empty texts have gap 0 and stay unless nearly all labels are toxic; repeated rows fare alike; an empty table
     gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.table, model.contexts, model.margin))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
-    kept = _verdict(_gaps(plain, shared), model, threshold).where("predicted = 0")
+    at = docs.columns.index(text)
+    plain, read = docs.toDF(*names), names[at]
+    if not isinstance(docs.schema[at].dataType, StringType):  # else the texts pass through Python once
+        plain, read = plain.withColumn("text", F.col(read).cast("string")), "text"
+    kept = _verdict(_gaps(plain, model, read), model, threshold).where("predicted = 0")
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -224,3 +224,48 @@ def test_lm_blocks_of_cells(spark, monkeypatch):
     left = {x.split("-")[1] for x in set(os.listdir(where)) - before if x.startswith("lm-")}
     assert left == {"table"}
     assert read(block_tokens=10) == pytest.approx(few, abs=1e-5)
+
+
+def test_new_segments_are_filtered_in_parts():
+    """What filtering takes beside its results is bounded, and the parts change no edge."""
+    import tracemalloc
+
+    from engram.llm import pieces
+
+    v = pieces.Vocabulary(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read(), 0.6, 10.0)
+    rng = random.Random(3)
+    words = list(dict.fromkeys(" " + "".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 14))) for _ in range(30_000)))
+    one, parts = pieces.Edges(1 << 20), pieces.Edges(1 << 20)
+    tracemalloc.start()
+    parts.add(words, v)
+    left, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most - left < 30e6
+    one._filter(words, v)
+    assert np.array_equal(one.ends, parts.ends) and one.number == parts.number and one.n == parts.n
+    assert np.allclose(one.keys[: one.n], parts.keys[: one.n], atol=1e-9, rtol=0) and np.array_equal(one.piece[: one.n], parts.piece[: one.n])
+
+
+def test_tables_of_an_operator_before_are_dropped(monkeypatch):
+    from engram.llm import common
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    assert common.kept("a", lambda: 1) == 1 and common.kept("a", lambda: 2) == 1
+    assert common.kept("b", lambda: len(common._KEPT)) == 0  # what was kept is gone before the new tables are made
+    common.release()
+    assert not common._KEPT
+
+
+def test_toxicity_passes_texts_and_tables_once(spark, monkeypatch):
+    from engram.llm import toxicity
+
+    rows = [(i, "vile trash scum" if i % 2 else "calm river stone") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    assert model.shared(spark)[1] is model.shared(spark)[1]
+    seen, gaps = [], toxicity._gaps
+    monkeypatch.setattr(toxicity, "_gaps", lambda d, *rest: seen.append(d.columns) or gaps(d, *rest))
+    staying = toxicity.drop_toxic(docs, model)
+    assert seen == [["c0", "c1"]]
+    binary = toxicity.drop_toxic(docs.withColumn("text", F.col("text").cast("binary")), model)
+    assert rows_of(staying, "doc_id") == rows_of(binary, "doc_id") == [(i,) for i in range(0, 80, 2)]
